@@ -21,11 +21,13 @@ are ignored.
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 import uuid
 import zlib
 from collections import OrderedDict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +41,8 @@ TOKENIZER = "byte_bpe_50k.json"
 #: Chunks end where MASK_BITS bits of the hash of the last WINDOW ids are 0; at LEAST and at MOST so many ids.
 WINDOW, MASK_BITS, LEAST, MOST = 16, 9, 64, 4096
 FRAME_BYTES = 128 << 10
-_PIECES = 600_000
+#: Pieces of up to _REMEMBERED characters are remembered, _PIECES of them at most.
+_PIECES, _REMEMBERED = 500_000, 14
 _PLACE = "file string, frame bigint, packed int, at int, size int"
 _encoders: dict[str, Encoder] = {}
 
@@ -54,12 +57,14 @@ class Encoder:
     """Ids of texts, with a memory of pieces that is emptied when it is full."""
 
     _slow = re.compile(r"(?<=\S)(?= \S|\n\S)")
-    _runs = re.compile(r"\s\s|^\s|\s$|\x00")
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks of an executor are its parallelism
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        plain = [(t.content, i) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not (t.lstrip or t.rstrip or t.single_word)]
+        self.separator = min(plain, default=None)
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.clear()
 
@@ -69,33 +74,59 @@ class Encoder:
         self.begin, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
     def pieces(self, text: str) -> list[str]:
-        if self._runs.search(text):
+        spaced = text.replace("\n", " ")
+        if "\x00" in text or text.split() != spaced.split(" "):  # white space other than single spaces and line ends
             return self._slow.split(text)
         return text.replace("\n", "\x00\n").replace(" ", "\x00 ").split("\x00")
 
     def _learn(self, new: list[str]) -> None:
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-        sizes = np.array([len(x) for x in ids], np.int64)
-        n, k, total = len(self.known), len(new), int(sizes.sum())
+        """Adds pieces to the memory; ids of pieces not worth remembering stay until the next batch."""
+        mark = self.separator
+        if mark and not any(mark[0] in p for p in new):
+            # a special token ends whatever stands before it, so that many pieces make one text
+            texts = [mark[0].join(new[k : k + 200]) + mark[0] for k in range(0, len(new), 200)]
+            flat = np.concatenate([np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]) if texts else np.zeros(0, self.dtype)
+            ends = np.flatnonzero(flat == mark[1])
+            sizes = np.diff(ends, prepend=-1) - 1
+            flat = np.delete(flat, ends)
+        else:
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+            flat = np.fromiter(chain.from_iterable(ids), self.dtype, int(sizes.sum()))
+        n, k, total = self.count, len(new), int(sizes.sum())
         while self.used + total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         while n + k > len(self.begin):
             self.begin, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.size))
-        self.flat[self.used : self.used + total] = np.fromiter((i for x in ids for i in x), self.dtype, total)
+        self.flat[self.used : self.used + total] = flat
         self.begin[n : n + k], self.size[n : n + k] = self.used + np.cumsum(sizes) - sizes, sizes
-        self.used += total
-        self.known.update(zip(new, range(n, n + k), strict=True))
+        self.used, self.count = self.used + total, n + k
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, each with its end id, in one array, and the n + 1 offsets."""
         if len(self.known) > _PIECES:
             self.clear()
         cut = [self.pieces(t) if t else [] for t in texts]
-        if new := [p for p in dict.fromkeys(p for pieces in cut for p in pieces) if p not in self.known]:
-            self._learn(new)
-        counts = np.array([len(c) for c in cut], np.int64)
-        known = self.known
-        index = np.fromiter((known[p] for pieces in cut for p in pieces), np.int64, int(counts.sum()))
+        counts = np.fromiter(map(len, cut), np.int64, len(cut))
+        every = list(chain.from_iterable(cut))
+        found = list(map(self.known.get, every))
+        self.count, used = len(self.known), self.used
+        if None in found:
+            missed = [k for k, i in enumerate(found) if i is None]
+            new = dict.fromkeys(every[k] for k in missed)
+            lasting = [p for p in new if len(p) <= _REMEMBERED]
+            first = self.count
+            self._learn(lasting)
+            self.known.update(zip(lasting, range(first, self.count), strict=True))
+            used = self.used
+            brief = [p for p in new if len(p) > _REMEMBERED]
+            new.update(zip(lasting, range(first, self.count), strict=True))
+            new.update(zip(brief, range(self.count, self.count + len(brief)), strict=True))
+            self._learn(brief)
+            for k in missed:
+                found[k] = new[every[k]]
+        index = np.array(found, np.int64)
+        self.used = used
         # each document's end is one more piece of one id
         ends = np.cumsum(counts)
         size = np.insert(self.size[index], ends, 1)
