@@ -1,9 +1,9 @@
 """Toxicity: a linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
 Which n-grams a document has counts, not how often. N-grams of ORDERS characters (ASCII letters lower-cased, counted in
-UTF-8 bytes) are hashed to 2**BITS features. Over all labelled training rows, documents with a feature are counted by
-label; the log of the ratio of the smoothed rates scales the feature. The features that tell the labels apart best are
-kept, and a logistic regression with an L2 penalty is fitted to them on at most FIT_ROWS training rows, chosen by hash.
+UTF-8 bytes) are hashed to 2**BITS features. Over at most FIT_ROWS labelled training rows, chosen by hash, documents with
+a feature are counted by label; the log of the ratio of the smoothed rates scales the feature. The features that tell
+the labels apart best are kept, and a logistic regression with an L2 penalty is fitted to them on the same rows.
 Scores are exact functions of the whole text.
 
 Rows whose crc32(doc_id as text) mod 5 is 0 are held out. Memory: 2**BITS counters per task, MOST_FEATURES weights on
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import blocks, read, text_bytes
+from lattica.llm.common import blocks, read, text_bytes, written
 
 ORDERS = (4, 5, 6)
 BITS = 20
@@ -33,44 +33,36 @@ MIN_DOCS = 4
 SMOOTH = 0.5
 PENALTY = 1e-3
 THRESHOLD = 0.5
+_STEP = 1 << 17
 
 
 def held_out(doc_id) -> F.Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def features(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each order, the place of every n-gram that lies inside a text, and its feature."""
-    low = data.astype(np.uint64)
-    low += ((data >= 65) & (data <= 90)).astype(np.uint64) * np.uint64(32)
-    n = len(low)
-    # how many bytes of its text follow each place, itself included, up to the longest order
-    left = np.full(n, max(ORDERS), np.uint8)
-    ends = offsets[1:][np.diff(offsets) > 0]
-    for k in range(1, max(ORDERS)):
-        at = ends - k
-        left[at[at >= 0]] = np.minimum(left[at[at >= 0]], k)
+def features(data: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """For each order, the feature of the n-gram that begins at each byte."""
+    low = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint32)
     value = low.copy()
     for order in range(2, max(ORDERS) + 1):
-        if n < order:
+        if len(data) < order:
             return
-        value = value[: n - order + 1] * np.uint64(0x100000001B3) + low[order - 1 :]
+        value = value[: len(data) - order + 1] * np.uint32(0x01000193) + low[order - 1 :]
         if order in ORDERS:
-            mixed = (value ^ np.uint64(order)) * np.uint64(0x9E3779B97F4A7C15)
-            at = np.flatnonzero(left[: n - order + 1] >= order)
-            yield at, (mixed[at] >> np.uint64(64 - BITS)).astype(np.int64)
+            yield order, ((value ^ np.uint32(order)) * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS)
 
 
 def document_features(data: np.ndarray, offsets: np.ndarray, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Each pair (row, feature) once; wanted: a mask of features."""
     pairs = []
-    lengths = np.diff(offsets)
-    row_of = np.repeat(np.arange(len(lengths), dtype=np.int64), lengths)
-    for at, feature in features(data, offsets):
-        if wanted is not None:
-            keep = wanted[feature]
-            at, feature = at[keep], feature[keep]
-        pairs.append((row_of[at] << BITS) | feature)
+    for first in range(0, len(data), _STEP):  # stretches that stay in the cache
+        part = data[first : first + _STEP + max(ORDERS) - 1]
+        for order, feature in features(part):
+            feature = feature[:_STEP]
+            at = np.arange(len(feature)) if wanted is None else np.flatnonzero(wanted[feature])
+            row = np.searchsorted(offsets, at + first, "right") - 1
+            inside = at + first + order <= offsets[row + 1]
+            pairs.append((row[inside] << BITS) | feature[at[inside]])
     found = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, np.int64)
     return found >> BITS, found & ((1 << BITS) - 1)
 
@@ -78,7 +70,7 @@ def document_features(data: np.ndarray, offsets: np.ndarray, wanted: np.ndarray
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Partial counts of a task: documents of each label with each feature."""
     total = np.zeros((2, 1 << BITS), np.int64)
-    for batch in blocks(batches, "text"):
+    for batch in blocks(batches, "text", 1 << 20):
         data, offsets = text_bytes(batch.column(batch.schema.get_field_index("text")))
         label = batch.column(batch.schema.get_field_index("label")).to_numpy(zero_copy_only=False)
         row, feature = document_features(data, offsets)
@@ -115,8 +107,9 @@ def _fit(rows: list[np.ndarray], label: np.ndarray, scale: np.ndarray) -> tuple[
 def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[np.ndarray, np.ndarray, float]:
     """Features, their weights, and the intercept, from the labelled rows that are not held out."""
     known = labels.where(F.col("toxic").isin(0, 1)).where(~held_out(F.col("doc_id"))).select("doc_id", F.col("toxic").cast("int").alias("label"))
-    rows = docs.select("doc_id", "text").join(known, "doc_id")
-    counts = rows.select("text", "label").mapInArrow(_count, "feature bigint, clean bigint, toxic bigint").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    known = written(known.orderBy(F.xxhash64(F.col("doc_id")), "doc_id", "label").limit(fit_rows), "labelled")
+    rows = written(docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "label"), "sample")
+    counts = rows.mapInArrow(_count, "feature bigint, clean bigint, toxic bigint").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     sizes = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     clean, toxic = sizes.get(0, 0), sizes.get(1, 0)
     if not clean or not toxic:
@@ -132,15 +125,14 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> tuple
     place[chosen] = np.arange(len(chosen))
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in blocks(batches, "text"):
+        for batch in blocks(batches, "text", 1 << 20):
             data, offsets = text_bytes(batch.column(batch.schema.get_field_index("text")))
             row, feature = document_features(data, offsets, place >= 0)
             cuts = np.searchsorted(row, np.arange(batch.num_rows + 1))
             lists = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(place[feature].astype(np.int32)))
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("label")).cast(pa.int32()), lists], ["label", "found"])
 
-    sample = known.orderBy(F.xxhash64(F.col("doc_id")), "doc_id", "label").limit(fit_rows)
-    got = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "label").mapInArrow(listed, "label int, found array<int>").toArrow()
+    got = rows.mapInArrow(listed, "label int, found array<int>").toArrow()
     lists = [np.asarray(x, np.int64) for x in got.column("found").to_pylist()]
     weights, bias = _fit(lists, got.column("label").to_numpy().astype(float), scale)
     return chosen, weights, bias
@@ -156,7 +148,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], column:
         table[chosen] = weights
         wanted = np.zeros(1 << BITS, bool)
         wanted[chosen] = True
-        for batch in blocks(batches, "text"):
+        for batch in blocks(batches, "text", 1 << 20):
             data, offsets = text_bytes(batch.column(batch.schema.get_field_index("text")))
             row, feature = document_features(data, offsets, wanted)
             z = np.bincount(row, table[feature], minlength=batch.num_rows) + bias
@@ -182,7 +174,7 @@ def filter_toxic(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
         table[chosen] = weights
         wanted = np.zeros(1 << BITS, bool)
         wanted[chosen] = True
-        for batch in blocks(batches, "text"):
+        for batch in blocks(batches, "text", 1 << 20):
             data, offsets = text_bytes(batch.column(batch.schema.get_field_index("text")))
             row, feature = document_features(data, offsets, wanted)
             z = np.bincount(row, table[feature], minlength=batch.num_rows) + bias
