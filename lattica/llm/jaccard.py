@@ -24,6 +24,7 @@ another doc_id; an empty table gives an empty result; extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -72,13 +73,10 @@ def prefix_length(n: int, numerator: int = NUMERATOR, denominator: int = DENOMIN
     return n - -(-numerator * n // denominator) + 1
 
 
-def document_keys(docs: DataFrame, size: int = SIZE, numerator: int = NUMERATOR, denominator: int = DENOMINATOR) -> DataFrame:
+def document_keys(docs: DataFrame, order, size: int = SIZE, numerator: int = NUMERATOR, denominator: int = DENOMINATOR) -> DataFrame:
     """doc_id, n, key (digest of the set, null if empty), prefix (the first shingles in order), rare, sketch."""
-    token, times = frequent_shingles(docs, size)
-    shared = docs.sparkSession.sparkContext.broadcast((token, times))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token, times = shared.value
+        token, times = order.value
         for batch in blocks(batches, "text"):
             rows = []
             for own in _sets(batch, size):
@@ -93,9 +91,9 @@ def document_keys(docs: DataFrame, size: int = SIZE, numerator: int = NUMERATOR,
                     count = np.zeros(n, np.int64)
                 length = min(n, prefix_length(n, numerator, denominator) + MOST_MATCHES - 1)
                 rare = int((count == 0).sum())
-                order = np.flatnonzero(count == 0)[:length] if rare >= length else np.argsort(count, kind="stable")[:length]
+                first = np.flatnonzero(count == 0)[:length] if rare >= length else np.argsort(count, kind="stable")[:length]
                 odd = np.bincount((own.view(np.uint64) >> np.uint64(54)).astype(np.int64), minlength=SKETCH_BITS) & 1
-                rows.append((n, hashlib.blake2b(own.tobytes(), digest_size=16).digest(), own[order].tobytes(), rare, np.packbits(odd.astype(np.uint8)).tobytes()))
+                rows.append((n, hashlib.blake2b(own.tobytes(), digest_size=16).digest(), own[first].tobytes(), rare, np.packbits(odd.astype(np.uint8)).tobytes()))
             n, key, prefix, rare, sketch = zip(*rows, strict=True)
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("doc_id")), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(prefix, pa.binary()), pa.array(rare, pa.int32()), pa.array(sketch, pa.binary())], ["doc_id", "n", "key", "prefix", "rare", "sketch"])
 
@@ -124,30 +122,60 @@ def _popcount(column: str, other: str) -> F.Column:
     return sum((F.bit_count(word(column, k).bitwiseXOR(word(other, k))) for k in range(SKETCH_BITS // 64)), F.lit(0))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, numerator: int, denominator: int, differences: bool = False) -> DataFrame:
-    """a, b, na, nb, linked of the pairs (a, b), from whole sets; with differences also what is in one of them alone."""
-    rows = pairs.select("a", "b").join(sets.select(F.col("key").alias("a"), F.col("tokens").alias("ta")), "a").join(sets.select(F.col("key").alias("b"), F.col("tokens").alias("tb")), "b")
+def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    rows = pairs.select("a", "b").join(sets.select(F.col("key").alias("a"), F.col("tokens").alias("ta")), "a")
+    return rows.join(sets.select(F.col("key").alias("b"), F.col("tokens").alias("tb")), "b").select("a", "b", "ta", "tb")
+
+
+def _two_sets(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for left, right in zip(batch.column(2), batch.column(3), strict=True):
+        yield np.frombuffer(left.as_buffer(), np.int64), np.frombuffer(right.as_buffer(), np.int64)
+
+
+def _linked(pairs: DataFrame, sets: DataFrame, numerator: int, denominator: int) -> DataFrame:
+    """The pairs (a, b) whose whole sets are alike enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, na, nb, delta = [], [], [], []
-            for left, right in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(left.as_buffer(), np.int64), np.frombuffer(right.as_buffer(), np.int64)
-                if differences:
-                    alone = np.setxor1d(x, y, assume_unique=True)
-                    delta.append(alone)
-                    n.append((len(x) + len(y) - len(alone)) // 2)
+            keep = []
+            for x, y in _two_sets(batch):
+                n = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(denominator * n >= numerator * (len(x) + len(y) - n))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return _with_sets(pairs, sets).mapInArrow(run, "a binary, b binary")
+
+
+def _around_centres(pairs: DataFrame, sets: DataFrame, order) -> DataFrame:
+    """Of pairs (centre a, member b): nb, linked, and the prefix of their difference that a linked pair would show.
+
+    Sets of sizes x and y are linked if they differ in (x + y) / 19 shingles at most. From that follows how much two
+    differences from a centre must share: for a member that isn't linked to the centre, with any other; for a linked
+    one, with members that aren't.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        token, times = order.value
+        for batch in batches:
+            size, linked, prefix = [], [], []
+            for c, x in _two_sets(batch):
+                delta, nc, n = np.setxor1d(c, x, assume_unique=True), len(c), len(x)
+                near = 19 * len(delta) <= nc + n
+                if near:
+                    need = (len(delta) + (nc - n) / 19) / 2
                 else:
-                    n.append(len(np.intersect1d(x, y, assume_unique=True)))
-                na.append(len(x))
-                nb.append(len(y))
-            n, na, nb = (np.array(v, np.int64) for v in (n, na, nb))
-            columns = [batch.column(0), batch.column(1), pa.array(na), pa.array(nb), pa.array(denominator * n >= numerator * (na + nb - n))]
-            if differences:
-                columns.append(pa.array([d.tolist() for d in delta], pa.list_(pa.int64())))
-            yield pa.RecordBatch.from_arrays(columns, ["a", "b", "na", "nb", "linked", "delta"][: len(columns)])
+                    other = max(1.0, len(delta) - n * (1 + 10 / 9) / 19)
+                    need = (len(delta) + other * 18 / 19 - (n + nc) / 19) / 2
+                length = len(delta) - max(1, math.ceil(need - 1e-6)) + 1
+                if len(token):
+                    at = np.minimum(np.searchsorted(token, delta), len(token) - 1)
+                    delta = delta[np.argsort(np.where(token[at] == delta, times[at], 0), kind="stable")]
+                size.append(n)
+                linked.append(near)
+                prefix.append(delta[: max(0, length)].tolist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(size, pa.int64()), pa.array(linked, pa.bool_()), pa.array(prefix, pa.list_(pa.int64()))], ["a", "b", "nb", "linked", "prefix"])
 
-    return rows.select("a", "b", "ta", "tb").mapInArrow(run, "a binary, b binary, na bigint, nb bigint, linked boolean" + ", delta array<bigint>" * differences)
+    return _with_sets(pairs, sets).mapInArrow(run, "a binary, b binary, nb bigint, linked boolean, prefix array<bigint>")
 
 
 def _class_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
@@ -174,25 +202,18 @@ def _multi_match(postings: DataFrame, numerator: int, denominator: int) -> DataF
 
 
 def _difference_pairs(star: DataFrame) -> DataFrame:
-    """Pairs (a, b) that share a centre, aren't both linked to it, and may be linked, from verified (centre a, member b)."""
-    size = F.size("delta")
-    slack = lambda n: n / 19.0  # noqa: E731  linked sets of sizes x and y differ in (x + y) / 19 shingles at most
-    low = F.greatest(F.lit(1.0), size - slack(F.col("nb") * (1 + 10.0 / 9)))
-    alone = F.ceil((size + low * 18 / 19 - slack(F.col("nb") + F.col("na"))) / 2 - 1e-6)
-    member = F.ceil((size + slack(F.col("na") - F.col("nb"))) / 2 - 1e-6)
-    need = F.greatest(F.lit(1), F.when(F.col("linked"), member).otherwise(F.least(alone, member)))
-    rows = star.select(F.col("a").alias("centre"), F.col("b").alias("key"), F.col("nb").alias("n"), "linked", (size - need + 1).alias("length"), F.explode("delta").alias("token"))
-    df = rows.groupBy("centre", "token").agg(F.count(F.lit(1)).alias("df"), F.max(~F.col("linked")).alias("open")).where("df > 1 AND open")
-    known = rows.join(df, ["centre", "token"], "left").withColumn("df", F.coalesce("df", F.lit(0)))
-    ordered = known.groupBy("centre", "key", "n", "linked", "length").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("d"))
-    prefix = ordered.select("centre", "key", "n", "linked", F.explode(F.slice("d", 1, F.col("length").cast("int"))).alias("p")).where("p.df > 1").select("centre", "key", "n", "linked", "p.token")
-    left = prefix.where("NOT linked").select("centre", "token", F.col("key").alias("a"), F.col("n").alias("__n"))
-    met = left.join(prefix.select("centre", "token", F.col("key").alias("b"), "n", "linked"), ["centre", "token"])
-    return met.where("a != b AND (linked OR a < b) AND 10 * n >= 9 * __n AND 10 * __n >= 9 * n").select("a", "b").distinct()
-
-
-def link_classes(docs: DataFrame, keys: DataFrame, size: int = SIZE, numerator: int = NUMERATOR, denominator: int = DENOMINATOR) -> DataFrame:
-    """(node, label) over the keys of classes that have a link."""
+    """Pairs (a, b) that share a centre, aren't both linked to it, and whose differences from it share what linked pairs must."""
+    rows = star.select(F.col("a").alias("centre"), F.col("b").alias("key"), F.col("nb").alias("n"), "linked", F.explode("prefix").alias("token"))
+    shared = rows.groupBy("centre", "token").agg(F.count(F.lit(1)).alias("df"), F.max(~F.col("linked")).alias("open")).where("df > 1 AND open").select("centre", "token")
+    rows = written(rows.join(shared, ["centre", "token"]), "differences")
+    left = rows.where("NOT linked").select("centre", "token", F.col("key").alias("a"), F.col("n").alias("__n"))
+    met = left.join(rows.select("centre", "token", F.col("key").alias("b"), "n", "linked"), ["centre", "token"])
+    met = met.where("a != b AND (linked OR a < b) AND 10 * n >= 9 * __n AND 10 * __n >= 9 * n")
+    return met.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.first(F.col("n") + F.col("__n")).alias("sizes"))
+
+
+def link_classes(docs: DataFrame, keys: DataFrame, order, size: int = SIZE, numerator: int = NUMERATOR, denominator: int = DENOMINATOR) -> DataFrame:
+    """(node, label) over the keys of classes that have a link; order: a broadcast of frequent_shingles()."""
     if (numerator, denominator) != (NUMERATOR, DENOMINATOR):
         raise ValueError("the bounds for long posting lists are those of 0.9")
     classes = keys.where("n > 0").groupBy("key").agg(F.min(F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("doc_id"), F.first("n").alias("n"), F.first("rare").alias("rare"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch"))
@@ -207,8 +228,12 @@ def link_classes(docs: DataFrame, keys: DataFrame, size: int = SIZE, numerator:
     met = short.join(other, "token").where(f"a < b AND {denominator} * n >= {numerator} * nb AND {denominator} * nb >= {numerator} * n")
     close = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.first(F.least("k", "kb")).alias("k"), F.first(F.col("n") + F.col("nb")).alias("sizes")).where("shared >= k")
     sketches = classes.select("key", "sketch")
-    held = close.join(sketches.select(F.col("key").alias("a"), F.col("sketch").alias("sa")), "a").join(sketches.select(F.col("key").alias("b"), F.col("sketch").alias("sb")), "b")
-    near = written(held.where(_popcount("sa", "sb") * (denominator + numerator) <= F.col("sizes") * (denominator - numerator)).select("a", "b"), "near")
+
+    def near_enough(pairs: DataFrame) -> DataFrame:
+        held = pairs.join(sketches.select(F.col("key").alias("a"), F.col("sketch").alias("sa")), "a").join(sketches.select(F.col("key").alias("b"), F.col("sketch").alias("sb")), "b")
+        return held.where(_popcount("sa", "sb") * (denominator + numerator) <= F.col("sizes") * (denominator - numerator)).select("a", "b")
+
+    near = written(near_enough(close), "near")
 
     # long lists: each member with the list's centre
     long = postings.where(F.col("df") > LONG)
@@ -218,25 +243,26 @@ def link_classes(docs: DataFrame, keys: DataFrame, size: int = SIZE, numerator:
     both = near.unionByName(star)
     ids = both.select(F.col("a").alias("key")).unionByName(both.select(F.col("b").alias("key"))).distinct()
     sets = written(_class_sets(docs, classes.select("doc_id", "key").join(ids, "key"), size), "sets")
-    around = written(_verified(star, sets, numerator, denominator, differences=True), "around")
-    more = _difference_pairs(around)
+    around = written(_around_centres(star, sets, order), "around")
+    more = near_enough(_difference_pairs(around))
 
     # one link for each class first; then whatever still connects different components
-    pairs = written(near.unionByName(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct(), "pairs")
+    pairs = written(near.unionByName(more).distinct(), "pairs")
     nearest = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    sure = written(around.where("linked").select("a", "b").unionByName(_verified(nearest, sets, numerator, denominator).where("linked").select("a", "b")), "sure")
+    sure = written(around.where("linked").select("a", "b").unionByName(_linked(nearest, sets, numerator, denominator)), "sure")
     label = components(sure)
     named = lambda c: label.select(F.col("node").alias(c), F.col("label").alias(f"l{c}"))
     apart = pairs.join(nearest, ["a", "b"], "left_anti").join(named("a"), "a", "left").join(named("b"), "b", "left")
     apart = apart.where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
-    late = written(_verified(apart, sets, numerator, denominator).where("linked").select("a", "b"), "late")
+    late = written(_linked(apart, sets, numerator, denominator), "late")
     return written(components(sure.unionByName(late)), "labels") if not late.isEmpty() else label
 
 
 def near_duplicate_groups(docs: DataFrame, size: int = SIZE, numerator: int = NUMERATOR, denominator: int = DENOMINATOR) -> DataFrame:
     """doc_id, n_shingles, key, component_id for each row of docs (doc_id, text)."""
-    keys = written(document_keys(docs, size, numerator, denominator), "keys")
-    label = link_classes(docs, keys, size, numerator, denominator)
+    order = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, size))
+    keys = written(document_keys(docs, order, size, numerator, denominator), "keys")
+    label = link_classes(docs, keys, order, size, numerator, denominator)
     rows = keys.select("doc_id", F.col("n").alias("n_shingles"), "key").join(label.withColumnRenamed("node", "key"), "key", "left")
     rows = rows.withColumn("label", F.coalesce("label", "key"))
     first = rows.where("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("first"))
