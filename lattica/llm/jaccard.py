@@ -7,7 +7,8 @@ shingles at least. Each class picks its own k from 1 to MOST_MATCHES: a longer p
 candidates must share more. Its cost is estimated from the counts of its prefix's shingles. A pair becomes a candidate
 if the two prefixes share as many shingles as the smaller k of the two.
 
-A posting list longer than LONG isn't multiplied out. The class in it with the fewest rare shingles becomes its centre;
+A posting list longer than LONG is cut by size, since linked sets have like sizes; if it is still longer than LONG, it
+isn't multiplied out. The class in it with the fewest rare shingles becomes its centre;
 every member is compared with the centre. Two members of which one isn't linked to the centre can only be linked if
 their differences from the centre have shingles in common, and enough of them for a prefix of the differences to show
 it; so the same join runs on these differences, and pairs that the centre already connects are never made.
@@ -41,6 +42,7 @@ MOST_MATCHES = 6
 LONG = 64
 FREQUENT, MOST_FREQUENT = 16, 1 << 16
 SKETCH_BITS = 1024
+FILTER_BITS = 1 << 23
 #: Cost of verifying a candidate, in postings read.
 _VERIFY = 20
 
@@ -56,11 +58,20 @@ def frequent_shingles(docs: DataFrame, size: int = SIZE, least: int = FREQUENT,
     """The most frequent shingles, sorted, and their counts; at most `most`. They only settle the order."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in blocks(batches, "text", 8 << 20):
+        held: list[np.ndarray] = []
+
+        def counted():
+            found, n = np.unique(np.concatenate(held), return_counts=True)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(found[n > 1]), pa.array(n[n > 1])], ["token", "n"])
+
+        for batch in blocks(batches, "text", 1 << 20):
             data, offsets = text_bytes(batch.column(batch.schema.get_field_index("text")))
-            found, n = np.unique(shingles(data, offsets, size)[0], return_counts=True)
-            keep = n > 1
-            yield pa.RecordBatch.from_arrays([pa.array(found[keep]), pa.array(n[keep])], ["token", "n"])
+            held.append(shingles(data, offsets, size)[0])
+            if len(held) == 8:
+                yield counted()
+        if held:
+            yield counted()
 
     counts = docs.select("text").mapInArrow(count, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
     rows = counts.where(F.col("n") >= least).orderBy(F.desc("n"), "token").limit(most).toArrow()
@@ -77,7 +88,7 @@ def document_keys(docs: DataFrame, order, size: int = SIZE, numerator: int = NUM
     """doc_id, n, key (digest of the set, null if empty), prefix (the first shingles in order), rare, sketch."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token, times = order.value
-        for batch in blocks(batches, "text"):
+        for batch in blocks(batches, "text", 1 << 20):
             rows = []
             for own in _sets(batch, size):
                 n = len(own)
@@ -101,19 +112,17 @@ def document_keys(docs: DataFrame, order, size: int = SIZE, numerator: int = NUM
 
 
 def _explode_prefix(classes: DataFrame) -> DataFrame:
-    """(key, n, rare, pos, token)."""
+    """(key, pos, token)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prefix = batch.column(3).to_pylist()
+            prefix = batch.column(1).to_pylist()
             sizes = np.array([len(p) // 8 for p in prefix], np.int64)
             index = np.repeat(np.arange(batch.num_rows), sizes)
             pos = np.arange(len(index)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            token = np.frombuffer(b"".join(prefix), np.int64)
-            taken = batch.select(["key", "n", "rare"]).take(pa.array(index))
-            yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(pos.astype(np.int32)), pa.array(token)], ["key", "n", "rare", "pos", "token"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(index)), pa.array(pos.astype(np.int32)), pa.array(np.frombuffer(b"".join(prefix), np.int64))], ["key", "pos", "token"])
 
-    return classes.select("key", "n", "rare", "prefix").mapInArrow(run, "key binary, n bigint, rare int, pos int, token bigint")
+    return classes.select("key", "prefix").mapInArrow(run, "key binary, pos int, token bigint")
 
 
 def _popcount(column: str, other: str) -> F.Column:
@@ -179,17 +188,33 @@ def _around_centres(pairs: DataFrame, sets: DataFrame, order) -> DataFrame:
 
 
 def _class_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(key, tokens) of the classes in wanted (doc_id, key), each from the document that stands for it."""
+    """(key, tokens) of the classes in wanted (doc_id, key), each from the document that stands for it.
+
+    Most other documents are left out before the join by a filter of FILTER_BITS bits, however many are wanted.
+    """
+    spark = docs.sparkSession
+    bit = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
+    found = wanted.groupBy(F.shiftright(bit, 5).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(bit, F.lit(32)).cast("int"))).alias("bits")).toArrow()
+    words = np.zeros(FILTER_BITS >> 5, np.int64)
+    words[found.column("word").to_numpy()] = found.column("bits").to_numpy()
+    shared = spark.sparkContext.broadcast(words)
+
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = shared.value
+        for batch in batches:
+            bit = batch.column(2).to_numpy()
+            yield batch.filter(pa.array((words[bit >> 5] >> (bit & 31)) & 1 == 1)).select(["doc_id", "text"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in blocks(batches, "text"):
+        for batch in blocks(batches, "text", 1 << 20):
             tokens = [own.tobytes() for own in _sets(batch, size)]
             keys = [hashlib.blake2b(t, digest_size=16).digest() for t in tokens]
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(tokens, pa.binary())], ["key", "tokens"])
+            same = pa.array([k == w for k, w in zip(keys, batch.column(0).to_pylist(), strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(tokens, pa.binary())], ["key", "tokens"]).filter(same)
 
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), "text").join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
-    found = rows.select("text").mapInArrow(run, "key binary, tokens binary")
-    return found.join(wanted.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.first("tokens").alias("tokens"))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), "text").withColumn("bit", bit)
+    rows = rows.mapInArrow(some, "doc_id bigint, text string")
+    return rows.join(wanted, "doc_id").select("key", "text").mapInArrow(run, "key binary, tokens binary")
 
 
 def _multi_match(postings: DataFrame, numerator: int, denominator: int) -> DataFrame:
@@ -201,6 +226,15 @@ def _multi_match(postings: DataFrame, numerator: int, denominator: int) -> DataF
     return postings.join(chosen, "key").where(F.col("pos") < F.col("n") - F.ceil(F.col("n") * numerator / denominator) + F.col("k"))
 
 
+def _by_size(postings: DataFrame) -> DataFrame:
+    """Long lists cut by size: a class of size step s is in lists s and s + 1, and two linked classes meet in the list of the larger step."""
+    step = F.floor(F.log("n") / math.log(10 / 9) + 1e-9).cast("int")
+    rows = postings.withColumn("step", F.when(F.col("df") <= LONG, -1).otherwise(step))
+    rows = rows.withColumn("list", F.explode(F.when(F.col("df") <= LONG, F.array(F.lit(-1))).otherwise(F.array("step", F.col("step") + 1))))
+    long = rows.where(F.col("df") > LONG).groupBy("token", "list").agg(F.count(F.lit(1)).alias("length")).where(f"length > {LONG}")
+    return rows.join(long, ["token", "list"], "left")
+
+
 def _difference_pairs(star: DataFrame) -> DataFrame:
     """Pairs (a, b) that share a centre, aren't both linked to it, and whose differences from it share what linked pairs must."""
     rows = star.select(F.col("a").alias("centre"), F.col("b").alias("key"), F.col("nb").alias("n"), "linked", F.explode("prefix").alias("token"))
@@ -220,12 +254,13 @@ def link_classes(docs: DataFrame, keys: DataFrame, order, size: int = SIZE, nume
     classes = written(classes, "classes")
     every = _explode_prefix(classes)
     df = every.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    postings = written(_multi_match(written(every.join(df, "token"), "postings"), numerator, denominator), "prefixes")
+    postings = written(every.join(df, "token"), "postings").join(classes.select("key", "n", "rare"), "key")
+    postings = written(_by_size(_multi_match(postings, numerator, denominator)), "prefixes")
 
     # short lists: all pairs of the list, counted
-    short = postings.where(F.col("df") <= LONG).select("token", F.col("key").alias("a"), "n", "k")
-    other = short.select("token", F.col("a").alias("b"), F.col("n").alias("nb"), F.col("k").alias("kb"))
-    met = short.join(other, "token").where(f"a < b AND {denominator} * n >= {numerator} * nb AND {denominator} * nb >= {numerator} * n")
+    short = postings.where("length IS NULL").select("token", "list", "step", F.col("key").alias("a"), "n", "k")
+    other = short.select("token", "list", F.col("step").alias("stepb"), F.col("a").alias("b"), F.col("n").alias("nb"), F.col("k").alias("kb"))
+    met = short.join(other, ["token", "list"]).where(f"a < b AND greatest(step, stepb) = list AND {denominator} * n >= {numerator} * nb AND {denominator} * nb >= {numerator} * n")
     close = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.first(F.least("k", "kb")).alias("k"), F.first(F.col("n") + F.col("nb")).alias("sizes")).where("shared >= k")
     sketches = classes.select("key", "sketch")
 
@@ -236,9 +271,9 @@ def link_classes(docs: DataFrame, keys: DataFrame, order, size: int = SIZE, nume
     near = written(near_enough(close), "near")
 
     # long lists: each member with the list's centre
-    long = postings.where(F.col("df") > LONG)
-    centres = long.groupBy("token").agg(F.min(F.struct("rare", "key"))["key"].alias("a"))
-    star = written(long.select("token", F.col("key").alias("b")).join(centres, "token").where("a != b").select("a", "b").distinct(), "star")
+    long = postings.where("length IS NOT NULL")
+    centres = long.groupBy("token", "list").agg(F.min(F.struct("rare", "key"))["key"].alias("a"))
+    star = written(long.select("token", "list", F.col("key").alias("b")).join(centres, ["token", "list"]).where("a != b").select("a", "b").distinct(), "star")
 
     both = near.unionByName(star)
     ids = both.select(F.col("a").alias("key")).unionByName(both.select(F.col("b").alias("key"))).distinct()
