@@ -65,6 +65,13 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     return rows.drop("__source", "__range", "__order", "__base", "__before")
 
 
+def mixed_rows(docs: DataFrame, **how) -> DataFrame:
+    """The rows of docs, same columns, each as often as the mix takes it; a part of a document counts from one half on."""
+    rows = mix(docs, **how)
+    copies = F.col("__whole") + F.when((F.col("__extra") > 0) & (2 * F.col("__extra") >= F.col("__size")), 1).otherwise(0)
+    return rows.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), copies.cast("int")))).select(*docs.columns)
+
+
 def op8_mixing(spark, sf_dir: str) -> DataFrame:
     """The mix of all documents: doc_id, size, source_size, target, taken."""
     rows = mix(read(spark, sf_dir, "documents").select("doc_id", "source", "text"))

@@ -42,7 +42,8 @@ TOKENIZER = "byte_bpe_50k.json"
 WINDOW, MASK_BITS, LEAST, MOST = 16, 9, 64, 4096
 FRAME_BYTES = 128 << 10
 #: Pieces of up to _REMEMBERED characters are remembered, _PIECES of them at most.
-_PIECES, _REMEMBERED = 500_000, 14
+_PIECES, _REMEMBERED = 1_200_000, 16
+_ODD_SPACE = ("  ", "\n\n", " \n", "\n ", *map(chr, (0, 9, 11, 12, 13, 28, 29, 30, 31)))
 _PLACE = "file string, frame bigint, packed int, at int, size int"
 _encoders: dict[str, Encoder] = {}
 
@@ -63,8 +64,12 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        plain = [(t.content, i) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not (t.lstrip or t.rstrip or t.single_word)]
-        self.separator = min(plain, default=None)
+        step, self.letters = self.tokenizer.pre_tokenizer, None
+        if type(step).__name__ == "ByteLevel" and step.use_regex and not step.add_prefix_space and self.tokenizer.normalizer is None:
+            # the byte-level alphabet: printable bytes stand for themselves, the others for the characters from 256 on
+            own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+            self.letters = {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in set(own))}
+            self.marks = {c: self.tokenizer.encode(c, add_special_tokens=False).ids for c in "\n.,;:!?|"}
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.clear()
 
@@ -74,25 +79,50 @@ class Encoder:
         self.begin, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
     def pieces(self, text: str) -> list[str]:
-        spaced = text.replace("\n", " ")
-        if "\x00" in text or text.split() != spaced.split(" "):  # white space other than single spaces and line ends
+        if text.isascii():
+            plain = not any(x in text for x in _ODD_SPACE)
+        else:
+            plain = "\x00" not in text and text.split() == text.replace("\n", " ").split(" ")
+        if not plain:  # white space other than single spaces and line ends
             return self._slow.split(text)
         return text.replace("\n", "\x00\n").replace(" ", "\x00 ").split("\x00")
 
+    def _word(self, piece: str) -> list[int] | None:
+        """Ids of a word of letters with a space or line end before it and a mark after it, or None.
+
+        The pre-tokenizer cuts such a piece here; the model gets the word in the byte-level alphabet.
+        """
+        head, tail = (), ()
+        if piece[:1] == "\n":
+            head, piece = self.marks["\n"], piece[1:]
+        if piece[-1:] in self.marks:
+            tail, piece = self.marks[piece[-1]], piece[:-1]
+        spaced = piece[:1] == " "
+        word = piece[1:] if spaced else piece
+        if not word.isalpha():
+            return None
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(self.letters)
+        return [*head, *[t.id for t in self.tokenizer.model.tokenize(self.letters[32] + word if spaced else word)], *tail]
+
+    def _ids(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pieces, and how many each has."""
+        if not self.letters:
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+        else:
+            ids, rest = [], []
+            for k, piece in enumerate(new):
+                ids.append(x := self._word(piece))
+                if x is None:
+                    rest.append(k)
+            for k, e in zip(rest, self.tokenizer.encode_batch_fast([new[k] for k in rest], add_special_tokens=False), strict=True):
+                ids[k] = e.ids
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter(chain.from_iterable(ids), self.dtype, int(sizes.sum())), sizes
+
     def _learn(self, new: list[str]) -> None:
         """Adds pieces to the memory; ids of pieces not worth remembering stay until the next batch."""
-        mark = self.separator
-        if mark and not any(mark[0] in p for p in new):
-            # a special token ends whatever stands before it, so that many pieces make one text
-            texts = [mark[0].join(new[k : k + 200]) + mark[0] for k in range(0, len(new), 200)]
-            flat = np.concatenate([np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]) if texts else np.zeros(0, self.dtype)
-            ends = np.flatnonzero(flat == mark[1])
-            sizes = np.diff(ends, prepend=-1) - 1
-            flat = np.delete(flat, ends)
-        else:
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            flat = np.fromiter(chain.from_iterable(ids), self.dtype, int(sizes.sum()))
+        flat, sizes = self._ids(new)
         n, k, total = self.count, len(new), int(sizes.sum())
         while self.used + total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
@@ -104,8 +134,6 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, each with its end id, in one array, and the n + 1 offsets."""
-        if len(self.known) > _PIECES:
-            self.clear()
         cut = [self.pieces(t) if t else [] for t in texts]
         counts = np.fromiter(map(len, cut), np.int64, len(cut))
         every = list(chain.from_iterable(cut))
@@ -114,12 +142,15 @@ class Encoder:
         if None in found:
             missed = [k for k, i in enumerate(found) if i is None]
             new = dict.fromkeys(every[k] for k in missed)
-            lasting = [p for p in new if len(p) <= _REMEMBERED]
+            if len(self.known) > _PIECES and 2 * len(missed) > len(every):  # other texts than those it has seen
+                self.clear()
+                return self.encode(texts)
+            lasting = [p for p in new if p and len(p) <= _REMEMBERED] if len(self.known) <= _PIECES else []
             first = self.count
             self._learn(lasting)
             self.known.update(zip(lasting, range(first, self.count), strict=True))
             used = self.used
-            brief = [p for p in new if len(p) > _REMEMBERED]
+            brief = [p for p in new if p not in self.known]
             new.update(zip(lasting, range(first, self.count), strict=True))
             new.update(zip(brief, range(self.count, self.count + len(brief)), strict=True))
             self._learn(brief)
