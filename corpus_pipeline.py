@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lattica.llm.common import read, written
+from lattica.llm.common import read, small_batches, written
 from lattica.llm.decontaminate import drop_contaminated
 from lattica.llm.jaccard import keep_one
 from lattica.llm.mixing import mixed_rows
@@ -18,16 +18,19 @@ from lattica.llm.toxicity import filter_toxic
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below the threshold."""
+    small_batches(spark)
     return filter_toxic(spark, docs, sf_dir)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each group of near duplicates."""
+    small_batches(spark)
     return keep_one(spark, docs, sf_dir)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
+    small_batches(spark)
     return drop_contaminated(spark, docs, sf_dir)
 
 
@@ -38,6 +41,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32, read back from the store."""
+    small_batches(spark)
     return store_documents(spark, docs)
 
 

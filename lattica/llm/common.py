@@ -14,7 +14,27 @@ from pyspark.sql import DataFrame, SparkSession
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+ARROW_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Long texts: what goes to Python at once is bounded by bytes, not only by rows."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+
+
+def freed() -> None:
+    """Gives memory that this Python worker no longer uses back to the machine."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -71,6 +91,8 @@ def blocks(batches: Iterable[pa.RecordBatch], column: str, most: int = 4 << 20)
                 kept, size = [], 0
     if kept:
         yield joined(kept)
+    kept = []
+    freed()
 
 
 def joined(batches: list[pa.RecordBatch]) -> pa.RecordBatch:

@@ -281,9 +281,10 @@ def link_classes(docs: DataFrame, keys: DataFrame, order, size: int = SIZE, nume
     around = written(_around_centres(star, sets, order), "around")
     more = near_enough(_difference_pairs(around))
 
-    # one link for each class first; then whatever still connects different components
+    # one link for each class that no centre holds first; then whatever still connects different components
     pairs = written(near.unionByName(more).distinct(), "pairs")
-    nearest = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    held = around.where("linked").select("b").distinct()
+    nearest = pairs.join(held, "b", "left_anti").groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     sure = written(around.where("linked").select("a", "b").unionByName(_linked(nearest, sets, numerator, denominator)), "sure")
     label = components(sure)
     named = lambda c: label.select(F.col("node").alias(c), F.col("label").alias(f"l{c}"))

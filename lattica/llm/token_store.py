@@ -27,7 +27,7 @@ import uuid
 import zlib
 from collections import OrderedDict
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -70,6 +70,7 @@ class Encoder:
             own = [*range(33, 127), *range(161, 173), *range(174, 256)]
             self.letters = {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in set(own))}
             self.marks = {c: self.tokenizer.encode(c, add_special_tokens=False).ids for c in "\n.,;:!?|"}
+        self.model = self.tokenizer.model
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.clear()
 
@@ -103,7 +104,7 @@ class Encoder:
             return None
         if not word.isascii():
             word = word.encode().decode("latin-1").translate(self.letters)
-        return [*head, *[t.id for t in self.tokenizer.model.tokenize(self.letters[32] + word if spaced else word)], *tail]
+        return [*head, *[t.id for t in self.model.tokenize(self.letters[32] + word if spaced else word)], *tail]
 
     def _ids(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of pieces, and how many each has."""
@@ -137,10 +138,10 @@ class Encoder:
         cut = [self.pieces(t) if t else [] for t in texts]
         counts = np.fromiter(map(len, cut), np.int64, len(cut))
         every = list(chain.from_iterable(cut))
-        found = list(map(self.known.get, every))
+        index = np.fromiter(map(self.known.get, every, repeat(-1)), np.int64, len(every))
         self.count, used = len(self.known), self.used
-        if None in found:
-            missed = [k for k, i in enumerate(found) if i is None]
+        missed = np.flatnonzero(index < 0).tolist()
+        if missed:
             new = dict.fromkeys(every[k] for k in missed)
             if len(self.known) > _PIECES and 2 * len(missed) > len(every):  # other texts than those it has seen
                 self.clear()
@@ -154,9 +155,7 @@ class Encoder:
             new.update(zip(lasting, range(first, self.count), strict=True))
             new.update(zip(brief, range(self.count, self.count + len(brief)), strict=True))
             self._learn(brief)
-            for k in missed:
-                found[k] = new[every[k]]
-        index = np.array(found, np.int64)
+            index[missed] = [new[every[k]] for k in missed]
         self.used = used
         # each document's end is one more piece of one id
         ends = np.cumsum(counts)
