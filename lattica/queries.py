@@ -350,9 +350,10 @@ def raster_sph(spark, sf_dir):
 
 @query(f"""WITH {_average(_FINE)}{_dense(_FINE)}, b AS (SELECT *, cell % {_FINE} AS i, cell // {_FINE} % {_FINE} AS j, cell // {_FINE**2} AS k FROM e), o AS (SELECT unnest([-1, 0, 1]) AS o),
  s AS (SELECT b.i + x.o AS i, b.j + y.o AS j, b.k + z.o AS k, vx, vy, vz FROM b, o x, o y, o z WHERE filled), t AS (SELECT i, j, k, sum(vx)/count(*) AS vx, sum(vy)/count(*) AS vy, sum(vz)/count(*) AS vz FROM s GROUP BY ALL)
- SELECT b.cell, {', '.join(f'CASE WHEN filled THEN b.{c} ELSE coalesce(t.{c}, 0) END AS {c}' for c in M.VELOCITY)}, filled FROM b LEFT JOIN t USING (i, j, k)""")
+ SELECT b.cell, {', '.join(f'floor(CASE WHEN filled THEN b.{c} ELSE coalesce(t.{c}, 0) END*1e6 + {_SHIFT})/1e6 AS {c}' for c in M.VELOCITY)}, filled FROM b LEFT JOIN t USING (i, j, k)""")
 def fill_empty(spark, sf_dir):
-    return M.fill_empty(M.raster_cell_avg(particles(spark, sf_dir), _FINE), _FINE)
+    rows = M.fill_empty(M.raster_cell_avg(particles(spark, sf_dir), _FINE), _FINE)
+    return rows.withColumns({c: F.floor(F.col(c) * 1e6 + _SHIFT) / 1e6 for c in M.VELOCITY})
 
 
 @query(f"""WITH {PARTICLE_SQL}, n AS (SELECT range AS cell, -0.5e0 + (range % 6)*0.2e0 AS nx, -0.5e0 + (range // 6 % 6)*0.2e0 AS ny, -0.5e0 + (range // 36)*0.2e0 AS nz FROM range(216)),
