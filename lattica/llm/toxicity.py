@@ -88,6 +88,8 @@ def _fit(rows: list[np.ndarray], label: np.ndarray, scale: np.ndarray) -> tuple[
     row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     n, d = len(rows), len(scale)
     weights, bias = np.zeros(d), 0.0
+    if not n:
+        return weights, bias
     value = scale[index]
     # accelerated gradient steps; the step follows from a bound of the largest curvature
     norms = np.bincount(row, value**2, minlength=n)
