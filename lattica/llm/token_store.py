@@ -20,6 +20,7 @@ are ignored.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import os
 import re
@@ -43,7 +44,8 @@ WINDOW, MASK_BITS, LEAST, MOST = 16, 9, 64, 4096
 FRAME_BYTES = 128 << 10
 #: Pieces of up to _REMEMBERED characters are remembered, _PIECES of them at most.
 _PIECES, _REMEMBERED = 1_200_000, 16
-_ODD_SPACE = ("  ", "\n\n", " \n", "\n ", *map(chr, (0, 9, 11, 12, 13, 28, 29, 30, 31)))
+#: White space other than single spaces and line ends, and the mark that pieces() cuts at.
+_ODD_SPACE = ("  ", "\n\n", " \n", "\n ", *map(chr, (0, 9, 11, 12, 13, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 _PLACE = "file string, frame bigint, packed int, at int, size int"
 _encoders: dict[str, Encoder] = {}
 
@@ -80,10 +82,7 @@ class Encoder:
         self.begin, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
     def pieces(self, text: str) -> list[str]:
-        if text.isascii():
-            plain = not any(x in text for x in _ODD_SPACE)
-        else:
-            plain = "\x00" not in text and text.split() == text.replace("\n", " ").split(" ")
+        plain = not any(x in text for x in _ODD_SPACE)
         if not plain:  # white space other than single spaces and line ends
             return self._slow.split(text)
         return text.replace("\n", "\x00\n").replace(" ", "\x00 ").split("\x00")
@@ -135,6 +134,13 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, each with its end id, in one array, and the n + 1 offsets."""
+        gc.disable()  # many lists, no cycles
+        try:
+            return self._encode(texts)
+        finally:
+            gc.enable()
+
+    def _encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         cut = [self.pieces(t) if t else [] for t in texts]
         counts = np.fromiter(map(len, cut), np.int64, len(cut))
         every = list(chain.from_iterable(cut))
@@ -145,7 +151,7 @@ class Encoder:
             new = dict.fromkeys(every[k] for k in missed)
             if len(self.known) > _PIECES and 2 * len(missed) > len(every):  # other texts than those it has seen
                 self.clear()
-                return self.encode(texts)
+                return self._encode(texts)
             lasting = [p for p in new if p and len(p) <= _REMEMBERED] if len(self.known) <= _PIECES else []
             first = self.count
             self._learn(lasting)
@@ -192,11 +198,15 @@ def rolling(ids: np.ndarray) -> np.ndarray:
     return value
 
 
-def cuts(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of one document's ids."""
-    n, ends, last = len(ids), [], 0
-    marks = np.flatnonzero((rolling(ids) >> np.uint64(64 - MASK_BITS)) == 0) + 1 if n > LEAST else ()
-    for mark in (*map(int, marks), n):
+def marks(ids: np.ndarray) -> np.ndarray:
+    """Places after which a chunk may end. Only those at LEAST ids into a document count, so what stands before it doesn't."""
+    return np.flatnonzero((rolling(ids) >> np.uint64(64 - MASK_BITS)) == 0) + 1
+
+
+def cuts(n: int, found: list[int]) -> list[int]:
+    """Ends of the chunks of a document of n ids with these marks."""
+    ends, last = [], 0
+    for mark in (*found, n):
         while mark - last > MOST:
             ends.append(last := last + MOST)
         if mark - last >= LEAST or mark == n and mark > last:
@@ -299,9 +309,11 @@ def _encode_to(folder: str, path: str):
             writer = writer or FrameWriter(f"{folder}/spool", "spool")
             ids, offsets = words.encode(batch.column(batch.schema.get_field_index("text")).to_pylist())
             doc_ids = batch.column(batch.schema.get_field_index("doc_id")).to_pylist()
+            every = marks(ids)
+            at = np.searchsorted(every, offsets, "right").tolist()
             for k, doc_id in enumerate(doc_ids):
                 own, last, names, new = ids[offsets[k] : offsets[k + 1]], 0, [], []
-                for end in cuts(own):
+                for end in cuts(len(own), (every[at[k] : at[k + 1]] - offsets[k]).tolist()):
                     data = own[last:end].tobytes()
                     last = end
                     names.append(name := digest(data))
