@@ -310,10 +310,10 @@ def _encode_to(folder: str, path: str):
             ids, offsets = words.encode(batch.column(batch.schema.get_field_index("text")).to_pylist())
             doc_ids = batch.column(batch.schema.get_field_index("doc_id")).to_pylist()
             every = marks(ids)
-            at = np.searchsorted(every, offsets, "right").tolist()
+            bound = np.searchsorted(every, offsets, "right").tolist()
             for k, doc_id in enumerate(doc_ids):
                 own, last, names, new = ids[offsets[k] : offsets[k + 1]], 0, [], []
-                for end in cuts(len(own), (every[at[k] : at[k + 1]] - offsets[k]).tolist()):
+                for end in cuts(len(own), (every[bound[k] : bound[k + 1]] - offsets[k]).tolist()):
                     data = own[last:end].tobytes()
                     last = end
                     names.append(name := digest(data))
