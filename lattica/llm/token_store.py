@@ -43,7 +43,7 @@ TOKENIZER = "byte_bpe_50k.json"
 WINDOW, MASK_BITS, LEAST, MOST = 16, 9, 64, 4096
 FRAME_BYTES = 128 << 10
 #: Pieces of up to _REMEMBERED characters are remembered, _PIECES of them at most.
-_PIECES, _REMEMBERED = 1_200_000, 16
+_PIECES, _REMEMBERED = 1_200_000, 24
 #: White space other than single spaces and line ends, and the mark that pieces() cuts at.
 _ODD_SPACE = ("  ", "\n\n", " \n", "\n ", *map(chr, (0, 9, 11, 12, 13, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 _PLACE = "file string, frame bigint, packed int, at int, size int"
@@ -87,34 +87,32 @@ class Encoder:
             return self._slow.split(text)
         return text.replace("\n", "\x00\n").replace(" ", "\x00 ").split("\x00")
 
-    def _word(self, piece: str) -> list[int] | None:
-        """Ids of a word of letters with a space or line end before it and a mark after it, or None.
+    def _ids(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pieces, and how many each has.
 
-        The pre-tokenizer cuts such a piece here; the model gets the word in the byte-level alphabet.
+        A word of letters with a space or line end before it and a mark after it is cut there by the pre-tokenizer; so
+        the model gets the word alone, in the byte-level alphabet. Other pieces go through the whole tokenizer.
         """
-        head, tail = (), ()
-        if piece[:1] == "\n":
-            head, piece = self.marks["\n"], piece[1:]
-        if piece[-1:] in self.marks:
-            tail, piece = self.marks[piece[-1]], piece[:-1]
-        spaced = piece[:1] == " "
-        word = piece[1:] if spaced else piece
-        if not word.isalpha():
-            return None
-        if not word.isascii():
-            word = word.encode().decode("latin-1").translate(self.letters)
-        return [*head, *[t.id for t in self.model.tokenize(self.letters[32] + word if spaced else word)], *tail]
-
-    def _ids(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of pieces, and how many each has."""
         if not self.letters:
             ids = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
         else:
-            ids, rest = [], []
+            ids, rest, marks, letters, space, model = [], [], self.marks, self.letters, self.letters[32], self.model.tokenize
             for k, piece in enumerate(new):
-                ids.append(x := self._word(piece))
-                if x is None:
+                head = tail = None
+                if piece[:1] == "\n":
+                    head, piece = marks["\n"], piece[1:]
+                if (last := piece[-1:]) in marks:
+                    tail, piece = marks[last], piece[:-1]
+                spaced = piece[:1] == " "
+                word = piece[1:] if spaced else piece
+                if not word.isalpha():
                     rest.append(k)
+                    ids.append(None)
+                    continue
+                if not word.isascii():
+                    word = word.encode().decode("latin-1").translate(letters)
+                own = [t.id for t in model(space + word if spaced else word)]
+                ids.append(own if head is tail is None else [*(head or ()), *own, *(tail or ())])
             for k, e in zip(rest, self.tokenizer.encode_batch_fast([new[k] for k in rest], add_special_tokens=False), strict=True):
                 ids[k] = e.ids
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
@@ -229,14 +227,14 @@ def merkle(leaves: list[bytes]) -> bytes:
 class FrameWriter:
     """A file of zstd frames; put() says where a chunk went: frame's number, and place in the frame."""
 
-    def __init__(self, folder: str, suffix: str):
+    def __init__(self, folder: str, suffix: str, level: int = 3):
         import zstandard
 
         self.store, path = filesystem(folder)
         self.store.create_dir(path, recursive=True)
         name = f"{uuid.uuid4().hex}.{suffix}"
         self.uri, self.out = f"{folder}/{name}", self.store.open_output_stream(f"{path}/{name}", compression=None)
-        self.zstd, self.parts, self.size, self.offset, self.packed = zstandard.ZstdCompressor(level=3), [], 0, 0, {}
+        self.zstd, self.parts, self.size, self.offset, self.packed = zstandard.ZstdCompressor(level=level), [], 0, 0, {}
 
     def put(self, data: bytes) -> tuple[int, int]:
         place = (self.offset, self.size)
@@ -306,7 +304,7 @@ def _encode_to(folder: str, path: str):
             return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.binary()), pa.array(columns[3], pa.list_(pa.binary())), pa.array(columns[4], pa.list_(_place_type()))], ["doc_id", "n_tokens", "root", "names", "new"])
 
         for batch in blocks(batches, "text", 2 << 20):
-            writer = writer or FrameWriter(f"{folder}/spool", "spool")
+            writer = writer or FrameWriter(f"{folder}/spool", "spool", 1)
             ids, offsets = words.encode(batch.column(batch.schema.get_field_index("text")).to_pylist())
             doc_ids = batch.column(batch.schema.get_field_index("doc_id")).to_pylist()
             every = marks(ids)
