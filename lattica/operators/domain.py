@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lattica.functions.geometry import boxes_overlap, inv_theta_min, mac_fails, min_mac_r2
 from lattica.functions.sfc import BITS, _long, _shl, hilbert_decode, morton_decode, node_range
 from lattica.operators.octree import children
+from lattica.operators.ordering import with_running
 from lattica.plans.held import held
 
 
@@ -26,13 +27,18 @@ def shrink_box(new: tuple[float, float], old: tuple[float, float], share: float
 def sfc_assignment(leaves: DataFrame, parts: int) -> DataFrame:
     """(part, key_lo, count): ranges of leaves (key, count) with about equal counts; a range starts at the leaf before which
     at least its share of all keys lies."""
-    before = F.coalesce(F.sum("count").over(Window.orderBy("key").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rows = leaves.select("key", "count", before.alias("before"))
-    total = leaves.agg(F.sum("count").alias("total"))
-    aims = leaves.sparkSession.range(parts).withColumnRenamed("id", "part").crossJoin(F.broadcast(total)).select(F.col("part").cast("int").alias("part"), F.floor(F.col("part") * F.col("total").cast("double") / parts).cast("long").alias("aim"))
-    edges = aims.join(F.broadcast(rows), F.col("before") >= F.col("aim"), "left").groupBy("part", "aim").agg(F.min(F.struct("key", "before")).alias("e"))
-    edges = edges.select("part", F.col("e.key").alias("key_lo"), F.col("e.before").alias("at")).crossJoin(F.broadcast(total))
-    nxt = F.coalesce(F.lead("at").over(Window.orderBy("part")), F.col("total"))
+    total = leaves.agg(F.sum("count")).first()[0] or 0
+    rows = with_running(leaves.select("key", "count"), F.col("count"))
+    end = F.col("before") + F.col("count")
+    aim = lambda part: F.floor(part * F.lit(float(total)) / parts).cast("long")
+    # aims in (before, end] end with this leaf, so their ranges start with the next one; rounding moves a part by one at most
+    low, high = F.greatest(F.floor(F.col("before") * float(parts) / max(1, total)) - 1, F.lit(1)), F.least(F.ceil(end * float(parts) / max(1, total)) + 1, F.lit(parts - 1))
+    cut = rows.where(F.col("count") > 0).where(low <= high).withColumn("part", F.explode(F.sequence(low, high))).where((aim(F.col("part")) > F.col("before")) & (aim(F.col("part")) <= end))
+    first = rows.groupBy().agg(F.min("key").alias("key_lo")).select(F.lit(0).alias("part"), "key_lo", F.lit(0).cast("long").alias("at"))
+    # aims of 0 start with the first leaf too
+    zero = leaves.sparkSession.range(1, parts).where(aim(F.col("id")) == 0).select(F.col("id").cast("int").alias("part")).crossJoin(F.broadcast(first.select("key_lo", "at")))
+    edges = first.unionByName(zero).unionByName(cut.select(F.col("part").cast("int").alias("part"), F.col("next").alias("key_lo"), end.alias("at")))
+    nxt = F.coalesce(F.lead("at").over(Window.orderBy("part")), F.lit(total))  # as many rows as parts
     return edges.select("part", "key_lo", (nxt - F.col("at")).cast("long").alias("count"))
 
 
@@ -185,4 +191,4 @@ def marked_runs(rows: DataFrame, mark: str) -> DataFrame:
 
 def layout(leaves: DataFrame) -> DataFrame:
     """leaves with offset: keys before each leaf, in key order."""
-    return leaves.withColumn("offset", F.coalesce(F.sum("count").over(Window.orderBy("key").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return with_running(leaves, F.col("count")).drop("next").withColumnRenamed("before", "offset")

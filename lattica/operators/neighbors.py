@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.functions.geometry import dist_sq
+from lattica.operators.ordering import with_rank
 from lattica.plans.held import held
 
 
@@ -73,18 +72,6 @@ def fixed_groups(df: DataFrame, size: int, order: str = "key") -> DataFrame:
     return ranked.withColumn("group", F.floor(F.col("rank") / size)).drop("rank")
 
 
-def with_rank(df: DataFrame, order: str = "key", parts: int = 4096, bits: int = 63) -> DataFrame:
-    """df with rank from 0 in the order of a key and pid; ranges of the key's upper bits are counted first."""
-    shift = bits - int(math.log2(parts))
-    part = F.call_function("shiftright", F.col(order), F.lit(shift))
-    rows = df.withColumn("__part", part)
-    sums = rows.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
-    before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rows = rows.join(sums.select("__part", before.alias("__before")), "__part")
-    own = F.row_number().over(Window.partitionBy("__part").orderBy(order, "pid")) - 1
-    return rows.withColumn("rank", own + F.col("__before")).drop("__part", "__before")
-
-
 def group_splits(df: DataFrame, size: int, tolerance: float, volume: float) -> DataFrame:
     """df (key, x, y, z, h) with group and part: runs of `size` in key order, divided where neighbours are further apart
     than the smaller of tolerance times the edge of the smallest leaf and 2 h."""

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.functions.sfc import BITS, _long, _shl, _shr, enclosing_box, node_range, octal_digit, span_range
+from lattica.operators.ordering import with_running
 from lattica.plans.held import held
 
 
@@ -108,23 +109,22 @@ def apply_node_ops(leaves: DataFrame) -> DataFrame:
     return parts.select("level", (F.col("key") + F.when(F.col("k") > 0, node_range(F.col("level")) * F.col("k")).otherwise(0)).alias("key"))
 
 
-def spanning_tree(spark, keys: list[int], bits: int = BITS) -> DataFrame:
+def spanning_tree(keys: DataFrame, bits: int = BITS) -> DataFrame:
     """(level, key): the fewest nodes such that each given key, besides 0 and the end of the range, begins one."""
-    edges = sorted({0, *keys} - {8**bits})
-    if edges == [0]:
-        return spark.range(1).select(F.lit(0).alias("level"), _long(0).alias("key"))
-    inner = spark.createDataFrame(list(zip(edges[:-1], edges[1:], strict=True)), "a bigint, b bigint")
-    body = span_range(inner, "a", "b", bits).select("level", F.col("node").alias("key"))
+    spark = keys.sparkSession
+    edges = keys.select(F.col("key").cast("long").alias("key")).unionByName(spark.range(1).select(_long(0).alias("key"))).distinct()
+    pairs = with_running(edges, F.lit(0), bits=3 * bits).select(F.col("key").alias("a"), F.col("next").alias("b"))
+    body = span_range(pairs.where("b IS NOT NULL"), "a", "b", bits).select("level", F.col("node").alias("key"))
     # the last interval ends with the range, which is no BIGINT: mirrored, it begins at 0
-    last = spark.createDataFrame([(0, 8**bits - edges[-1])], "a bigint, b bigint")
-    tail = span_range(last, "a", "b", bits).select("level", (_long(8**bits - 1) - (F.col("node") + node_range(F.col("level"), bits) - 1)).alias("key"))
-    return body.unionByName(tail)
+    last = pairs.where("b IS NULL AND a > 0").select(_long(0).alias("a"), (_long(8**bits - 1) - F.col("a") + 1).alias("b"))
+    tail = span_range(last, "a", "b", bits).select("level", (_long(8**bits - 1) - (F.col("node") + (node_range(F.col("level"), bits) - 1))).alias("key"))
+    root = pairs.where("b IS NULL AND a = 0").select(F.lit(0).alias("level"), _long(0).alias("key"))
+    return body.unionByName(tail).unionByName(root)
 
 
-def inject_keys(leaves: DataFrame, keys: list[int], bits: int = BITS) -> DataFrame:
+def inject_keys(leaves: DataFrame, keys: DataFrame, bits: int = BITS) -> DataFrame:
     """The leaves of the spanning tree of the leaves' keys and further ones."""
-    own = [r[0] for r in leaves.select("key").collect()]
-    return spanning_tree(leaves.sparkSession, [*own, *keys], bits)
+    return spanning_tree(leaves.select("key").unionByName(keys.select("key")), bits)
 
 
 def continuum_octree(spark, concentration: Callable[[Column, Column, Column], Column], bucket: int, low: float = -1.0, high: float = 1.0, rounds: int = 11, bits: int = BITS) -> DataFrame:

@@ -16,6 +16,7 @@ from lattica.operators import mesh as M
 from lattica.operators import neighbors as N
 from lattica.operators import octree as O
 from lattica.operators import spectrum as S
+from lattica.operators.ordering import with_rank
 from lattica.plans.held import held
 from lattica.plans.power_spectrum import power_spectrum
 from lattica.sources import snapshots
@@ -133,7 +134,7 @@ def field_stats(spark, sf_dir):
 @query(f"WITH {PARTICLE_SQL}, r AS (SELECT pid, row_number() OVER (ORDER BY pid) - 1 AS row, count(*) OVER () AS n FROM p) SELECT CAST(CASE WHEN row < (n % 7)*(n // 7 + 1) THEN row // (n // 7 + 1) ELSE n % 7 + (row - (n % 7)*(n // 7 + 1)) // (n // 7) END AS INT) AS part, count(*) AS rows, min(pid) AS first_pid FROM r GROUP BY 1")
 def split_rows(spark, sf_dir):
     df = particles(spark, sf_dir).select("pid")
-    ranked = N.with_rank(df, "pid", bits=40)
+    ranked = with_rank(df, "pid", (), 40)
     return ranked.groupBy(snapshots.part_of_row(F.col("rank"), 7, df.count()).alias("part")).agg(F.count(F.lit(1)).alias("rows"), F.min("pid").alias("first_pid"))
 
 
@@ -250,7 +251,7 @@ def neighbour_cells(spark, sf_dir):
 
 @query(f"WITH {_KEYED} SELECT pid, row_number() OVER (ORDER BY key, pid) - 1 AS rank FROM k")
 def sfc_order_rank(spark, sf_dir):
-    return N.with_rank(_keyed(spark, sf_dir).select("pid", "key"), "key").select("pid", F.col("rank").cast("long").alias("rank"))
+    return with_rank(_keyed(spark, sf_dir).select("pid", "key")).select("pid", F.col("rank").cast("long").alias("rank"))
 
 
 @query(f"WITH {_KEYED} SELECT (row_number() OVER (ORDER BY key, pid) - 1) // 64 AS \"group\", pid FROM k")
@@ -556,13 +557,12 @@ def invert_ranges(spark, sf_dir):
 
 @query()
 def spanning_tree(spark, sf_dir):
-    keys = [r[0] for r in _leaves(spark, sf_dir).where("level >= 2").select("key").collect()]
-    return O.spanning_tree(spark, keys)
+    return O.spanning_tree(_leaves(spark, sf_dir).where("level >= 2"))
 
 
 @query()
 def inject_keys(spark, sf_dir):
-    return O.inject_keys(_leaves(spark, sf_dir), [_CONSTANT])
+    return O.inject_keys(_leaves(spark, sf_dir), spark.range(1).select(F.lit(_CONSTANT).alias("key")))
 
 
 @query()
