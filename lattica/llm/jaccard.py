@@ -38,6 +38,8 @@ from lattica.llm.components import components
 from lattica.llm.shingles import shingles
 
 SIZE, NUMERATOR, DENOMINATOR = 3, 9, 10
+#: The pipeline's stage: words of a shingle and threshold.
+STAGE_SIZE, STAGE_NUMERATOR, STAGE_DENOMINATOR = 5, 8, 10
 MOST_MATCHES = 6
 LONG = 64
 FREQUENT, MOST_FREQUENT = 16, 1 << 16
@@ -155,13 +157,14 @@ def _linked(pairs: DataFrame, sets: DataFrame, numerator: int, denominator: int)
     return _with_sets(pairs, sets).mapInArrow(run, "a binary, b binary")
 
 
-def _around_centres(pairs: DataFrame, sets: DataFrame, order) -> DataFrame:
+def _around_centres(pairs: DataFrame, sets: DataFrame, order, numerator: int, denominator: int) -> DataFrame:
     """Of pairs (centre a, member b): nb, linked, and the prefix of their difference that a linked pair would show.
 
-    Sets of sizes x and y are linked if they differ in (x + y) / 19 shingles at most. From that follows how much two
-    differences from a centre must share: for a member that isn't linked to the centre, with any other; for a linked
-    one, with members that aren't.
+    Sets of sizes x and y are linked if they differ in (x + y) (1 - t) / (1 + t) shingles at most (for t = 0.9, in a
+    19th of x + y). From that follows how much two differences from a centre must share: for a member that isn't linked
+    to the centre, with any other; for a linked one, with members that aren't.
     """
+    less, more = denominator - numerator, denominator + numerator
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token, times = order.value
@@ -169,12 +172,12 @@ def _around_centres(pairs: DataFrame, sets: DataFrame, order) -> DataFrame:
             size, linked, prefix = [], [], []
             for c, x in _two_sets(batch):
                 delta, nc, n = np.setxor1d(c, x, assume_unique=True), len(c), len(x)
-                near = 19 * len(delta) <= nc + n
+                near = more * len(delta) <= less * (nc + n)
                 if near:
-                    need = (len(delta) + (nc - n) / 19) / 2
+                    need = (len(delta) + (nc - n) * less / more) / 2
                 else:
-                    other = max(1.0, len(delta) - n * (1 + 10 / 9) / 19)
-                    need = (len(delta) + other * 18 / 19 - (n + nc) / 19) / 2
+                    other = max(1.0, len(delta) - n * (1 + denominator / numerator) * less / more)
+                    need = (len(delta) + other * (1 - less / more) - (n + nc) * less / more) / 2
                 length = len(delta) - max(1, math.ceil(need - 1e-6)) + 1
                 if len(token):
                     at = np.minimum(np.searchsorted(token, delta), len(token) - 1)
@@ -226,36 +229,36 @@ def _multi_match(postings: DataFrame, numerator: int, denominator: int) -> DataF
     return postings.join(chosen, "key").where(F.col("pos") < F.col("n") - F.ceil(F.col("n") * numerator / denominator) + F.col("k"))
 
 
-def _by_size(postings: DataFrame) -> DataFrame:
+def _by_size(postings: DataFrame, numerator: int, denominator: int) -> DataFrame:
     """Long lists cut by size: a class of size step s is in lists s and s + 1, and two linked classes meet in the list of the larger step."""
-    step = F.floor(F.log("n") / math.log(10 / 9) + 1e-9).cast("int")
+    step = F.floor(F.log("n") / math.log(denominator / numerator) + 1e-9).cast("int")
     rows = postings.withColumn("step", F.when(F.col("df") <= LONG, -1).otherwise(step))
     rows = rows.withColumn("list", F.explode(F.when(F.col("df") <= LONG, F.array(F.lit(-1))).otherwise(F.array("step", F.col("step") + 1))))
     long = rows.where(F.col("df") > LONG).groupBy("token", "list").agg(F.count(F.lit(1)).alias("length")).where(f"length > {LONG}")
     return rows.join(long, ["token", "list"], "left")
 
 
-def _difference_pairs(star: DataFrame) -> DataFrame:
+def _difference_pairs(star: DataFrame, numerator: int, denominator: int) -> DataFrame:
     """Pairs (a, b) that share a centre, aren't both linked to it, and whose differences from it share what linked pairs must."""
     rows = star.select(F.col("a").alias("centre"), F.col("b").alias("key"), F.col("nb").alias("n"), "linked", F.explode("prefix").alias("token"))
     shared = rows.groupBy("centre", "token").agg(F.count(F.lit(1)).alias("df"), F.max(~F.col("linked")).alias("open")).where("df > 1 AND open").select("centre", "token")
     rows = written(rows.join(shared, ["centre", "token"]), "differences")
     left = rows.where("NOT linked").select("centre", "token", F.col("key").alias("a"), F.col("n").alias("__n"))
     met = left.join(rows.select("centre", "token", F.col("key").alias("b"), "n", "linked"), ["centre", "token"])
-    met = met.where("a != b AND (linked OR a < b) AND 10 * n >= 9 * __n AND 10 * __n >= 9 * n")
+    met = met.where(f"a != b AND (linked OR a < b) AND {denominator} * n >= {numerator} * __n AND {denominator} * __n >= {numerator} * n")
     return met.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.first(F.col("n") + F.col("__n")).alias("sizes"))
 
 
 def link_classes(docs: DataFrame, keys: DataFrame, order, size: int = SIZE, numerator: int = NUMERATOR, denominator: int = DENOMINATOR) -> DataFrame:
     """(node, label) over the keys of classes that have a link; order: a broadcast of frequent_shingles()."""
-    if (numerator, denominator) != (NUMERATOR, DENOMINATOR):
-        raise ValueError("the bounds for long posting lists are those of 0.9")
+    if not 0 < numerator < denominator:
+        raise ValueError("the threshold must lie between 0 and 1")
     classes = keys.where("n > 0").groupBy("key").agg(F.min(F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("doc_id"), F.first("n").alias("n"), F.first("rare").alias("rare"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch"))
     classes = written(classes, "classes")
     every = _explode_prefix(classes)
     df = every.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     postings = written(every.join(df, "token"), "postings").join(classes.select("key", "n", "rare"), "key")
-    postings = written(_by_size(_multi_match(postings, numerator, denominator)), "prefixes")
+    postings = written(_by_size(_multi_match(postings, numerator, denominator), numerator, denominator), "prefixes")
 
     # short lists: all pairs of the list, counted
     short = postings.where("length IS NULL").select("token", "list", "step", F.col("key").alias("a"), "n", "k")
@@ -278,8 +281,8 @@ def link_classes(docs: DataFrame, keys: DataFrame, order, size: int = SIZE, nume
     both = near.unionByName(star)
     ids = both.select(F.col("a").alias("key")).unionByName(both.select(F.col("b").alias("key"))).distinct()
     sets = written(_class_sets(docs, classes.select("doc_id", "key").join(ids, "key"), size), "sets")
-    around = written(_around_centres(star, sets, order), "around")
-    more = near_enough(_difference_pairs(around))
+    around = written(_around_centres(star, sets, order, numerator, denominator), "around")
+    more = near_enough(_difference_pairs(around, numerator, denominator))
 
     # one link for each class that no centre holds first; then whatever still connects different components
     pairs = written(near.unionByName(more).distinct(), "pairs")
@@ -312,7 +315,7 @@ def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The rows of docs, all columns, of which each group of near duplicates keeps the one with the smallest doc_id."""
-    groups = near_duplicate_groups(docs.select("doc_id", "text"))
+    groups = near_duplicate_groups(docs.select("doc_id", "text"), STAGE_SIZE, STAGE_NUMERATOR, STAGE_DENOMINATOR)
     kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
     return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi").dropDuplicates(["doc_id"])
 

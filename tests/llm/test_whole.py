@@ -1,0 +1,66 @@
+"""Whole results where less was done before: thresholds, row keys, texts without spaces, candidates, smoothing lengths, open trees."""
+
+import random
+import re
+
+import pytest
+
+from lattica.llm import jaccard
+
+SMALL = "/root/testdata/sf0.001"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def groups_brute(rows, size, numerator, denominator):
+    """The component of each (id, text)."""
+    sets = {}
+    for i, t in rows:
+        w = WORD.findall((t or "").lower())
+        sets[i] = {tuple(w[k : k + size]) for k in range(len(w) - size + 1)} if len(w) >= size else {tuple(w)} - {()}
+    label = {i: i for i in sets}
+
+    def root(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    ids = sorted(sets)
+    for k, a in enumerate(ids):
+        for b in ids[:k]:
+            x, y = sets[a], sets[b]
+            if x and y and denominator * len(x & y) >= numerator * len(x | y):
+                p, q = root(a), root(b)
+                label[max(p, q)] = min(p, q)
+    return {i: root(i) for i in ids}
+
+
+def near_copies(spark, copies=90):
+    """Documents, with copies of one of them that have changed words or further text: between 5-word 0.8 and 3-word 0.9 too."""
+    r = random.Random(11)
+    rows = [(x.doc_id, x.text) for x in spark.read.parquet(f"{SMALL}/documents.parquet").orderBy("doc_id").limit(60).collect()]
+    for base in range(2):
+        words = [f"w{r.randint(0, 400)}" for _ in range(300)]
+        for k in range(copies):
+            own = list(words)
+            for _ in range(r.randint(0, 16)):
+                own[r.randrange(300)] = f"v{r.randint(0, 10**6)}"
+            own += [f"u{r.randint(0, 10**6)}" for _ in range(r.choice((0, 0, 30, 60, 80, 100)))]
+            rows.append((1000 * (base + 1) + k, " ".join(own)))
+    return rows
+
+
+@pytest.mark.parametrize(("long", "size", "numerator", "denominator"), [(64, 5, 8, 10), (4, 5, 8, 10), (4, 3, 3, 5)])
+def test_other_thresholds(spark, monkeypatch, long, size, numerator, denominator):
+    monkeypatch.setattr(jaccard, "LONG", long)
+    monkeypatch.setattr(jaccard, "FREQUENT", 3)
+    rows = near_copies(spark)
+    got = jaccard.near_duplicate_groups(spark.createDataFrame(rows, "doc_id bigint, text string"), size, numerator, denominator).collect()
+    assert {x.doc_id: x.component_id for x in got} == groups_brute(rows, size, numerator, denominator)
+
+
+def test_near_duplicate_stage(spark):
+    rows = near_copies(spark, 40)
+    five = set(groups_brute(rows, 5, 8, 10).values())
+    assert five != set(groups_brute(rows, 3, 9, 10).values())
+    got = jaccard.keep_one(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), SMALL).collect()
+    assert sorted(x.doc_id for x in got) == sorted(five)
