@@ -8,7 +8,8 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: One word of a text: a maximal run without the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -38,6 +39,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def text_digest(text: Column) -> Column:
+    """16 bytes that tell texts apart; null for null."""
+    return F.unhex(F.md5(text.cast("binary")))
+
+
 def partitions(spark: SparkSession) -> int:
     """The session's number of shuffle partitions, which a cluster sets to suit its input."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

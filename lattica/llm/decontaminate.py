@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm.common import blocks, read, text_bytes
+from lattica.llm.common import blocks, read, text_bytes, text_digest
 
 MAX_EDITS = 0.08
 PIECE = 8
@@ -209,9 +209,13 @@ def _matches(index: Index):
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, ratio: float = MAX_EDITS) -> DataFrame:
     """(doc_id, item_id, edits, similarity) for each item that a document of docs (doc_id, text) holds."""
-    spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    kind = "doc_id bigint, item_id bigint, edits bigint, similarity double"
+    return _holders(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), benchmark, ratio)
+
+
+def _holders(rows: DataFrame, benchmark: DataFrame, ratio: float) -> DataFrame:
+    """As contaminated(), of rows (doc_id of any kind, text)."""
+    spark = rows.sparkSession
+    kind = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, item_id bigint, edits bigint, similarity double"
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
     known = [(r["item_id"], normal(r["text"])) for r in items.orderBy("item_id", "text").toLocalIterator()]
     known = [(i, t) for i, t in known if t]
@@ -233,9 +237,11 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The rows of docs, all columns, that hold no benchmark item."""
-    bad = contaminated(docs, read(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["doc_id"]), "left_anti")
+    """The rows of docs, all columns, that hold no benchmark item; rows are told apart by doc_id and text."""
+    row = F.struct(F.col("doc_id").cast("long").alias("id"), text_digest(F.col("text")).alias("md5"))
+    found = _holders(docs.select(row.alias("doc_id"), "text"), read(spark, sf_dir, "benchmark"), MAX_EDITS)
+    bad = found.select(F.col("doc_id.id").alias("__bad_id"), F.col("doc_id.md5").alias("__bad_md5")).distinct()
+    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(bad["__bad_id"]) & (text_digest(docs["text"]) == bad["__bad_md5"]), "left_anti")
 
 
 SQL: dict[str, str] = {}

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm.common import blocks, read, text_bytes, written
+from lattica.llm.common import WORD, blocks, read, text_bytes, text_digest, written
 from lattica.llm.components import components
 from lattica.llm.shingles import shingles
 
@@ -86,8 +86,10 @@ def prefix_length(n: int, numerator: int = NUMERATOR, denominator: int = DENOMIN
     return n - -(-numerator * n // denominator) + 1
 
 
-def document_keys(docs: DataFrame, order, size: int = SIZE, numerator: int = NUMERATOR, denominator: int = DENOMINATOR) -> DataFrame:
-    """doc_id, n, key (digest of the set, null if empty), prefix (the first shingles in order), rare, sketch."""
+def document_keys(docs: DataFrame, order, size: int = SIZE, numerator: int = NUMERATOR, denominator: int = DENOMINATOR, digest: bool = False) -> DataFrame:
+    """doc_id, n, key (digest of the set, null if empty), prefix (the first shingles in order), rare, sketch; text_md5 if asked for."""
+    more = ["text_md5"] if digest else []
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token, times = order.value
         for batch in blocks(batches, "text", 1 << 20):
@@ -108,9 +110,11 @@ def document_keys(docs: DataFrame, order, size: int = SIZE, numerator: int = NUM
                 odd = np.bincount((own.view(np.uint64) >> np.uint64(54)).astype(np.int64), minlength=SKETCH_BITS) & 1
                 rows.append((n, hashlib.blake2b(own.tobytes(), digest_size=16).digest(), own[first].tobytes(), rare, np.packbits(odd.astype(np.uint8)).tobytes()))
             n, key, prefix, rare, sketch = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("doc_id")), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(prefix, pa.binary()), pa.array(rare, pa.int32()), pa.array(sketch, pa.binary())], ["doc_id", "n", "key", "prefix", "rare", "sketch"])
+            given = [batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", *more)]
+            yield pa.RecordBatch.from_arrays([given[0], pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(prefix, pa.binary()), pa.array(rare, pa.int32()), pa.array(sketch, pa.binary()), *given[1:]], ["doc_id", "n", "key", "prefix", "rare", "sketch", *more])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, n bigint, key binary, prefix binary, rare int, sketch binary")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *(text_digest(F.col("text")).alias(c) for c in more))
+    return rows.mapInArrow(run, "doc_id bigint, n bigint, key binary, prefix binary, rare int, sketch binary" + "".join(f", {c} binary" for c in more))
 
 
 def _explode_prefix(classes: DataFrame) -> DataFrame:
@@ -297,13 +301,18 @@ def link_classes(docs: DataFrame, keys: DataFrame, order, size: int = SIZE, nume
     return written(components(sure.unionByName(late)), "labels") if not late.isEmpty() else label
 
 
-def near_duplicate_groups(docs: DataFrame, size: int = SIZE, numerator: int = NUMERATOR, denominator: int = DENOMINATOR) -> DataFrame:
-    """doc_id, n_shingles, key, component_id for each row of docs (doc_id, text)."""
+def _labelled(docs: DataFrame, size: int, numerator: int, denominator: int, digest: bool = False) -> DataFrame:
+    """doc_id, n_shingles, key and label (the component's, null without shingles) of each row of docs; text_md5 if asked for."""
     order = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, size))
-    keys = written(document_keys(docs, order, size, numerator, denominator), "keys")
+    keys = written(document_keys(docs, order, size, numerator, denominator, digest), "keys")
     label = link_classes(docs, keys, order, size, numerator, denominator)
-    rows = keys.select("doc_id", F.col("n").alias("n_shingles"), "key").join(label.withColumnRenamed("node", "key"), "key", "left")
-    rows = rows.withColumn("label", F.coalesce("label", "key"))
+    rows = keys.select("doc_id", F.col("n").alias("n_shingles"), "key", *(["text_md5"] if digest else [])).join(label.withColumnRenamed("node", "key"), "key", "left")
+    return rows.withColumn("label", F.coalesce("label", "key"))
+
+
+def near_duplicate_groups(docs: DataFrame, size: int = SIZE, numerator: int = NUMERATOR, denominator: int = DENOMINATOR) -> DataFrame:
+    """doc_id, n_shingles, key, component_id for each row of docs (doc_id, text)."""
+    rows = _labelled(docs, size, numerator, denominator)
     first = rows.where("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("first"))
     return rows.join(first, "label", "left").select("doc_id", "n_shingles", "key", F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("first")).alias("component_id"))
 
@@ -314,10 +323,20 @@ def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The rows of docs, all columns, of which each group of near duplicates keeps the one with the smallest doc_id."""
-    groups = near_duplicate_groups(docs.select("doc_id", "text"), STAGE_SIZE, STAGE_NUMERATOR, STAGE_DENOMINATOR)
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi").dropDuplicates(["doc_id"])
+    """The rows of docs, all columns, of which each group of near duplicates keeps the one with the smallest doc_id.
+
+    Rows are told apart by doc_id and text: of rows with one doc_id, or none, each group keeps its own. A doc_id comes
+    before none, then the smaller digest of the text. Of rows equal in both one stays. Rows without a word are in no
+    group and all stay.
+    """
+    rows = _labelled(docs.select("doc_id", "text"), STAGE_SIZE, STAGE_NUMERATOR, STAGE_DENOMINATOR, digest=True).where("label IS NOT NULL")
+    first = rows.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_md5")).alias("r"))
+    kept = first.select(F.col("r.doc_id").alias("__kept_id"), F.col("r.text_md5").alias("__kept_md5"))
+    has_word = F.coalesce(F.col("text").rlike(WORD), F.lit(False))
+    own = docs.where(has_word).withColumn("__text_md5", text_digest(F.col("text")))
+    own = own.join(kept, own["doc_id"].cast("long").eqNullSafe(kept["__kept_id"]) & (own["__text_md5"] == kept["__kept_md5"]), "left_semi")
+    own = own.dropDuplicates(["doc_id", "__text_md5"]).drop("__text_md5")
+    return own.unionByName(docs.where(~has_word))
 
 
 SQL: dict[str, str] = {}

@@ -5,7 +5,7 @@ import re
 
 import pytest
 
-from lattica.llm import jaccard
+from lattica.llm import decontaminate, jaccard, toxicity
 
 SMALL = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -64,3 +64,24 @@ def test_near_duplicate_stage(spark):
     assert five != set(groups_brute(rows, 3, 9, 10).values())
     got = jaccard.keep_one(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), SMALL).collect()
     assert sorted(x.doc_id for x in got) == sorted(five)
+
+
+def test_stages_keep_rows_without_or_with_repeated_ids(spark):
+    r = random.Random(7)
+    a, b, c, d = (" ".join(f"{p}{r.randint(0, 10**6)}" for _ in range(120)) for p in "abcd")
+    near = a + " end"
+    kind = "doc_id bigint, text string, source string"
+    rows = [(None, a, "x"), (None, b, "x"), (None, near, "x"), (5, c, "x"), (5, near, "x"), (5, d, "y"), (5, d, "y"), (None, None, "x"), (None, "", "x"), (5, " \n", "x"), (5, None, "x")]
+    got = [tuple(x) for x in jaccard.keep_one(spark, spark.createDataFrame(rows, kind), SMALL).collect()]
+    assert sorted(got, key=str) == sorted([(None, b, "x"), (5, c, "x"), (5, near, "x"), (5, d, "y"), (None, None, "x"), (None, "", "x"), (5, " \n", "x"), (5, None, "x")], key=str)
+
+    item = spark.read.parquet(f"{SMALL}/benchmark.parquet").where("length(text) > 60").orderBy("item_id").first().text
+    rows = [(None, a, "x"), (None, f"{b} {item}", "x"), (None, None, "x"), (5, c, "x"), (5, f"{c} {item}", "x"), (5, "", "x")]
+    got = [tuple(x) for x in decontaminate.drop_contaminated(spark, spark.createDataFrame(rows, kind), SMALL).collect()]
+    assert sorted(got, key=str) == sorted([rows[k] for k in (0, 2, 3, 5)], key=str)
+
+    docs = spark.createDataFrame(rows, kind)
+    got = [tuple(x) for x in toxicity.filter_toxic(spark, docs, SMALL).collect()]
+    scores = toxicity.score(docs.withColumn("doc_id", docs["text"]), toxicity.train(docs, spark.read.parquet(f"{SMALL}/labels.parquet"))).collect()
+    low = {x.doc_id for x in scores if x.score < toxicity.THRESHOLD}
+    assert sorted(got, key=str) == sorted([x for x in rows if x[1] in low], key=str)
