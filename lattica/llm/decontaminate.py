@@ -3,7 +3,8 @@
 Texts and items are normalised (A-Z lower-cased, runs of ASCII white space to one space) and compared as UTF-8 bytes. An
 item of n bytes is found in a document if some passage is within floor(MAX_EDITS * n) byte edits of it.
 
-Windows begin at every word of every document and are as long as an item. Windows that hold too few of the items'
+Windows begin at every word of every document, and at every character of runs of more than LONG_RUN bytes without a
+space (Chinese, Japanese, Thai, packed text), and are as long as an item. Windows that hold too few of the items'
 8-byte pieces to be so near to any item of a length class are out (a count that no window within the distance fails).
 The others go through the CGK embedding: a random walk that at each step puts out the byte under its pointer and moves
 on or stays by a random function of step and byte, so that edits become few Hamming differences. REPEATS walks with
@@ -35,6 +36,8 @@ REPEATS, TABLES, SAMPLE = 5, 16, 6
 SEED = 11
 CLASS_RATIO = 1.15
 ITEMS_AT_ONCE = 20_000
+#: Longer runs without a space have windows at all their characters. Shorter ones have a word's start or end near.
+LONG_RUN = 16
 _PIECE_BITS = 22
 _LANES = 1 << 15
 
@@ -94,6 +97,21 @@ def _pieces(data: np.ndarray) -> np.ndarray:
     return (value * np.uint32(0x9E3779B1)) >> np.uint32(32 - _PIECE_BITS)
 
 
+def _window_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where words begin, and every character of runs of more than LONG_RUN bytes without a space."""
+    first = np.zeros(len(data), bool)
+    first[offsets[:-1][offsets[:-1] < len(data)]] = True
+    stops = np.flatnonzero(first | (data == 32))
+    first[1:] |= data[:-1] == 32
+    first &= data != 32
+    lengths = np.diff(np.append(stops, len(data)))
+    long = np.repeat(lengths > LONG_RUN, lengths)
+    inside = np.zeros(len(data), bool)
+    if len(stops):
+        inside[stops[0] :] = long
+    return np.flatnonzero(first | inside & (data != 32) & ((data & 0xC0) != 0x80))
+
+
 class Index:
     """Length classes of items, each with its hash tables."""
 
@@ -148,10 +166,7 @@ class Index:
         if len(data) < PIECE:
             return
         holders = self.holders[_pieces(data)]
-        first = np.zeros(len(data), bool)
-        first[offsets[:-1][offsets[:-1] < len(data)]] = True
-        first[1:] |= data[:-1] == 32
-        starts = np.flatnonzero(first & (data != 32))
+        starts = _window_starts(data, offsets)
         ends = offsets[np.searchsorted(offsets, starts, "right")]
         padded = np.concatenate([data, np.zeros(1, np.uint8)])
         for number, c in enumerate(self.classes):

@@ -85,3 +85,14 @@ def test_stages_keep_rows_without_or_with_repeated_ids(spark):
     scores = toxicity.score(docs.withColumn("doc_id", docs["text"]), toxicity.train(docs, spark.read.parquet(f"{SMALL}/labels.parquet"))).collect()
     low = {x.doc_id for x in scores if x.score < toxicity.THRESHOLD}
     assert sorted(got, key=str) == sorted([x for x in rows if x[1] in low], key=str)
+
+
+def test_items_in_texts_without_spaces(spark):
+    r = random.Random(13)
+    han = lambda n: "".join(chr(r.randint(0x4E00, 0x9FA5)) for _ in range(n))
+    packed = lambda n: "".join(r.choices("abcdefghijklmnopqrstuvwxyz(){};=", k=n))
+    items = [(1, han(60)), (2, packed(150)), (3, "ทดสอบ" + han(40))]
+    docs = [(i, make(200) + t + make(150)) for (i, t), make in zip(items, (han, packed, han), strict=True)]
+    docs += [(4, han(400)), (5, packed(900)), (6, han(30) + " " + han(77) + items[0][1][:20] + "x" + items[0][1][21:] + han(50)), (7, ""), (8, "one two " + packed(40) + items[1][1])]
+    found = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    assert sorted((x.doc_id, x.item_id, x.edits) for x in found) == [(1, 1, 0), (2, 2, 0), (3, 3, 0), (6, 1, 3), (8, 2, 0)]
