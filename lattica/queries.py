@@ -20,7 +20,7 @@ from lattica.operators.ordering import with_rank
 from lattica.plans.held import held
 from lattica.plans.power_spectrum import power_spectrum
 from lattica.sources import snapshots
-from lattica.sources.particles import PARTICLE_SQL, particles, uniform_coordinates
+from lattica.sources.particles import PARTICLE_SQL, particles
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -677,5 +677,4 @@ def neighbor_topk(spark, sf_dir):
 
 @query()
 def smoothing_length_adjust(spark, sf_dir):
-    df = uniform_coordinates(spark, 2000).withColumn("h", F.lit(0.05))
-    return N.adjust_smoothing(df, 40, rounds=4)
+    return N.adjust_smoothing(particles(spark, sf_dir), 40)
