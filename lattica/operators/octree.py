@@ -150,6 +150,8 @@ def continuum_octree(spark, concentration: Callable[[Column, Column, Column], Co
         if open_nodes.isEmpty():
             break
         nodes = counted(children(open_nodes).select("level", "key"))
+    else:  # the last nodes are leaves as they are, so that the tree has no holes
+        out = out.unionByName(nodes)
     return out
 
 

@@ -9,6 +9,7 @@ import pytest
 
 from lattica import queries
 from lattica.llm import decontaminate, jaccard, secrets_scan, toxicity
+from lattica.operators import octree
 from lattica.sources.particles import particles
 
 SMALL = "/root/testdata/sf0.001"
@@ -134,3 +135,8 @@ def test_smoothing_of_the_particle_table(spark, tmp_path):
     assert list(got) and sorted(got) == [r.pid for r in rows]
     assert [got[r.pid] for r in rows] == pytest.approx(h.tolist())
     assert abs(count() - 40).max() <= 20
+
+
+def test_continuum_tree_has_no_holes(spark):
+    leaves = octree.continuum_octree(spark, lambda x, y, z: 0 * x + 1e6, bucket=10, rounds=1).collect()
+    assert sum(8.0**-r.level for r in leaves) == 1
