@@ -50,13 +50,15 @@ def partitions(spark: SparkSession) -> int:
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder's URI below spark.checkpoint.dir; where that is unset (tests), below a temporary folder."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    """A new folder's URI below spark.checkpoint.dir; where that is unset, on one machine, below a temporary folder."""
+    context = spark.sparkContext
+    base = context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not base:
-        known = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = known.get() if known.isDefined() else f"file://{tempfile.mkdtemp(prefix='lattica-')}"
-        if not known.isDefined():
-            spark.sparkContext.setCheckpointDir(base)
+        if not context.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
+        base = f"file://{tempfile.mkdtemp(prefix='lattica-')}"
+        context.setCheckpointDir(base)
+        base = context.getCheckpointDir()
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -67,6 +69,30 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder in any store that Spark knows."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+class Tables:
+    """Tables of one piece of work, which go when it is done."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.folder, self.paths = spark, shared_dir(spark, name), {}
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{self.folder}/{len(self.paths)}-{name}"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = path, out
+        return out
+
+    def delete(self, table: DataFrame | None = None) -> None:
+        """One table, or all of them."""
+        delete(self.spark, self.folder if table is None else self.paths[id(table)][0])
+
+
 def filesystem(uri: str) -> tuple[pa.fs.FileSystem, str]:
     """The store that holds a URI and the path within it; any store that Arrow knows."""
     import pyarrow.fs as fs

@@ -1,8 +1,9 @@
 """N-gram Jaccard join with adaptive multi-match prefixes.
 
 A document is the set of its distinct word shingles; equal sets form a class, and classes are joined. Shingles have one
-order: those that few documents have come first (exactly the frequent ones are told apart, by counts over all
-documents), equal ones by hash. If two sets are alike enough, their prefixes of length n - ceil(t n) + k share k
+order: those that a table of frequent ones doesn't name come first, the table's by their counts, equal ones by hash.
+The table has what repeats within stretches of the documents and is bounded; it settles the order and nothing else, so
+that results are exact whatever it misses. If two sets are alike enough, their prefixes of length n - ceil(t n) + k share k
 shingles at least. Each class picks its own k from 1 to MOST_MATCHES: a longer prefix meets more postings, but its
 candidates must share more. Its cost is estimated from the counts of its prefix's shingles. A pair becomes a candidate
 if the two prefixes share as many shingles as the smaller k of the two.
@@ -11,7 +12,13 @@ A posting list longer than LONG is cut by size, since linked sets have like size
 isn't multiplied out. The class in it with the fewest rare shingles becomes its centre;
 every member is compared with the centre. Two members of which one isn't linked to the centre can only be linked if
 their differences from the centre have shingles in common, and enough of them for a prefix of the differences to show
-it; so the same join runs on these differences, and pairs that the centre already connects are never made.
+it; so the same join runs on these differences, and pairs that the centre already connects are never made. In that
+order the centre's own shingles, which all members that are unlike it lack, come last. A list of a centre and a
+shingle that more than LONG members could drive pairs in is long again and gets a centre of its own, and so on; there the order also puts off what about SAMPLED of the members have in common. A list's centre is the least of its
+members, and the next lists have only members after it, so this ends. No list gives more than LONG pairs a member.
+
+Lists that a task would feel are few, by the bound HOT_LISTS; what belongs to each of them is broadcast to their
+members, so that no shuffle brings a list's members together.
 
 Candidates are first held against a sketch that bounds their difference from below, then links that would connect
 what isn't connected yet are verified on the whole sets. Components come from star contractions. No step is
@@ -24,6 +31,7 @@ another doc_id; an empty table gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 from collections.abc import Iterator
@@ -33,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm.common import WORD, blocks, read, text_bytes, text_digest, written
+from lattica.llm.common import WORD, Tables, blocks, read, text_bytes, text_digest, written
 from lattica.llm.components import components
 from lattica.llm.shingles import shingles
 
@@ -44,6 +52,9 @@ MOST_MATCHES = 6
 LONG = 64
 FREQUENT, MOST_FREQUENT = 16, 1 << 16
 SKETCH_BITS = 1024
+SAMPLED = 32
+#: A list is hot if it has more than HOT_ROWS rows, and more than one in HOT_LISTS of all rows.
+HOT_ROWS, HOT_LISTS = 256, 4096
 FILTER_BITS = 1 << 23
 #: Cost of verifying a candidate, in postings read.
 _VERIFY = 20
@@ -57,7 +68,8 @@ def _sets(batch: pa.RecordBatch, size: int) -> Iterator[np.ndarray]:
 
 
 def frequent_shingles(docs: DataFrame, size: int = SIZE, least: int = FREQUENT, most: int = MOST_FREQUENT) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent shingles, sorted, and their counts; at most `most`. They only settle the order."""
+    """The most frequent of the shingles that repeat within a stretch of documents, sorted, and how often stretches say so;
+    at most `most`. They only settle the order."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -137,9 +149,9 @@ def _popcount(column: str, other: str) -> F.Column:
     return sum((F.bit_count(word(column, k).bitwiseXOR(word(other, k))) for k in range(SKETCH_BITS // 64)), F.lit(0))
 
 
-def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    rows = pairs.select("a", "b").join(sets.select(F.col("key").alias("a"), F.col("tokens").alias("ta")), "a")
-    return rows.join(sets.select(F.col("key").alias("b"), F.col("tokens").alias("tb")), "b").select("a", "b", "ta", "tb")
+def _with_sets(pairs: DataFrame, sets: DataFrame, *more: str) -> DataFrame:
+    rows = pairs.select("a", "b", *more).join(sets.select(F.col("key").alias("a"), F.col("tokens").alias("ta")), "a")
+    return rows.join(sets.select(F.col("key").alias("b"), F.col("tokens").alias("tb")), "b").select("a", "b", "ta", "tb", *more)
 
 
 def _two_sets(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -161,20 +173,41 @@ def _linked(pairs: DataFrame, sets: DataFrame, numerator: int, denominator: int)
     return _with_sets(pairs, sets).mapInArrow(run, "a binary, b binary")
 
 
-def _around_centres(pairs: DataFrame, sets: DataFrame, order, numerator: int, denominator: int) -> DataFrame:
-    """Of pairs (centre a, member b): nb, linked, and the prefix of their difference that a linked pair would show.
+def _difference_counts(star: DataFrame, sets: DataFrame, tables: Tables) -> DataFrame:
+    """(a, common): shingles in which about SAMPLED members differ from their centre a, that two of them share, with how many do."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            delta = [np.setxor1d(c, x, assume_unique=True) for c, x in _two_sets(batch)]
+            if delta:
+                index = np.repeat(np.arange(len(delta)), [len(d) for d in delta])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(index)), pa.array(np.concatenate(delta), pa.int64())], ["a", "token"])
+
+    members = tables.written(star.groupBy("a").agg(F.count(F.lit(1)).alias("length")), "stars")
+    one_in = F.greatest(F.lit(1), F.ceil(F.col("length") / SAMPLED))
+    some = _attached(star, members, "a", "length").where(F.pmod(F.xxhash64("b"), one_in) == 0)
+    counts = _with_sets(some, sets).mapInArrow(run, "a binary, token bigint").groupBy("a", "token").agg(F.count(F.lit(1)).cast("int").alias("n")).where("n > 1")
+    return counts.groupBy("a").agg(F.sort_array(F.collect_list(F.struct("token", "n"))).alias("common"))
+
+
+def _around_centres(star: DataFrame, sets: DataFrame, order, numerator: int, denominator: int, counts: DataFrame | None = None) -> DataFrame:
+    """Of (centre a, member b, rare): nb, linked, rare, excess, few, and the prefix of their difference that a linked pair would show.
 
     Sets of sizes x and y are linked if they differ in (x + y) (1 - t) / (1 + t) shingles at most (for t = 0.9, in a
     19th of x + y). From that follows how much two differences from a centre must share: for a member that isn't linked
-    to the centre, with any other; for a linked one, with members that aren't.
+    to the centre, with any other; for a linked one, with members that aren't. It is also at least the mean of what the
+    two differences exceed their sets' shares by; so of the one with the smaller excess (more times it, for a whole
+    number) the first `few` shingles show the pair. The order of a difference is the same for
+    all members of a centre: by counts (a, common) where given, then the members' before the centre's, then by order.
     """
-    less, more = denominator - numerator, denominator + numerator
+    less, more, counted = denominator - numerator, denominator + numerator, counts is not None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token, times = order.value
         for batch in batches:
-            size, linked, prefix = [], [], []
-            for c, x in _two_sets(batch):
+            size, linked, excess, few, prefix = [], [], [], [], []
+            commons = batch.column(5) if counted else None
+            for row, (c, x) in enumerate(_two_sets(batch)):
                 delta, nc, n = np.setxor1d(c, x, assume_unique=True), len(c), len(x)
                 near = more * len(delta) <= less * (nc + n)
                 if near:
@@ -182,16 +215,48 @@ def _around_centres(pairs: DataFrame, sets: DataFrame, order, numerator: int, de
                 else:
                     other = max(1.0, len(delta) - n * (1 + denominator / numerator) * less / more)
                     need = (len(delta) + other * (1 - less / more) - (n + nc) * less / more) / 2
-                length = len(delta) - max(1, math.ceil(need - 1e-6)) + 1
-                if len(token):
-                    at = np.minimum(np.searchsorted(token, delta), len(token) - 1)
-                    delta = delta[np.argsort(np.where(token[at] == delta, times[at], 0), kind="stable")]
+                over = more * len(delta) - less * n
+                need = max(1, math.ceil(need - 1e-6), math.ceil((over - less * n * denominator / numerator) / more - 1e-6))
+                length = len(delta) - need + 1
+                few.append(len(delta) - max(need, -(-over // more)) + 1)
+                excess.append(over)
+                if length > 0:
+                    ranks = [c[np.minimum(np.searchsorted(c, delta), nc - 1)] == delta]
+                    if len(token):
+                        at = np.minimum(np.searchsorted(token, delta), len(token) - 1)
+                        ranks.insert(0, np.where(token[at] == delta, times[at], 0))
+                    if commons is not None and (own := commons[row]).is_valid and len(own.values):
+                        known, often = (own.values.field(k).to_numpy() for k in (0, 1))
+                        at = np.minimum(np.searchsorted(known, delta), len(known) - 1)
+                        ranks.append(np.where(known[at] == delta, often[at], 0))
+                    delta = delta[np.lexsort(ranks)[:length]]
                 size.append(n)
                 linked.append(near)
                 prefix.append(delta[: max(0, length)].tolist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(size, pa.int64()), pa.array(linked, pa.bool_()), pa.array(prefix, pa.list_(pa.int64()))], ["a", "b", "nb", "linked", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(size, pa.int64()), pa.array(linked, pa.bool_()), batch.column(4), pa.array(excess, pa.int64()), pa.array(few, pa.int64()), pa.array(prefix, pa.list_(pa.int64()))], ["a", "b", "nb", "linked", "rare", "excess", "few", "prefix"])
+
+    extra = ["rare"]
+    if counted:
+        star = star.join(counts, "a", "left")
+        extra.append("common")
+    return _with_sets(star, sets, *extra).mapInArrow(run, "a binary, b binary, nb bigint, linked boolean, rare int, excess bigint, few bigint, prefix array<bigint>")
 
-    return _with_sets(pairs, sets).mapInArrow(run, "a binary, b binary, nb bigint, linked boolean, prefix array<bigint>")
+
+def _hot_length(table: DataFrame, count: str) -> int | None:
+    """From which count on keys of a table are hot: HOT_LISTS of them at most; None if none is."""
+    most, total = table.agg(F.max(count), F.sum(count)).first()
+    least = max(HOT_ROWS, (total or 0) // HOT_LISTS)
+    return least if (most or 0) > least else None
+
+
+def _attached(rows: DataFrame, table: DataFrame, on: str, count: str) -> DataFrame:
+    """rows with the columns of table, which has count, the number of rows, for each key; rows of hot keys aren't shuffled."""
+    least = _hot_length(table, count)
+    if least is None:
+        return rows.join(table, on)
+    hot = F.broadcast(table.where(F.col(count) > least))
+    rest = rows.join(hot.select(on), on, "left_anti").join(table.where(F.col(count) <= least), on)
+    return rows.join(hot, on).unionByName(rest)
 
 
 def _class_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
@@ -242,27 +307,58 @@ def _by_size(postings: DataFrame, numerator: int, denominator: int) -> DataFrame
     return rows.join(long, ["token", "list"], "left")
 
 
-def _difference_pairs(star: DataFrame, numerator: int, denominator: int) -> DataFrame:
-    """Pairs (a, b) that share a centre, aren't both linked to it, and whose differences from it share what linked pairs must."""
-    rows = star.select(F.col("a").alias("centre"), F.col("b").alias("key"), F.col("nb").alias("n"), "linked", F.explode("prefix").alias("token"))
-    shared = rows.groupBy("centre", "token").agg(F.count(F.lit(1)).alias("df"), F.max(~F.col("linked")).alias("open")).where("df > 1 AND open").select("centre", "token")
-    rows = written(rows.join(shared, ["centre", "token"]), "differences")
-    left = rows.where("NOT linked").select("centre", "token", F.col("key").alias("a"), F.col("n").alias("__n"))
-    met = left.join(rows.select("centre", "token", F.col("key").alias("b"), "n", "linked"), ["centre", "token"])
-    met = met.where(f"a != b AND (linked OR a < b) AND {denominator} * n >= {numerator} * __n AND {denominator} * __n >= {numerator} * n")
+def _lists(around: DataFrame, tables: Tables) -> tuple[DataFrame, DataFrame]:
+    """The lists of a centre and a shingle that can show links, from _around_centres().
+
+    Members of the lists in which LONG at most drive pairs (those that aren't linked to the centre, or those that have
+    the shingle among their first few); and (lid, key, rare, length) of the longer ones.
+    """
+    rows = around.select(F.col("a").alias("centre"), F.col("b").alias("key"), F.col("nb").alias("n"), "linked", "rare", "excess", "few", F.posexplode("prefix").alias("pos", "token"))
+    rows = tables.written(rows.select(F.xxhash64("centre", "token").alias("lid"), "key", "n", "linked", "rare", "excess", (F.col("pos") < F.col("few")).alias("early")), "differences")
+    number = lambda c: F.sum(c.cast("long"))
+    lists = rows.groupBy("lid").agg(F.count(F.lit(1)).alias("length"), number(~F.col("linked")).alias("open"), number(F.col("early")).alias("first"))
+    lists = tables.written(lists.where("length > 1 AND open > 0 AND first > 0"), "lists")
+    rows = tables.written(_attached(rows, lists, "lid", "length"), "members")
+    short = F.least("open", "first") <= LONG
+    drives = F.when(F.col("open") <= F.col("first"), ~F.col("linked")).otherwise(F.col("early"))
+    return rows.where(short).withColumn("drives", drives), rows.where(~short).select("lid", "key", "rare", "length")
+
+
+def _open_pairs(members: DataFrame, numerator: int, denominator: int) -> DataFrame:
+    """Pairs (a, b, sizes) of members of a list that can be linked and that its centre doesn't connect: LONG for each member at most."""
+    least = _hot_length(members.groupBy("lid").agg(F.max("length").alias("length")), "length")
+    own = [F.col(c).alias(f"__{c}") for c in ("n", "linked", "excess", "early", "drives")]
+    left = members.where("drives").select("lid", F.col("key").alias("a"), *own, "length")
+    right = members.select("lid", F.col("key").alias("b"), "n", "linked", "excess", "early", "drives", "length")
+    if least is None:
+        met = left.drop("length").join(right, "lid")
+    else:
+        met = left.where(F.col("length") <= least).drop("length").join(right.where(F.col("length") <= least), "lid")
+        met = met.unionByName(right.where(F.col("length") > least).join(F.broadcast(left.where(F.col("length") > least).drop("length")), "lid"))
+    met = met.where("a != b AND (NOT drives OR a < b) AND NOT (linked AND __linked)")
+    met = met.where("CASE WHEN struct(__excess, a) < struct(excess, b) THEN __early ELSE early END")
+    met = met.where(f"{denominator} * n >= {numerator} * __n AND {denominator} * __n >= {numerator} * n")
     return met.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.first(F.col("n") + F.col("__n")).alias("sizes"))
 
 
+def _stars(members: DataFrame, tables: Tables) -> DataFrame:
+    """(a, b, rare) from (lid, key, rare, length): each list's centre with each of its other members."""
+    centres = tables.written(members.groupBy("lid").agg(F.min(F.struct("rare", "key"))["key"].alias("a"), F.max("length").alias("length")), "centres")
+    rows = _attached(members.select("lid", F.col("key").alias("b"), "rare"), centres, "lid", "length")
+    return tables.written(rows.where("a != b").select("a", "b", "rare").distinct(), "star")
+
+
 def link_classes(docs: DataFrame, keys: DataFrame, order, size: int = SIZE, numerator: int = NUMERATOR, denominator: int = DENOMINATOR) -> DataFrame:
     """(node, label) over the keys of classes that have a link; order: a broadcast of frequent_shingles()."""
     if not 0 < numerator < denominator:
         raise ValueError("the threshold must lie between 0 and 1")
     classes = keys.where("n > 0").groupBy("key").agg(F.min(F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("doc_id"), F.first("n").alias("n"), F.first("rare").alias("rare"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch"))
-    classes = written(classes, "classes")
+    tables = Tables(docs.sparkSession, "links")
+    classes = tables.written(classes, "classes")
     every = _explode_prefix(classes)
     df = every.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    postings = written(every.join(df, "token"), "postings").join(classes.select("key", "n", "rare"), "key")
-    postings = written(_by_size(_multi_match(postings, numerator, denominator), numerator, denominator), "prefixes")
+    postings = tables.written(every.join(df, "token"), "postings").join(classes.select("key", "n", "rare"), "key")
+    postings = tables.written(_by_size(_multi_match(postings, numerator, denominator), numerator, denominator), "prefixes")
 
     # short lists: all pairs of the list, counted
     short = postings.where("length IS NULL").select("token", "list", "step", F.col("key").alias("a"), "n", "k")
@@ -275,30 +371,39 @@ def link_classes(docs: DataFrame, keys: DataFrame, order, size: int = SIZE, nume
         held = pairs.join(sketches.select(F.col("key").alias("a"), F.col("sketch").alias("sa")), "a").join(sketches.select(F.col("key").alias("b"), F.col("sketch").alias("sb")), "b")
         return held.where(_popcount("sa", "sb") * (denominator + numerator) <= F.col("sizes") * (denominator - numerator)).select("a", "b")
 
-    near = written(near_enough(close), "near")
-
-    # long lists: each member with the list's centre
-    long = postings.where("length IS NOT NULL")
-    centres = long.groupBy("token", "list").agg(F.min(F.struct("rare", "key"))["key"].alias("a"))
-    star = written(long.select("token", "list", F.col("key").alias("b")).join(centres, ["token", "list"]).where("a != b").select("a", "b").distinct(), "star")
+    near = tables.written(near_enough(close), "near")
 
-    both = near.unionByName(star)
+    # long lists: each member with the list's centre, then lists of differences from it, until none is long
+    star = _stars(postings.where("length IS NOT NULL").select(F.xxhash64("token", "list").alias("lid"), "key", "rare", "length"), tables)
+    both = near.unionByName(star.select("a", "b"))
     ids = both.select(F.col("a").alias("key")).unionByName(both.select(F.col("b").alias("key"))).distinct()
-    sets = written(_class_sets(docs, classes.select("doc_id", "key").join(ids, "key"), size), "sets")
-    around = written(_around_centres(star, sets, order, numerator, denominator), "around")
-    more = near_enough(_difference_pairs(around, numerator, denominator))
+    sets = tables.written(_class_sets(docs, classes.select("doc_id", "key").join(ids, "key"), size), "sets")
+    pairs, linked, counts = near, [], None
+    while not star.isEmpty():
+        around = tables.written(_around_centres(star, sets, order, numerator, denominator, counts), "around")
+        linked.append(around.where("linked").select("a", "b"))
+        members, longer = _lists(around, tables)
+        pairs = pairs.unionByName(near_enough(_open_pairs(members, numerator, denominator)))
+        star = _stars(longer, tables)
+        counts = _difference_counts(star, sets, tables)
+    if linked:
+        pairs = tables.written(pairs.distinct(), "pairs")
+    around = functools.reduce(DataFrame.unionByName, linked, pairs.where("false"))
 
     # one link for each class that no centre holds first; then whatever still connects different components
-    pairs = written(near.unionByName(more).distinct(), "pairs")
-    held = around.where("linked").select("b").distinct()
+    held = around.select("b").distinct()
     nearest = pairs.join(held, "b", "left_anti").groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    sure = written(around.where("linked").select("a", "b").unionByName(_linked(nearest, sets, numerator, denominator)), "sure")
-    label = components(sure)
+    sure = tables.written(around.unionByName(_linked(nearest, sets, numerator, denominator)), "sure")
+    label = components(sure, tables)
     named = lambda c: label.select(F.col("node").alias(c), F.col("label").alias(f"l{c}"))
     apart = pairs.join(nearest, ["a", "b"], "left_anti").join(named("a"), "a", "left").join(named("b"), "b", "left")
     apart = apart.where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
-    late = written(_linked(apart, sets, numerator, denominator), "late")
-    return written(components(sure.unionByName(late)), "labels") if not late.isEmpty() else label
+    late = tables.written(_linked(apart, sets, numerator, denominator), "late")
+    if not late.isEmpty():
+        label = components(sure.unionByName(late), tables)
+    out = written(label, "labels")
+    tables.delete()
+    return out
 
 
 def _labelled(docs: DataFrame, size: int, numerator: int, denominator: int, digest: bool = False) -> DataFrame:
@@ -306,15 +411,17 @@ def _labelled(docs: DataFrame, size: int, numerator: int, denominator: int, dige
     order = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, size))
     keys = written(document_keys(docs, order, size, numerator, denominator, digest), "keys")
     label = link_classes(docs, keys, order, size, numerator, denominator)
-    rows = keys.select("doc_id", F.col("n").alias("n_shingles"), "key", *(["text_md5"] if digest else [])).join(label.withColumnRenamed("node", "key"), "key", "left")
-    return rows.withColumn("label", F.coalesce("label", "key"))
+    rows = keys.select("doc_id", F.col("n").alias("n_shingles"), "key", *(["text_md5"] if digest else []))
+    named = rows.where("key IS NOT NULL").join(label.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
+    return named.unionByName(rows.where("key IS NULL").withColumn("label", F.lit(None).cast("binary")))
 
 
 def near_duplicate_groups(docs: DataFrame, size: int = SIZE, numerator: int = NUMERATOR, denominator: int = DENOMINATOR) -> DataFrame:
     """doc_id, n_shingles, key, component_id for each row of docs (doc_id, text)."""
     rows = _labelled(docs, size, numerator, denominator)
     first = rows.where("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("first"))
-    return rows.join(first, "label", "left").select("doc_id", "n_shingles", "key", F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("first")).alias("component_id"))
+    named = rows.where("label IS NOT NULL").join(first, "label").select("doc_id", "n_shingles", "key", F.col("first").alias("component_id"))
+    return named.unionByName(rows.where("label IS NULL").select("doc_id", "n_shingles", "key", F.col("doc_id").alias("component_id")))
 
 
 def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

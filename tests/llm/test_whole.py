@@ -140,3 +140,37 @@ def test_smoothing_of_the_particle_table(spark, tmp_path):
 def test_continuum_tree_has_no_holes(spark):
     leaves = octree.continuum_octree(spark, lambda x, y, z: 0 * x + 1e6, bucket=10, rounds=1).collect()
     assert sum(8.0**-r.level for r in leaves) == 1
+
+
+def passages(n, shared, own, seed=23):
+    """n documents that share passages of 30 words, of which each has one of `shared` in its middle or all of them, and have nothing else in common."""
+    r = random.Random(seed)
+    words = lambda p, k: " ".join(f"{p}{r.randint(0, 10**9)}" for _ in range(k))
+    common = [words(f"c{k}x", 30) for k in range(shared)]
+    return [(k, " ".join([words("a", own), *common, words("b", own)])) for k in range(n)]
+
+
+@pytest.mark.parametrize(("shared", "own"), [(1, 60), (3, 40), (8, 12)])
+def test_unrelated_documents_with_common_passages(spark, monkeypatch, shared, own):
+    made = []
+    empty = np.zeros(0, np.int64)
+    monkeypatch.setattr(jaccard, "frequent_shingles", lambda *a, **k: (empty, empty))
+    open_pairs = jaccard._open_pairs
+    monkeypatch.setattr(jaccard, "_open_pairs", lambda *a: made.append(open_pairs(*a).count()) or open_pairs(*a))
+    for n in (150, 600):
+        rows = passages(n, shared, own)
+        rows += [(10_000 + k, t + " end") for k, t in rows[:5]]
+        got = jaccard.near_duplicate_groups(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+        if n == 150:
+            assert {x.doc_id: x.component_id for x in got} == groups_brute(rows, 3, 9, 10)
+        assert sum(made) <= jaccard.LONG * n, made
+        made.clear()
+
+
+def test_hot_lists_need_no_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "HOT_ROWS", 8)
+    monkeypatch.setattr(jaccard, "LONG", 4)
+    monkeypatch.setattr(jaccard, "FREQUENT", 3)
+    rows = near_copies(spark)
+    got = jaccard.near_duplicate_groups(spark.createDataFrame(rows, "doc_id bigint, text string"), 5, 8, 10).collect()
+    assert {x.doc_id: x.component_id for x in got} == groups_brute(rows, 5, 8, 10)
