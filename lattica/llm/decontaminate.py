@@ -3,16 +3,18 @@
 Texts and items are normalised (A-Z lower-cased, runs of ASCII white space to one space) and compared as UTF-8 bytes. An
 item of n bytes is found in a document if some passage is within floor(MAX_EDITS * n) byte edits of it.
 
-Windows begin at every word of every document, and at every character of runs of more than LONG_RUN bytes without a
-space (Chinese, Japanese, Thai, packed text), and are as long as an item. Windows that hold too few of the items'
+Windows begin at every word of every document, at every character of runs of more than LONG_RUN bytes without a space
+(Chinese, Japanese, Thai, packed text), and at every character of words at which a window nearly passes the count
+below; they are as long as an item. Windows that hold too few of the items'
 8-byte pieces to be so near to any item of a length class are out (a count that no window within the distance fails).
 The others go through the CGK embedding: a random walk that at each step puts out the byte under its pointer and moves
 on or stays by a random function of step and byte, so that edits become few Hamming differences. REPEATS walks with
 TABLES samples of SAMPLE steps each hash windows and items; whatever shares a bucket is verified by an exact
 bit-parallel edit distance.
 
-Items are indexed on the driver, ITEMS_AT_ONCE at a time; larger benchmarks take as many passes. Nothing that grows with the documents
-is gathered.
+Items are indexed on the driver, ITEMS_AT_ONCE or ITEM_BYTES of them at a time (one longer item alone); larger
+benchmarks take as many passes. So an index of at most about 60 MB, and its longest item, is broadcast. Nothing that
+grows with the documents is gathered.
 
 Defined results: null and empty texts match nothing; items that are empty after normalisation are ignored; equal items
 match each; repeated rows of documents give repeated results; an empty table on either side gives an empty result;
@@ -29,16 +31,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.llm.common import blocks, read, text_bytes, text_digest
+from lattica.llm.shingles import mix
 
 MAX_EDITS = 0.08
 PIECE = 8
 REPEATS, TABLES, SAMPLE = 5, 16, 6
 SEED = 11
 CLASS_RATIO = 1.15
-ITEMS_AT_ONCE = 20_000
+ITEMS_AT_ONCE, ITEM_BYTES = 20_000, 8 << 20
 #: Longer runs without a space have windows at all their characters. Shorter ones have a word's start or end near.
 LONG_RUN = 16
 _PIECE_BITS = 22
+#: Steps of a walk whose moves are kept; those of further steps are made anew.
+_KEPT_STEPS = 2048
 _LANES = 1 << 15
 
 
@@ -62,6 +67,8 @@ def normal(text: str) -> bytes:
 def best_edits(item: bytes, text: bytes) -> tuple[int, int]:
     """Least number of edits between item and any part of text, and the end of the first such part (bit-parallel)."""
     m = len(item)
+    if (at := text.find(item)) >= 0:
+        return 0, at + m
     full, high = (1 << m) - 1, 1 << (m - 1)
     masks: dict[int, int] = {}
     for k, c in enumerate(item):
@@ -112,13 +119,18 @@ def _window_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.flatnonzero(first | inside & (data != 32) & ((data & 0xC0) != 0x80))
 
 
+def _moves(repeat: int, step: int) -> np.ndarray:
+    """Whether a walk moves on from each byte at a step."""
+    return (mix(np.arange(256, dtype=np.uint64) + np.uint64((SEED * REPEATS + repeat << 40) + (step << 8))) >> np.uint64(63)).astype(np.int64)
+
+
 class Index:
     """Length classes of items, each with its hash tables."""
 
     def __init__(self, items: list[tuple[int, bytes]], ratio: float = MAX_EDITS):
         self.items, self.ratio, rng = items, ratio, np.random.default_rng(SEED)
         longest = max(len(t) for _, t in items)
-        self.moves = rng.integers(0, 2, (REPEATS, 2 * longest + 2, 256), np.int32)
+        self.moves = [[_moves(repeat, step) for step in range(min(_KEPT_STEPS, 2 * longest + 2))] for repeat in range(REPEATS)]
         self.classes = []
         holders = np.zeros(1 << _PIECE_BITS, np.uint64)
         order = sorted(range(len(items)), key=lambda k: len(items[k][1]))
@@ -150,12 +162,12 @@ class Index:
         """For each table the key of each window; the walk stays on a window's last byte."""
         at, wanted = start.astype(np.int64), set(samples.ravel().tolist())
         seen = {}
-        moves = self.moves[repeat]
+        moves, kept = self.moves[repeat], len(self.moves[repeat])
         for step in range(max(wanted) + 1):
             byte = data[at]
             if step in wanted:
                 seen[step] = byte
-            at = np.minimum(at + moves[step][byte], last)
+            at = np.minimum(at + (moves[step] if step < kept else _moves(repeat, step))[byte], last)
         out = np.zeros((len(samples), len(start)), np.uint64)
         for place in range(samples.shape[1]):
             out = out << np.uint64(8) | np.stack([seen[step] for step in samples[:, place].tolist()])
@@ -166,16 +178,30 @@ class Index:
         if len(data) < PIECE:
             return
         holders = self.holders[_pieces(data)]
-        starts = _window_starts(data, offsets)
-        ends = offsets[np.searchsorted(offsets, starts, "right")]
+        starts, gaps = _window_starts(data, offsets), np.flatnonzero(data == 32)
         padded = np.concatenate([data, np.zeros(1, np.uint8)])
         for number, c in enumerate(self.classes):
             hit = (holders & holders.dtype.type(1 << number % 64)) != 0
             total = np.concatenate([np.zeros(1, np.int32), np.cumsum(hit, dtype=np.int32)])
-            stop = np.minimum(starts + c["span"], ends)
-            held = total[np.minimum(np.maximum(stop - PIECE + 1, starts), len(hit))] - total[np.minimum(starts, len(hit))]
-            ok = held >= c["need"]
-            lanes, lane_ends = starts[ok], ends[ok]
+
+            def held(begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+                """Pieces that windows from these places hold, and where their texts end."""
+                ends = offsets[np.searchsorted(offsets, begin, "right")]
+                stop = np.minimum(begin + c["span"], ends)
+                return total[np.minimum(np.maximum(stop - PIECE + 1, begin), len(hit))] - total[np.minimum(begin, len(hit))], ends
+
+            pieces, ends = held(starts)
+            lanes, lane_ends = starts[pieces >= c["need"]], ends[pieces >= c["need"]]
+            # an item may begin within a short word
+            near = starts[pieces >= max(1, c["need"] - LONG_RUN)]
+            if len(near):
+                word = np.append(gaps, len(data))[np.searchsorted(gaps, near)] - near
+                word = np.where(word <= LONG_RUN, np.maximum(word - 1, 0), 0)
+                inside = np.repeat(near, word) + 1 + np.arange(word.sum()) - np.repeat(np.cumsum(word) - word, word)
+                inside = inside[(data[inside] & 0xC0) != 0x80]
+                inside = inside[np.searchsorted(offsets, inside, "right") == np.searchsorted(offsets, inside - 1, "right")] if len(inside) else inside
+                pieces, ends = held(inside)
+                lanes, lane_ends = np.concatenate([lanes, inside[pieces >= c["need"]]]), np.concatenate([lane_ends, ends[pieces >= c["need"]]])
             for k in range(0, len(lanes), _LANES):
                 part, last = lanes[k : k + _LANES], np.minimum(lane_ends[k : k + _LANES], lanes[k : k + _LANES] + c["most"])
                 # windows that the text cuts short stay on the byte after them
@@ -227,22 +253,33 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, ratio: float = MAX_EDITS
     return _holders(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), benchmark, ratio)
 
 
+def _item_blocks(items: Iterator[tuple[int, bytes]]) -> Iterator[list[tuple[int, bytes]]]:
+    """Items that aren't empty, as many at once as an index may have."""
+    block, size = [], 0
+    for item in items:
+        if item[1]:
+            if block and (len(block) == ITEMS_AT_ONCE or size + len(item[1]) > ITEM_BYTES):
+                yield block
+                block, size = [], 0
+            block.append(item)
+            size += len(item[1])
+    if block:
+        yield block
+
+
 def _holders(rows: DataFrame, benchmark: DataFrame, ratio: float) -> DataFrame:
     """As contaminated(), of rows (doc_id of any kind, text)."""
     spark = rows.sparkSession
     kind = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, item_id bigint, edits bigint, similarity double"
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
-    known = [(r["item_id"], normal(r["text"])) for r in items.orderBy("item_id", "text").toLocalIterator()]
-    known = [(i, t) for i, t in known if t]
     out = spark.createDataFrame([], kind)
-    for k in range(0, len(known), ITEMS_AT_ONCE):
-        index = spark.sparkContext.broadcast(Index(known[k : k + ITEMS_AT_ONCE], ratio))
+    for known in _item_blocks((r["item_id"], normal(r["text"])) for r in items.orderBy("item_id", "text").toLocalIterator()):
+        index = spark.sparkContext.broadcast(Index(known, ratio))
 
         def run(batches, index=index):
             return _matches(index.value)(batches)
 
-        found = rows.mapInArrow(run, kind)
-        out = found if not k else out.unionByName(found)
+        out = out.unionByName(rows.mapInArrow(run, kind))
     return out
 
 

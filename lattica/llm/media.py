@@ -5,20 +5,23 @@ energy of each window's spectrum, folded into octaves and normalised. Over the i
 of several shapes compare sums of rectangles; each gives two Gray-coded bits, and all together a packed 32-bit integer
 per frame.
 
-Recordings with equal fingerprints form a class, and classes are searched. A query class and another that share
-integers vote for the offset between their frames; at the offset with most votes the bits that differ over the common
-frames decide. Integers that many classes have are not left out: votes are counted per (query, class, offset) before
-anything is gathered.
+Recordings with equal fingerprints form a class, named by the fingerprint's digest, and classes are searched. A query
+class and another that share integers vote for offsets between their frames; at every offset that has a vote the bits
+that differ over the common frames are counted, and the offset with the fewest decides. The common frames must be
+LEAST_OVERLAP, or all of the shorter recording. Integers that many classes have are not left out: the votes of a pair
+become one row before its fingerprints are gathered.
 
 Defined results: a null, empty or broken recording, and one shorter than a filter, has an empty fingerprint, belongs
-to a class of its own (by id) and matches nothing; repeated rows are members of one class; an empty table gives an empty
-result; extra columns are ignored.
+to a class of its own (by id) and matches nothing; of a recording that is cut short the whole frames count; one of
+fewer than LEAST_FRAMES integers matches nothing but its equals; recordings of one id needn't be in one class; repeated
+rows are members of one class; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 import io
+import struct
 import wave
 from collections.abc import Iterator
 
@@ -34,8 +37,7 @@ WINDOW, HOP = 512, 160
 LOWEST, HIGHEST = 110.0, 1760.0
 SPAN = 16
 MOST_BITS = 0.1
-LEAST_OVERLAP = 40
-LEAST_VOTES = 1
+LEAST_OVERLAP, LEAST_FRAMES = 40, 8
 _BITS = np.array([bin(k).count("1") for k in range(1 << 16)], np.uint8)
 
 
@@ -45,9 +47,10 @@ def decode(data: bytes | None) -> tuple[int, np.ndarray]:
         with wave.open(io.BytesIO(data or b"")) as w:
             if w.getsampwidth() != 2:
                 return 0, np.zeros(0, np.float32)
-            x = np.frombuffer(w.readframes(w.getnframes()), "<i2").astype(np.float32)
-            return w.getframerate(), x[: len(x) // w.getnchannels() * w.getnchannels()].reshape(-1, w.getnchannels()).mean(1)
-    except (wave.Error, EOFError):
+            data, channels = w.readframes(w.getnframes()), w.getnchannels()
+            x = np.frombuffer(data[: len(data) // (2 * channels) * 2 * channels], "<i2").astype(np.float32)
+            return w.getframerate(), x.reshape(-1, channels).mean(1)
+    except (wave.Error, EOFError, struct.error, RuntimeError):  # RuntimeError: a chunk that says it ends before it begins
         return 0, np.zeros(0, np.float32)
 
 
@@ -67,6 +70,8 @@ _folds: dict[int, np.ndarray] = {}
 def _fold(rate: int) -> np.ndarray:
     """Which pitch class each frequency of a window's spectrum belongs to."""
     if rate not in _folds:
+        if len(_folds) > 64:
+            _folds.clear()
         freq = np.fft.rfftfreq(WINDOW, 1 / rate)
         table = np.zeros((len(freq), 12), np.float32)
         heard = np.flatnonzero((freq >= LOWEST) & (freq <= HIGHEST))
@@ -142,6 +147,10 @@ def fingerprints(media: DataFrame, column: str = "media", key: str = "vec_id") -
     return media.select(F.col(key).cast("long").alias("id"), F.col(column).alias("media")).mapInArrow(run, "id bigint, frames int, print binary, digest binary")
 
 
+def _kind(prints: DataFrame) -> str:
+    return prints.schema["class"].dataType.simpleString()
+
+
 def _hashes(prints: DataFrame) -> DataFrame:
     """(class, token, at): each integer and its frame."""
 
@@ -157,31 +166,43 @@ def _hashes(prints: DataFrame) -> DataFrame:
             new[1:] = (token[1:] != token[:-1]) | (at[1:] == 0)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(index[new])), pa.array(token[new].astype(np.int64)), pa.array(at[new].astype(np.int32))], ["class", "token", "at"])
 
-    return prints.select("class", "print").mapInArrow(run, "class bigint, token bigint, at int")
+    return prints.select("class", "print").mapInArrow(run, f"class {_kind(prints)}, token bigint, at int")
 
 
 def search(prints: DataFrame, queries: DataFrame) -> DataFrame:
-    """Matches (class, match, offset, overlap, bit_error) of the classes in queries (class) among prints (class, print)."""
+    """Matches (class, match, offset, overlap, bit_error) of the classes in queries (class) among prints (class, print); class of any type.
+
+    The offset is that with the fewest differing bits among those that an equal integer votes for.
+    """
     every = _hashes(prints)
     asked = every.join(queries, "class", "left_semi").select(F.col("class").alias("q"), "token", F.col("at").alias("qat"))
-    votes = asked.join(every, "token").where("q != class").groupBy("q", "class", (F.col("at") - F.col("qat")).alias("offset")).agg(F.count(F.lit(1)).alias("votes")).where(f"votes >= {LEAST_VOTES}")
-    best = votes.groupBy("q", "class").agg(F.max(F.struct("votes", (-F.abs("offset")).alias("near"), "offset")).alias("b")).select("q", F.col("class").alias("match"), "b.offset")
-    rows = best.join(prints.select(F.col("class").alias("q"), F.col("print").alias("qprint")), "q").join(prints.select(F.col("class").alias("match"), F.col("print").alias("mprint")), "match")
+    votes = asked.join(every, "token").where("q != class").select("q", "class", (F.col("at") - F.col("qat")).alias("offset"))
+    pairs = votes.groupBy("q", "class").agg(F.sort_array(F.collect_set("offset")).alias("offsets")).withColumnRenamed("class", "match")
+    rows = pairs.join(prints.select(F.col("class").alias("q"), F.col("print").alias("qprint")), "q").join(prints.select(F.col("class").alias("match"), F.col("print").alias("mprint")), "match")
+
+    def compared(x: np.ndarray, y: np.ndarray, offset: int) -> tuple[float, int, int]:
+        x, y = x[max(0, -offset) :], y[max(0, offset) :]
+        n = min(len(x), len(y))
+        differ = x[:n] ^ y[:n]
+        return float(_BITS[differ & 0xFFFF].sum(dtype=np.int64) + _BITS[differ >> 16].sum(dtype=np.int64)) / (32 * max(1, n)), -n, offset
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            overlap, error = [], []
-            for offset, x, y in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True):
+            found = []
+            for row, (offsets, x, y) in enumerate(zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True)):
                 x, y = np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")
-                x, y = x[max(0, -offset) :], y[max(0, offset) :]
-                n = min(len(x), len(y))
-                differ = x[:n] ^ y[:n]
-                overlap.append(n)
-                error.append(float(_BITS[differ & 0xFFFF].sum(dtype=np.int64) + _BITS[differ >> 16].sum(dtype=np.int64)) / (32 * max(1, n)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(overlap, pa.int32()), pa.array(error)], ["class", "match", "offset", "overlap", "bit_error"])
+                least = min(LEAST_OVERLAP, len(x), len(y))
+                if least < LEAST_FRAMES:
+                    continue
+                best = min((c for o in offsets if -(c := compared(x, y, o))[1] >= least), default=(1.0,))
+                if best[0] <= MOST_BITS:
+                    found.append((row, best[2], -best[1], best[0]))
+            if found:
+                row, offset, overlap, error = zip(*found, strict=True)
+                own = batch.select([0, 1]).take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(offset, pa.int32()), pa.array(overlap, pa.int32()), pa.array(error)], ["class", "match", "offset", "overlap", "bit_error"])
 
-    found = rows.select("q", "match", "offset", "qprint", "mprint").mapInArrow(run, "class bigint, match bigint, offset int, overlap int, bit_error double")
-    return found.where(f"overlap >= {LEAST_OVERLAP} AND bit_error <= {MOST_BITS}")
+    return rows.select("q", "match", "offsets", "qprint", "mprint").mapInArrow(run, f"class {_kind(prints)}, match {_kind(prints)}, offset int, overlap int, bit_error double")
 
 
 def tunes(vectors: DataFrame) -> DataFrame:
@@ -209,16 +230,20 @@ def tunes(vectors: DataFrame) -> DataFrame:
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tunes of all vectors: each one's class, and the matches of the classes of every id divisible by 100.
 
-    kind 'member': vec_id, class_id. kind 'match': class_id, match_id (classes by their smallest ids), offset, overlap
-    and bit_error.
+    kind 'member': vec_id, class_id and class_key. kind 'match': class_id, class_key, match_id, match_key, offset, overlap and bit_error.
+    Keys are digests of fingerprints; ids are the smallest of their members, which two classes may share if an id is repeated.
     """
     prints = written(fingerprints(tunes(read(spark, sf_dir, "embeddings"))), "prints")
     heard = prints.where("digest IS NOT NULL")
-    classes = written(heard.groupBy("digest").agg(F.min(F.coalesce("id", F.lit(-(1 << 63)))).alias("class"), F.first("print").alias("print"), F.max(F.coalesce(F.col("id") % 100 == 0, F.lit(False))).alias("asked")), "media_classes")
-    members = prints.join(classes.select("digest", "class"), "digest", "left").select(F.lit("member").alias("kind"), F.col("id").alias("vec_id"), F.coalesce("class", "id").alias("class_id"))
+    classes = heard.groupBy("digest").agg(F.min("id").alias("id"), F.first("print").alias("print"), F.max(F.coalesce(F.col("id") % 100 == 0, F.lit(False))).alias("asked"))
+    classes = written(classes.withColumnRenamed("digest", "class"), "media_classes")
+    names = classes.select("class", F.col("id").alias("class_id"), F.lower(F.hex("class")).alias("class_key"))
+    alone = prints.where("digest IS NULL").select(F.lit("member").alias("kind"), F.col("id").alias("vec_id"), F.col("id").alias("class_id"))
+    members = heard.join(names, heard["digest"] == names["class"]).select(F.lit("member").alias("kind"), F.col("id").alias("vec_id"), "class_id", "class_key")
     found = search(classes.select("class", "print"), classes.where("asked").select("class"))
-    matches = found.select(F.lit("match").alias("kind"), F.col("class").alias("class_id"), F.col("match").alias("match_id"), "offset", "overlap", "bit_error")
-    return members.unionByName(matches, allowMissingColumns=True)
+    matched = names.select(F.col("class").alias("match"), F.col("class_id").alias("match_id"), F.col("class_key").alias("match_key"))
+    matches = found.join(names, "class").join(matched, "match").select(F.lit("match").alias("kind"), "class_id", "class_key", "match_id", "match_key", "offset", "overlap", "bit_error")
+    return members.unionByName(alone, allowMissingColumns=True).unionByName(matches, allowMissingColumns=True)
 
 
 SQL: dict[str, str] = {}

@@ -5,15 +5,19 @@ take is shared among the others by weight until no target is above its cap. That
 sources are ordered by cap / weight, and a source is full if the level that the sources before it leave reaches it.
 
 Within a source every document is taken floor(target / size of source) times, and what is left of the target is
-dealt over the documents in the order of a seeded hash, the last one in part. Hash order is found in 4,096 ranges per
-source: sums of ranges come first, so that no task ever orders a whole source, however hot.
+dealt over the documents in the order of a seeded hash, the last one in part. Hash order is found in ranges of each
+source, 4,096 or, for larger tables, so many that a range of a source that has all rows stays below RANGE_BYTES: sums
+of ranges come first, so that no task ever orders a whole source, however hot.
 
 Defined results: a null text has size 0; the null source is a source, ordered last; repeated rows count each; sources
-without words get target 0; an empty table gives an empty result. Other columns are carried along untouched.
+without words get target 0; an empty table gives an empty result. Other columns are carried along untouched, whatever
+their names.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +26,7 @@ from lattica.llm.common import WORD, read
 SEED = 17
 WEIGHTS = (5, 2, 1)
 SHARE, CAP = 1.5, 2
+RANGE_BYTES = 64 << 20
 
 
 def word_count(text: Column) -> Column:
@@ -44,39 +49,43 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     return rows.select("source", "source_size", "weight", F.when(F.col("__full"), F.col("__cap")).otherwise(F.col("weight") * level).alias("target"))
 
 
+def _range_digits(docs: DataFrame) -> int:
+    """Hexadecimal digits of the hash that name a range, from the size that the optimizer knows of docs."""
+    ranges = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) / RANGE_BYTES
+    return min(8, max(3, math.ceil(math.log(max(1.0, ranges), 16))))
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP, seed: int = SEED) -> DataFrame:
-    """The rows of docs (doc_id, text, source, ...) with __size, __source_size, __target, __whole and __extra.
+    """Of each row of docs (doc_id, text, source, ...): row (all its columns), size, source_size, target, whole and extra.
 
-    A row is taken __whole times in full, and __extra of its words once more.
+    A row is taken `whole` times in full, and `extra` of its words once more.
     """
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    rows = docs.withColumns({"__size": word_count(F.col("text")), "__order": key}).withColumn("__range", F.substring("__order", 1, 3))
-    rows = rows.withColumn("__source", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")))
-    ranges = rows.groupBy("__source", "source", "__range").agg(F.sum("__size").alias("__sum"))
-    aims = targets(ranges.groupBy("source").agg(F.sum("__sum").alias("source_size")), weights, share, cap)
-    aims = aims.select(F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias("__source"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"))
-    earlier = Window.partitionBy("__source").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = ranges.drop("source").withColumn("__base", F.coalesce(F.sum("__sum").over(earlier), F.lit(0))).drop("__sum").join(aims, "__source")
-    inside = Window.partitionBy("__source", "__range").orderBy("__order", "__size").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("__before", F.coalesce(F.sum("__size").over(inside), F.lit(0))).join(ranges, ["__source", "__range"])
-    rows = rows.withColumn("__whole", F.when(F.col("__source_size") > 0, F.floor(F.col("__target") / F.col("__source_size"))).otherwise(0).cast("long"))
-    left = F.floor(F.col("__target") + 0.5).cast("long") - F.col("__whole") * F.col("__source_size") - F.col("__base") - F.col("__before")
-    rows = rows.withColumn("__extra", F.greatest(F.lit(0), F.least(F.col("__size"), left)))
-    return rows.drop("__source", "__range", "__order", "__base", "__before")
+    order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    key = F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "source", key.alias("key"), word_count(F.col("text")).alias("size"), order.alias("order"))
+    rows = rows.withColumn("range", F.substring("order", 1, _range_digits(docs)))
+    ranges = rows.groupBy("key", "source", "range").agg(F.sum("size").alias("sum"))
+    aims = targets(ranges.groupBy("source").agg(F.sum("sum").alias("source_size")), weights, share, cap).select(key.alias("key"), "source_size", "target")
+    earlier = Window.partitionBy("key").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.drop("source").withColumn("base", F.coalesce(F.sum("sum").over(earlier), F.lit(0))).drop("sum").join(aims, "key")
+    inside = Window.partitionBy("key", "range").orderBy("order", "size").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.drop("source").withColumn("before", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(ranges, ["key", "range"])
+    rows = rows.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
+    left = F.floor(F.col("target") + 0.5).cast("long") - F.col("whole") * F.col("source_size") - F.col("base") - F.col("before")
+    return rows.select("row", "size", "source_size", "target", "whole", F.greatest(F.lit(0), F.least(F.col("size"), left)).alias("extra"))
 
 
 def mixed_rows(docs: DataFrame, **how) -> DataFrame:
     """The rows of docs, same columns, each as often as the mix takes it; a part of a document counts from one half on."""
-    rows = mix(docs, **how)
-    copies = F.col("__whole") + F.when((F.col("__extra") > 0) & (2 * F.col("__extra") >= F.col("__size")), 1).otherwise(0)
-    return rows.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), copies.cast("int")))).select(*docs.columns)
+    copies = F.col("whole") + F.when((F.col("extra") > 0) & (2 * F.col("extra") >= F.col("size")), 1).otherwise(0)
+    return mix(docs, **how).select("row", F.explode(F.array_repeat(F.lit(1), copies.cast("int")))).select("row.*")
 
 
 def op8_mixing(spark, sf_dir: str) -> DataFrame:
     """The mix of all documents: doc_id, size, source_size, target, taken."""
     rows = mix(read(spark, sf_dir, "documents").select("doc_id", "source", "text"))
-    taken = F.col("__whole") * F.col("__size") + F.col("__extra")
-    return rows.select("doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), taken.cast("long").alias("taken"))
+    taken = F.col("whole") * F.col("size") + F.col("extra")
+    return rows.select("row.doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"))
 
 
 def mix_sql(docs: str, columns: str) -> str:

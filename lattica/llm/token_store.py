@@ -3,8 +3,9 @@
 Texts become ids of a public tokenizer, each document ended by END_ID. A rolling hash over the ids cuts each document's
 stream into chunks where the content says so; a chunk's name is its BLAKE2b digest, and each chunk is stored once,
 however many documents have it. A document's recipe lists its chunks; its Merkle root is over their digests, and the
-manifest has a Merkle root for each part of the recipes. Reading gets chunks by name, checks every digest and root, and
-puts the ids together.
+manifest has a Merkle root for each part of the recipes, and one over the parts. Reading first holds the recipes'
+counts and roots against the manifest, then gets chunks by name, checks every digest and root, and puts the ids
+together. What is missing, cut or changed is an error.
 
 Files below the store's folder: packs/*.pack (frames of zstd with chunks as little-endian ids of 2 or 4 bytes),
 index (digest, pack, frame, place), recipes (in doc_id order, with the number of ids before each document) and
@@ -350,6 +351,33 @@ def _pack_to(folder: str):
     return run
 
 
+#: The manifest's rows are as many as parts; the row of part _WHOLE is over all parts.
+_MANIFEST = "part int, documents bigint, root binary"
+_WHOLE = -1
+
+
+def _part_roots(recipes: DataFrame) -> DataFrame:
+    """(part, documents, root) of the parts of recipes (part, start, root, ...)."""
+
+    def roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        leaves: dict[int, list] = {}
+        for batch in batches:
+            for part, root in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                leaves.setdefault(part, []).append(root)
+        yield pa.RecordBatch.from_arrays([pa.array(list(leaves), pa.int32()), pa.array([len(x) for x in leaves.values()], pa.int64()), pa.array([merkle(x) for x in leaves.values()], pa.binary())], ["part", "documents", "root"])
+
+    return recipes.select("part", "start", "root").repartition("part").sortWithinPartitions("part", "start").select("part", "root").mapInArrow(roots, _MANIFEST)
+
+
+def verify_recipes(spark: SparkSession, folder: str) -> None:
+    """ValueError unless the recipes are those that the manifest was made of."""
+    kept = {r["part"]: (r["documents"], bytes(r["root"])) for r in spark.read.schema(_MANIFEST).parquet(f"{folder}/manifest").collect()}
+    whole = kept.pop(_WHOLE, None)
+    found = {r["part"]: (r["documents"], bytes(r["root"])) for r in _part_roots(spark.read.parquet(f"{folder}/recipes")).collect()}
+    if found != kept or whole != (sum(n for n, _ in kept.values()), merkle([kept[p][1] for p in sorted(kept)])):
+        raise ValueError(f"the recipes in {folder} aren't what its manifest says")
+
+
 def write_store(docs: DataFrame, folder: str, path: str | None = None) -> None:
     """Encodes docs (doc_id, text) and writes the store."""
     spark = docs.sparkSession
@@ -372,14 +400,9 @@ def write_store(docs: DataFrame, folder: str, path: str | None = None) -> None:
     recipes = ordered.withColumn("start", offset + F.coalesce(F.sum("n_tokens").over(earlier), F.lit(0)))
     recipes.select("part", "doc_id", "start", "n_tokens", "root", "names").write.parquet(f"{folder}/recipes")
 
-    def roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        leaves: dict[int, list] = {}
-        for batch in batches:
-            for part, root in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                leaves.setdefault(part, []).append(root)
-        yield pa.RecordBatch.from_arrays([pa.array(list(leaves), pa.int32()), pa.array([len(x) for x in leaves.values()], pa.int64()), pa.array([merkle(x) for x in leaves.values()], pa.binary())], ["part", "documents", "root"])
-
-    spark.read.parquet(f"{folder}/recipes").select("part", "start", "root").repartition("part").sortWithinPartitions("part", "start").select("part", "root").mapInArrow(roots, "part int, documents bigint, root binary").write.parquet(f"{folder}/manifest")
+    manifest = sorted(tuple(r) for r in _part_roots(spark.read.parquet(f"{folder}/recipes")).collect())
+    manifest.append((_WHOLE, sum(n for _, n, _ in manifest), merkle([bytes(r) for _, _, r in manifest])))
+    spark.createDataFrame(manifest, _MANIFEST).coalesce(1).write.parquet(f"{folder}/manifest")
     store, where = filesystem(folder)
     for spent in ("spool", "staged", "ordered"):
         if store.get_file_info(f"{where}/{spent}").type != pa.fs.FileType.NotFound:
@@ -387,18 +410,23 @@ def write_store(docs: DataFrame, folder: str, path: str | None = None) -> None:
 
 
 def read_store(spark: SparkSession, folder: str, width: int = 2, keep_ids: bool = False) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 (and ids, where wanted), from the files alone; every digest is checked."""
+    """doc_id, start, n_tokens, ids_crc32 (and ids, where wanted), from the files alone; every digest and root is checked."""
+    verify_recipes(spark, folder)
     recipes = spark.read.parquet(f"{folder}/recipes")
     index = spark.read.schema(f"name binary, {_PLACE}").parquet(f"{folder}/index")
     uses = recipes.select("doc_id", "start", "n_tokens", "root", F.posexplode("names").alias("k", "name"))
-    places = uses.join(index, "name").groupBy("start").agg(F.first("doc_id").alias("doc_id"), F.first("n_tokens").alias("n_tokens"), F.first("root").alias("root"), F.sort_array(F.collect_list(F.struct("k", "name", "file", "frame", "packed", "at", "size"))).alias("chunks"))
-    near = places.repartitionByRange(partitions(spark), F.col("chunks")[0]["file"], F.col("chunks")[0]["frame"]).sortWithinPartitions(F.col("chunks")[0]["file"], F.col("chunks")[0]["frame"], "start")
+    places = uses.join(index, "name", "left").groupBy("start").agg(F.first("doc_id").alias("doc_id"), F.first("n_tokens").alias("n_tokens"), F.first("root").alias("root"), F.sort_array(F.collect_list(F.struct("k", "name", "file", "frame", "packed", "at", "size"))).alias("chunks"))
+    # documents that begin with one chunk lie together, but needn't be in one task
+    where = [F.col("chunks")[0]["file"], F.col("chunks")[0]["frame"], F.col("start")]
+    near = places.repartitionByRange(partitions(spark), *where).sortWithinPartitions(*where)
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader, kind = FrameReader(), np.dtype(f"<u{width}")
         for batch in batches:
             rows, size = [], 0
             for x in batch.to_pylist():
+                if any(c["file"] is None for c in x["chunks"]):
+                    raise ValueError(f"the store lacks a chunk of document {x['doc_id']} at {x['start']}")
                 data = [reader.get(c["file"], c["frame"], c["packed"], c["at"], c["size"]) for c in x["chunks"]]
                 names = [digest(d) for d in data]
                 ids = np.frombuffer(b"".join(data), kind).astype("<u4")

@@ -140,21 +140,27 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> tuple
     return chosen, weights, bias
 
 
+def _scores(model: tuple[np.ndarray, np.ndarray, float], batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """The same rows, by blocks, with the scores of their texts."""
+    chosen, weights, bias = model
+    table = np.zeros(1 << BITS)
+    table[chosen] = weights
+    wanted = np.zeros(1 << BITS, bool)
+    wanted[chosen] = True
+    for batch in blocks(batches, "text", 1 << 20):
+        data, offsets = text_bytes(batch.column(batch.schema.get_field_index("text")))
+        row, feature = document_features(data, offsets, wanted)
+        z = np.bincount(row, table[feature], minlength=batch.num_rows) + bias
+        yield batch, 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+
+
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], column: str = "score") -> DataFrame:
     """doc_id, and the score of the whole text; any doc_id type; one row for each row of docs."""
-    chosen, weights, bias = model
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(1 << BITS)
-        table[chosen] = weights
-        wanted = np.zeros(1 << BITS, bool)
-        wanted[chosen] = True
-        for batch in blocks(batches, "text", 1 << 20):
-            data, offsets = text_bytes(batch.column(batch.schema.get_field_index("text")))
-            row, feature = document_features(data, offsets, wanted)
-            z = np.bincount(row, table[feature], minlength=batch.num_rows) + bias
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("doc_id")), pa.array(1 / (1 + np.exp(-np.clip(z, -40, 40))))], ["doc_id", column])
+        for batch, values in _scores(model, batches):
+            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("doc_id")), pa.array(values)], ["doc_id", column])
 
     return docs.select("doc_id", "text").mapInArrow(scored, f"doc_id {kind}, {column} double")
 
@@ -168,19 +174,11 @@ def op5_toxicity(spark, sf_dir: str) -> DataFrame:
 
 def filter_toxic(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The rows of docs, all columns, whose text scores below the threshold."""
-    chosen, weights, bias = train(docs, read(spark, sf_dir, "labels"))
-    names = docs.columns
+    model, names = train(docs, read(spark, sf_dir, "labels")), docs.columns
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(1 << BITS)
-        table[chosen] = weights
-        wanted = np.zeros(1 << BITS, bool)
-        wanted[chosen] = True
-        for batch in blocks(batches, "text", 1 << 20):
-            data, offsets = text_bytes(batch.column(batch.schema.get_field_index("text")))
-            row, feature = document_features(data, offsets, wanted)
-            z = np.bincount(row, table[feature], minlength=batch.num_rows) + bias
-            yield batch.filter(pa.array(1 / (1 + np.exp(-np.clip(z, -40, 40))) < THRESHOLD)).select(names)
+        for batch, values in _scores(model, batches):
+            yield batch.filter(pa.array(values < THRESHOLD)).select(names)
 
     return docs.mapInArrow(kept, docs.schema)
 

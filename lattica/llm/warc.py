@@ -38,24 +38,35 @@ _RECORDS = "page_id bigint, url string, payload_bytes bigint, payload_digest str
 
 
 def with_revisits(pages: DataFrame, min_bytes: int = MIN_REVISIT) -> DataFrame:
-    """page_id, url, html, digest and refers_to (null for a response)."""
+    """page_id, url, html, digest, refers_to and refers_url (null for a response)."""
     rows = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     rows = rows.withColumn("digest", F.sha2("html", 256))
-    first = pages.select("page_id", F.coalesce("html", F.lit("")).alias("html")).where(F.octet_length("html") >= min_bytes)
-    first = first.groupBy(F.sha2("html", 256).alias("digest")).agg(F.min("page_id").alias("__first"), F.count(F.lit(1)).alias("__n")).where("__n > 1").drop("__n")
-    revisit = F.coalesce(F.col("page_id") != F.col("__first"), F.col("page_id").isNull() & F.col("__first").isNotNull())
-    return rows.join(first, "digest", "left").select("page_id", "url", "html", "digest", F.when(revisit, F.col("__first")).alias("refers_to"))
+    first = rows.where(F.octet_length("html") >= min_bytes).groupBy("digest")
+    least = F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url")))
+    first = first.agg(least.alias("__first"), F.count(F.lit(1)).alias("__n")).where("__n > 1").select(F.col("digest").alias("__key"), "__first")
+    # payloads that are too small for a revisit have keys that no payload has, each its own
+    own = F.when(F.octet_length("html") >= min_bytes, F.col("digest")).otherwise(F.concat(F.lit("-"), F.xxhash64("page_id", "url").cast("string")))
+    revisit = F.coalesce(F.col("page_id") != F.col("__first.page_id"), F.col("page_id").isNull() & F.col("__first").isNotNull())
+    joined = rows.withColumn("__key", own).join(first, "__key", "left").withColumn("__first", F.when(revisit, F.col("__first")))
+    return joined.select("page_id", "url", "html", "digest", F.col("__first.page_id").alias("refers_to"), F.col("__first.url").alias("refers_url"))
 
 
-def _record(page_id, url: str, html: bytes, digest: str, refers_to) -> bytes:
-    url = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url)
+def _escaped(url: str) -> str:
+    return re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url)
+
+
+def _record_id(page_id, digest: str) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id}:{digest}')}>"
+
+
+def _record(page_id, url: str, html: bytes, digest: str, refers_to, refers_url: str | None) -> bytes:
     revisit = refers_to is not None
     block = _HTTP if revisit else _HTTP + html
-    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id}:{digest}')}>", "WARC-Date: 2000-01-01T00:00:00Z", f"WARC-Target-URI: {url}", f"WARC-Payload-Digest: sha256:{digest}", f"X-Payload-Length: {len(html)}"]
+    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {_record_id(page_id, digest)}", "WARC-Date: 2000-01-01T00:00:00Z", f"WARC-Target-URI: {_escaped(url)}", f"WARC-Payload-Digest: sha256:{digest}", f"X-Payload-Length: {len(html)}"]
     if page_id is not None:
         head.append(f"X-Page-ID: {page_id}")
     if revisit:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Refers-To-Page-ID: {refers_to}"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {_record_id(refers_to, digest)}", f"WARC-Refers-To-Target-URI: {_escaped(refers_url)}", f"X-Refers-To-Page-ID: {refers_to}"]
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -73,7 +84,7 @@ def write_warc(pages: DataFrame, folder: str, min_bytes: int = MIN_REVISIT, leve
                     name, n, size = f"{uuid.uuid4().hex}.warc.gz", 0, 0
                     out = store.open_output_stream(f"{path}/{name}", compression=None)
                 packer = zlib.compressobj(level, zlib.DEFLATED, 31)
-                member = packer.compress(_record(row["page_id"], row["url"], row["html"].encode(), row["digest"], row["refers_to"])) + packer.flush()
+                member = packer.compress(_record(row["page_id"], row["url"], row["html"].encode(), row["digest"], row["refers_to"], row["refers_url"])) + packer.flush()
                 out.write(member)
                 n, size = n + 1, size + len(member)
                 if size >= FILE_BYTES:

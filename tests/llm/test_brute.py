@@ -1,11 +1,15 @@
 """Operators against brute force, exact round trips and held-out accuracy."""
 
+import glob
 import hashlib
+import os
 import random
 import re
+import shutil
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,6 +17,7 @@ from lattica.llm import decontaminate, jaccard, media, secrets_scan, suffix_dedu
 from lattica.llm.common import blocks, shared_dir
 from lattica.llm.components import components
 from lattica.llm.shingles import shingles
+from tests.llm.test_whole import groups_brute
 
 SMALL = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -201,9 +206,91 @@ def test_store_round_trip(spark):
     assert index.agg(F.sum("size")).first()[0] < 0.6 * 2 * start, "copies are stored once"
     parts = spark.read.parquet(f"{folder}/recipes").groupBy("part").agg(F.sort_array(F.collect_list(F.struct("start", "root"))).alias("r"))
     manifest = {m.part: bytes(m.root) for m in spark.read.parquet(f"{folder}/manifest").collect()}
+    assert manifest.pop(-1) == token_store.merkle([manifest[p] for p in sorted(manifest)])
     assert manifest == {p.part: token_store.merkle([bytes(x.root) for x in p.r]) for p in parts.collect()}
 
 
+@pytest.mark.parametrize("harm", ["pack", "recipe", "manifest", "no manifest", "index", "nothing"])
+def test_store_says_what_is_wrong(spark, harm):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").where("doc_id < 40")
+    folder = shared_dir(spark, "store")
+    token_store.write_store(docs, folder)
+    home = folder.removeprefix("file:")
+    if harm == "pack":
+        for name in glob.glob(f"{home}/packs/*.pack"):
+            data = bytearray(open(name, "rb").read())
+            data[len(data) // 2] ^= 255
+            open(name, "wb").write(data)
+    elif harm == "no manifest":
+        shutil.rmtree(f"{home}/manifest")
+    elif harm != "nothing":
+        table = {"recipe": "recipes", "manifest": "manifest", "index": "index"}[harm]
+        rows = spark.read.parquet(f"{folder}/{table}").toArrow()
+        if harm == "recipe":
+            rows = rows.slice(1)
+        elif harm == "manifest":
+            rows = rows.set_column(rows.schema.get_field_index("root"), "root", pa.array([bytes(16)] * len(rows), pa.binary()))
+        else:
+            rows = rows.slice(0, len(rows) // 2)
+        shutil.rmtree(f"{home}/{table}")
+        os.makedirs(f"{home}/{table}")
+        pq.write_table(rows, f"{home}/{table}/part.parquet")
+    if harm == "nothing":
+        assert token_store.read_store(spark, folder).count() == docs.count()
+    else:
+        with pytest.raises(Exception, match="manifest|chunk|recipe|PATH_NOT_FOUND|decompress|zstd|corrupt"):
+            token_store.read_store(spark, folder).collect()
+
+
+def test_media_classes_and_cut_files(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=6000).cumsum() * 50
+    whole = media.encode(x)
+    for cut in [*range(0, 60), *range(len(whole) - 9, len(whole))]:
+        rate, samples = media.decode(whole[:cut])
+        assert len(samples) <= len(x) and media.fingerprint(media.chroma(samples, rate)) is not None
+    for bad in (b"RIFF\xff\xff\xff\xffWAVEfmt \x02\x00\x00\x00\x01\x00", whole[:20] + bytes(24) + whole[44:], whole.replace(b"data", b"date")):
+        assert len(media.decode(bad)[1]) == 0
+    # one id, two sounds: two classes
+    tunes = [[float(k % 7) for k in range(64)], [float(k * k % 11) for k in range(64)]]
+    rows = [(100, tunes[0]), (101, tunes[0]), (100, tunes[1]), (102, tunes[1])]
+    folder = shared_dir(spark, "in").removeprefix("file:")
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").write.parquet(f"file:{folder}/embeddings.parquet")
+    got = [(r.vec_id, r.class_key) for r in media.op10_media(spark, f"file:{folder}").where("kind = 'member'").collect()]
+    assert len(got) == 4 and len({k for _, k in got}) == 2 and {len({k for i, k in got if i in pair}) for pair in ((101,), (102,))} == {1}
+    assert {k for i, k in got if i == 101} != {k for i, k in got if i == 102}
+
+
+def test_short_recordings_match(spark):
+    rows = [(0, [float(k * 7 % 5) for k in range(14)]), (1, [float(k * 7 % 5) for k in range(14)] + [0.5] * 20)]
+    prints = media.fingerprints(media.tunes(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>"))).select(F.col("id").alias("class"), "print", "frames")
+    least = prints.agg(F.min("frames")).first()[0]
+    assert media.LEAST_FRAMES <= least < media.LEAST_OVERLAP
+    found = media.search(prints, prints.where("class = 0").select("class")).collect()
+    assert [(r["class"], r.match) for r in found] in ([], [(0, 1)]) and all(r.overlap >= least for r in found)
+
+
+def test_items_anywhere_in_words(spark):
+    """Items glued behind letters, in the middle of words, long ones, and recall of edited ones there."""
+    r = random.Random(31)
+    word = lambda: "".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=r.randint(2, 9)))
+    prose = lambda k: " ".join(word() for _ in range(k))
+    items = [(k, prose(r.randint(12, 40))) for k in range(20)]
+    docs = [(k, f"{prose(20)} {'x' * (k % 17)}{t}{'y' * (k % 5)} {prose(20)}") for k, t in items]
+    docs += [(100 + k, prose(60)) for k in range(20)]
+    for k, t in items:
+        edited = list(t)
+        for _ in range(int(0.03 * len(t))):
+            edited[r.randrange(len(edited))] = "q"
+        docs.append((200 + k, f"{prose(9)} {'z' * (1 + k % 12)}{''.join(edited)} {prose(9)}"))
+    items.append((99, prose(16_000)))
+    docs.append((99, f"{prose(5)} ab{items[-1][1]} {prose(5)}"))
+    got = {(x.doc_id, x.item_id) for x in decontaminate.contaminated(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")).collect()}
+    assert {(k, k) for k in range(20)} | {(99, 99)} <= got
+    assert not {d for d, _ in got if 100 <= d < 200}
+    assert len({(200 + k, k) for k in range(20)} & got) >= 18
+
+
 def test_warc_splits(spark):
     r = random.Random(6)
     rows = [(k, f"http://x/{k}", "".join(r.choices("ab\x1f é", k=r.randint(0, 4000)))) for k in range(80)]
@@ -232,7 +319,9 @@ def test_secrets_held_out(spark):
     assert np.mean([r.label == r.prediction for r in out]) > 0.97
 
 
-def test_media_search(spark):
+@pytest.mark.parametrize("shift", [8 * 160, 8 * 160 + 80, 37, 5 * 160 + 53])
+def test_media_search(spark, shift):
+    """Recall of pairs within MOST_BITS at any offset, also where the shift isn't a number of whole hops."""
     rng = np.random.default_rng(1)
     base = rng.normal(size=(150, 64))
     rows = [(k, v.tolist()) for k, v in enumerate(base)]
@@ -240,7 +329,7 @@ def test_media_search(spark):
     changed = []
     for k in range(0, 40):
         rate, x = media.decode(wavs[k])
-        x = np.concatenate([x[media.HOP * 8 :], x[:100]]) + rng.normal(scale=150, size=len(x) - media.HOP * 8 + 100)
+        x = np.concatenate([x[shift:], x[:100]]) + rng.normal(scale=150, size=len(x) - shift + 100)
         changed.append((1000 + k, bytearray(media.encode(x, rate))))
     table = spark.createDataFrame([(k, bytearray(w)) for k, w in wavs.items()] + changed, "vec_id bigint, media binary")
     prints = media.fingerprints(table).select(F.col("id").alias("class"), "print")
@@ -257,8 +346,9 @@ def test_media_search(spark):
                 if n >= media.LEAST_OVERLAP and np.unpackbits((x[:n] ^ y[:n]).view(np.uint8)).mean() <= media.MOST_BITS:
                     brute.add((q, m))
                     break
-    assert len(brute) >= 36 and len(brute & set(found)) >= 0.9 * len(brute)
-    assert all(abs(found[q, q - 1000].offset - 8) <= 1 for q in range(1000, 1040) if (q, q - 1000) in found)
+    assert len(brute) >= 30 and len(brute & set(found)) >= 0.9 * len(brute)
+    assert set(found) <= brute
+    assert all(abs(found[q, q - 1000].offset - shift / media.HOP) <= 1 for q in range(1000, 1040) if (q, q - 1000) in found)
 
 
 def test_pipeline(spark):
@@ -272,8 +362,8 @@ def test_pipeline(spark):
         assert new.columns == docs.columns, name
         assert set(r[0] for r in new.select("doc_id").collect()) <= set(r[0] for r in kept.select("doc_id").collect())
         if name == "near duplicates":
-            brute = components_brute([(r.doc_id, r.text or "") for r in kept.select("doc_id", "text").collect()])
-            assert sorted(r[0] for r in new.select("doc_id").collect()) == sorted({c for _, c in brute.values()})
+            brute = groups_brute([(r.doc_id, r.text or "") for r in kept.select("doc_id", "text").collect()], 5, 8, 10)
+            assert sorted(r[0] for r in new.select("doc_id").collect()) == sorted(set(brute.values()))
         kept = new
     last = corpus_pipeline.STAGES[4][1](spark, kept, SMALL)
     assert last.count() == kept.count()

@@ -11,7 +11,7 @@ from lattica.llm.common import shared_dir
 WORDS = random.Random(3).choices(["alpha", "beta", "gamma", "delta", "omega", "über", "naïve", "x1"], k=30000)
 TEXT = " ".join(WORDS[:80])
 ROWS = [(1, None, None), (2, "", "a"), (3, TEXT, "a"), (3, TEXT, "a"), (4, TEXT, None), (None, TEXT, "b"), (None, None, "b"), (5, " ".join(WORDS), "b"), (6, "   \n\t ", ""), (7, "one two", "c"), (8, "ONE two", "c"), (9, "a\x00b ퟿ token = \"9f8e7d6c5b4a39281706f5e4d3c2b1a098765432\"", "c")]
-CLASHING = ("key", "n", "tag", "bucket", "token", "label", "score", "packed", "spans", "size", "start", "part", "rank", "component_id", "__size2")
+CLASHING = ("key", "n", "tag", "bucket", "token", "label", "score", "packed", "spans", "size", "start", "part", "rank", "component_id", "__size", "__order", "range", "whole", "row", "order")
 
 
 def table(spark, rows=ROWS):
@@ -69,11 +69,13 @@ def test_secrets(docs, spark):
 
 
 def test_mixing(docs):
-    rows = mixing.mix(docs).select("doc_id", "__size", "__source_size", "__target", "__whole", "__extra").collect()
+    rows = mixing.mix(docs).select("row.doc_id", "size", "source_size", "target", "whole", "extra").collect()
     assert len(rows) == docs.count()
     if rows:
-        assert sum(r["__whole"] * r["__size"] + r["__extra"] for r in rows) == pytest.approx(1.5 * sum(r["__size"] for r in rows), abs=4)
-    assert mixing.mixed_rows(docs).columns == docs.columns
+        assert sum(r["whole"] * r["size"] + r["extra"] for r in rows) == pytest.approx(1.5 * sum(r["size"] for r in rows), abs=4)
+    mixed = mixing.mixed_rows(docs)
+    assert mixed.schema == docs.schema
+    assert {r["__size"] for r in mixed.collect()} <= {"odd"}
 
 
 def test_token_store(docs, spark):
