@@ -4,8 +4,8 @@ Texts and items are normalised (A-Z lower-cased, runs of ASCII white space to on
 item of n bytes is found in a document if some passage is within floor(MAX_EDITS * n) byte edits of it.
 
 Windows begin at every word of every document, at every character of runs of more than LONG_RUN bytes without a space
-(Chinese, Japanese, Thai, packed text), and at every character of words at which a window nearly passes the count
-below; they are as long as an item. Windows that hold too few of the items'
+(Chinese, Japanese, Thai, packed text), and at every character of words from which a window that is a word longer
+passes the count below; they are as long as an item. Windows that hold too few of the items'
 8-byte pieces to be so near to any item of a length class are out (a count that no window within the distance fails).
 The others go through the CGK embedding: a random walk that at each step puts out the byte under its pointer and moves
 on or stays by a random function of step and byte, so that edits become few Hamming differences. REPEATS walks with
@@ -119,9 +119,10 @@ def _window_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.flatnonzero(first | inside & (data != 32) & ((data & 0xC0) != 0x80))
 
 
-def _moves(repeat: int, step: int) -> np.ndarray:
-    """Whether a walk moves on from each byte at a step."""
-    return (mix(np.arange(256, dtype=np.uint64) + np.uint64((SEED * REPEATS + repeat << 40) + (step << 8))) >> np.uint64(63)).astype(np.int64)
+def _moves(repeat: int, first: int) -> np.ndarray:
+    """Whether a walk moves on from each byte, at _KEPT_STEPS steps from a first one on."""
+    step = np.arange(first, first + _KEPT_STEPS, dtype=np.uint64)[:, None]
+    return (mix(np.arange(256, dtype=np.uint64) + (step << np.uint64(8)) + np.uint64(SEED * REPEATS + repeat << 40)) >> np.uint64(63)).astype(np.int8)
 
 
 class Index:
@@ -129,8 +130,7 @@ class Index:
 
     def __init__(self, items: list[tuple[int, bytes]], ratio: float = MAX_EDITS):
         self.items, self.ratio, rng = items, ratio, np.random.default_rng(SEED)
-        longest = max(len(t) for _, t in items)
-        self.moves = [[_moves(repeat, step) for step in range(min(_KEPT_STEPS, 2 * longest + 2))] for repeat in range(REPEATS)]
+        self.moves = [_moves(repeat, 0) for repeat in range(REPEATS)]
         self.classes = []
         holders = np.zeros(1 << _PIECE_BITS, np.uint64)
         order = sorted(range(len(items)), key=lambda k: len(items[k][1]))
@@ -162,12 +162,14 @@ class Index:
         """For each table the key of each window; the walk stays on a window's last byte."""
         at, wanted = start.astype(np.int64), set(samples.ravel().tolist())
         seen = {}
-        moves, kept = self.moves[repeat], len(self.moves[repeat])
+        moves = self.moves[repeat]
         for step in range(max(wanted) + 1):
             byte = data[at]
             if step in wanted:
                 seen[step] = byte
-            at = np.minimum(at + (moves[step] if step < kept else _moves(repeat, step))[byte], last)
+            if step and step % _KEPT_STEPS == 0:
+                moves = _moves(repeat, step)
+            at = np.minimum(at + moves[step % _KEPT_STEPS][byte], last)
         out = np.zeros((len(samples), len(start)), np.uint64)
         for place in range(samples.shape[1]):
             out = out << np.uint64(8) | np.stack([seen[step] for step in samples[:, place].tolist()])
@@ -184,24 +186,22 @@ class Index:
             hit = (holders & holders.dtype.type(1 << number % 64)) != 0
             total = np.concatenate([np.zeros(1, np.int32), np.cumsum(hit, dtype=np.int32)])
 
-            def held(begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            def held(begin: np.ndarray, more: int = 0) -> tuple[np.ndarray, np.ndarray]:
                 """Pieces that windows from these places hold, and where their texts end."""
                 ends = offsets[np.searchsorted(offsets, begin, "right")]
-                stop = np.minimum(begin + c["span"], ends)
+                stop = np.minimum(begin + (c["span"] + more), ends)
                 return total[np.minimum(np.maximum(stop - PIECE + 1, begin), len(hit))] - total[np.minimum(begin, len(hit))], ends
 
-            pieces, ends = held(starts)
-            lanes, lane_ends = starts[pieces >= c["need"]], ends[pieces >= c["need"]]
-            # an item may begin within a short word
-            near = starts[pieces >= max(1, c["need"] - LONG_RUN)]
-            if len(near):
-                word = np.append(gaps, len(data))[np.searchsorted(gaps, near)] - near
-                word = np.where(word <= LONG_RUN, np.maximum(word - 1, 0), 0)
-                inside = np.repeat(near, word) + 1 + np.arange(word.sum()) - np.repeat(np.cumsum(word) - word, word)
-                inside = inside[(data[inside] & 0xC0) != 0x80]
-                inside = inside[np.searchsorted(offsets, inside, "right") == np.searchsorted(offsets, inside - 1, "right")] if len(inside) else inside
-                pieces, ends = held(inside)
-                lanes, lane_ends = np.concatenate([lanes, inside[pieces >= c["need"]]]), np.concatenate([lane_ends, ends[pieces >= c["need"]]])
+            # an item may begin within a short word: a window that is a word longer holds its pieces
+            near = starts[held(starts, LONG_RUN)[0] >= c["need"]]
+            if not len(near):
+                continue
+            word = np.append(gaps, len(data))[np.searchsorted(gaps, near)] - near
+            word = np.where(word <= LONG_RUN, word, 1)
+            lanes = np.repeat(near, word) + np.arange(word.sum()) - np.repeat(np.cumsum(word) - word, word)
+            lanes = lanes[(lanes < len(data)) & ((data[np.minimum(lanes, len(data) - 1)] & 0xC0) != 0x80)]
+            pieces, lane_ends = held(lanes)
+            lanes, lane_ends = lanes[pieces >= c["need"]], lane_ends[pieces >= c["need"]]
             for k in range(0, len(lanes), _LANES):
                 part, last = lanes[k : k + _LANES], np.minimum(lane_ends[k : k + _LANES], lanes[k : k + _LANES] + c["most"])
                 # windows that the text cuts short stay on the byte after them

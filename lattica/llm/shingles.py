@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
+_INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 _STRIDE = 1 << 16
 
 
@@ -21,7 +21,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
+BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -40,16 +40,16 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     last[:-1] &= space[1:] | edge[1:-1]
     begin, end = np.flatnonzero(first), np.flatnonzero(last) + 1
     low = np.where((data >= 65) & (data <= 90), data + 32, data)
-    terms = _BYTE[low]
+    terms = BYTE[low]
     # sums of byte * base**place, by stretches, so that the powers are few
-    powers, back = _powers(_BASE, _STRIDE), _powers(_INVERSE, _STRIDE)
+    powers, back = _powers(BASE, _STRIDE), _powers(_INVERSE, _STRIDE)
     where = np.arange(len(data))
     terms *= powers[where & (_STRIDE - 1)]
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(terms)])
     value = (sums[end] - sums[begin]) * back[begin & (_STRIDE - 1)]
     for k in np.flatnonzero((begin >> 16) != ((end - 1) >> 16)):  # words over the end of a stretch
-        part = _BYTE[low[begin[k] : end[k]]]
-        value[k] = np.sum(part * _powers(_BASE, len(part)))
+        part = BYTE[low[begin[k] : end[k]]]
+        value[k] = np.sum(part * _powers(BASE, len(part)))
     return mix(value ^ (end - begin).astype(np.uint64)), np.searchsorted(begin, offsets)
 
 

@@ -283,7 +283,7 @@ def test_items_anywhere_in_words(spark):
         for _ in range(int(0.03 * len(t))):
             edited[r.randrange(len(edited))] = "q"
         docs.append((200 + k, f"{prose(9)} {'z' * (1 + k % 12)}{''.join(edited)} {prose(9)}"))
-    items.append((99, prose(16_000)))
+    items.append((99, prose(8_000)))
     docs.append((99, f"{prose(5)} ab{items[-1][1]} {prose(5)}"))
     got = {(x.doc_id, x.item_id) for x in decontaminate.contaminated(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")).collect()}
     assert {(k, k) for k in range(20)} | {(99, 99)} <= got
@@ -312,13 +312,94 @@ def test_toxicity_held_out(spark):
 def test_secrets_held_out(spark):
     from pyspark.ml.functions import array_to_vector
 
+    none = np.zeros(0, np.uint64)
     model = secrets_scan.train(spark)
     rows = secrets_scan.made_findings(600, seed=99)
-    data = spark.createDataFrame([([float(x) for x in secrets_scan.features(*r[:4])], float(r[4])) for r in rows], "numbers array<double>, label double")
+    data = spark.createDataFrame([(secrets_scan.features(*r[:4], none), float(r[4])) for r in rows], "numbers array<double>, label double")
     out = model.transform(data.select(array_to_vector("numbers").alias("features"), "label")).select("label", "prediction").collect()
     assert np.mean([r.label == r.prediction for r in out]) > 0.97
 
 
+def test_planted_secrets_are_found(spark):
+    """Recall on the keys in documents, of whose form no made finding is; and what is no secret there."""
+    d = "/root/testdata/sf0.1"
+    form = re.compile(r'token = "([0-9a-f]{40})"')
+    assert not any(form.search(f"{b}{t}{a}") for b, t, a, _, _ in secrets_scan.made_findings(3000))
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    planted = {(r.doc_id, hashlib.sha256(v.encode()).hexdigest()) for r in docs.where("text rlike 'token = \"[0-9a-f]{40}\"'").collect() for v in form.findall(r.text)}
+    got = secrets_scan.op6_secrets_scan(spark, d).collect()
+    named = {(r.doc_id, r.candidate_sha256) for r in got if r.is_secret}
+    assert len(planted) > 50 and len(planted & named) >= 0.9 * len(planted)
+    assert len(named - planted) <= len(planted), "few others"
+
+
+def test_findings_table_decides(spark):
+    docs = spark.createDataFrame([(1, "the badge ZX-1234-5678-QQ hangs here", "a.txt"), (2, "sha 0123456789abcdef0123 there", "a.txt")], "doc_id bigint, text string, source string")
+    r = random.Random(3)
+    rows = [("the badge ", f"ZX-{r.randint(1000, 9999)}-{r.randint(1000, 9999)}-QQ", " hangs", "x", 1) for _ in range(60)]
+    rows += [("sha ", "%020x" % r.getrandbits(80), " there", None, 0) for _ in range(60)] + [("", "odd", "", "", None)]
+    findings = spark.createDataFrame(rows, "before string, candidate string, after string, path string, label int").withColumn("numbers", F.lit(1))
+    assert {x.doc_id: x.is_secret for x in secrets_scan.scan(docs, findings).collect()} == {1: 1, 2: 0}
+
+
+def test_candidates_brute(spark):
+    """Candidates by plain regular expressions."""
+    r = random.Random(41)
+    pieces = ["password=", "x", " ", "Ab1", "sk-", "token: ", '"', "'", "q9", "99", "Zz", "+/", "é", "\n", "AKIA", "secret = ", "bearer ", "abcDEFghiJKLmnop", "key", "&", ";", "(", ")", "1234567890", "-", "_"]
+    rows = [(k, "".join(r.choices(pieces, k=r.randint(0, 30))), None) for k in range(300)]
+    run, forms = re.compile(rb"[A-Za-z0-9+/_-]+"), tuple(f.encode() for f in secrets_scan._FORMS)
+    word = b"(?:" + b"|".join(w.encode() for w in sorted(secrets_scan.SECRET_WORDS, key=len, reverse=True)) + b")"
+    want = set()
+    for k, text, _ in rows:
+        data = text.encode()
+        for m in run.finditer(data):
+            v = m[0]
+            digits, mixed = sum(c in b"0123456789" for c in v), any(65 <= c <= 90 for c in v) and any(97 <= c <= 122 for c in v)
+            if len(v) >= secrets_scan.LEAST and digits >= 2 or len(v) >= secrets_scan.LEAST_MIXED and mixed or v.startswith(forms):
+                want.add((k, m.start(), len(v)))
+        for at in range(len(data)):
+            low = data[at:].lower()
+            name = word + rb"[a-z0-9_.-]{0,40}"
+            quoted, bare = [rb'"([^"\r\n]+)"', rb"'([^'\r\n]+)'"], rb"""["']?([^\s"']\S*)"""
+            said = name + rb"""["'\]]{0,2}[ \t]{0,8}(?:=>|[:=]{1,3})[ \t]{0,8}"""
+            ways = [(said, q, False) for q in quoted] + [(said, bare, True), (rb"bearer[ \t]{1,8}", rb"(\S+)", True)] + [(name + rb"[ \t(]{1,8}", q, False) for q in quoted]
+            for head, value, loose in ways:  # the first way that fits
+                if m := re.match(head + value, low):
+                    begin, end = at + m.start(1), at + m.end(1)
+                    want.add((k, begin, end - begin))
+                    if loose:
+                        v = data[begin:end]
+                        want |= {(k, begin, len(x)) for x in (v.rstrip(b".,;:)]}>\"'"), re.split(rb"[&,;\"']", v)[0]) if x}
+                    break
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = {(x.doc_id, x.begin, x.length) for x in secrets_scan.candidates(docs).collect()}
+    assert got == want
+
+
+def test_long_candidate(spark):
+    blob = "QWxhZGRpbjpv" * 90_000
+    docs = spark.createDataFrame([(1, f"data {blob} end", "a")], "doc_id bigint, text string, source string")
+    assert [(x.begin, x.length) for x in secrets_scan.scan(docs).collect()] == [(5, len(blob))]
+
+
+def test_score_brute(spark):
+    """Scores from plain sets of character n-grams and the model's weights."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    model = toxicity.train(docs, spark.read.parquet(f"{SMALL}/labels.parquet"))
+    weight = dict(zip(model[0].tolist(), model[1].tolist(), strict=True))
+    got = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+    for doc_id, text in texts(spark)[:60]:
+        data, own = [c + 32 if 65 <= c <= 90 else c for c in text.encode()], set()
+        for order in toxicity.ORDERS:
+            for at in range(len(data) - order + 1):
+                value = 0
+                for c in data[at : at + order]:
+                    value = (value * 0x01000193 + c) % 2**32
+                own.add(((value ^ order) * 0x9E3779B1 % 2**32) >> (32 - toxicity.BITS))
+        z = sum(weight.get(f, 0.0) for f in own) + model[2]
+        assert got[doc_id] == pytest.approx(1 / (1 + np.exp(-np.clip(z, -40, 40))), abs=1e-9)
+
+
 @pytest.mark.parametrize("shift", [8 * 160, 8 * 160 + 80, 37, 5 * 160 + 53])
 def test_media_search(spark, shift):
     """Recall of pairs within MOST_BITS at any offset, also where the shift isn't a number of whole hops."""

@@ -64,7 +64,7 @@ def test_toxicity(docs, spark):
 
 
 def test_secrets(docs, spark):
-    rows = secrets_scan.scan(docs, secrets_scan.train(spark)).collect()
+    rows = secrets_scan.scan(docs).collect()
     assert [(r.doc_id, r.length, r.is_secret) for r in rows] == ([(9, 40, 1)] if docs.count() else [])
 
 
