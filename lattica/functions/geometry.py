@@ -107,3 +107,43 @@ def block_owner(i: Column, size: int, blocks: int) -> Column:
     small, more = divmod(size, blocks)
     edge = more * (small + 1)
     return F.when(i < edge, F.floor(i / (small + 1))).otherwise(more + F.floor((i - edge) / max(1, small))).cast("int")
+
+
+def block_index(i: Column, size: int, blocks: int) -> Column:
+    """A cell's place within its block."""
+    small, more = divmod(size, blocks)
+    owner = block_owner(i, size, blocks)
+    return (i - owner * small - F.least(owner, F.lit(more))).cast("int")
+
+
+def widened(low: Column, high: Column, delta: Column, most: int, periodic: bool) -> tuple[Column, Column]:
+    """A lattice interval widened by delta on both sides, kept within 0 .. most unless it is periodic."""
+    a, b = low - delta, high + delta
+    return (a, b) if periodic else (F.greatest(a, F.lit(0)), F.least(b, F.lit(most)))
+
+
+def halo_box(box: dict[str, Column], radius: Column, length: float = 1.0, periodic: bool = True, bits: int = 21) -> dict[str, Column]:
+    """A lattice box (xlo, xhi, ... zhi) widened by a radius, in lattice units rounded up."""
+    from lattica.functions.sfc import to_n_bits
+
+    delta, out = to_n_bits(radius / length, bits, up=True), {}
+    for c in "xyz":
+        out[f"{c}lo"], out[f"{c}hi"] = widened(box[f"{c}lo"], box[f"{c}hi"], delta, 1 << bits, periodic)
+    return out
+
+
+def dot(a: Column, b: Column) -> Column:
+    """Of two arrays."""
+    return F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda acc, v: acc + v)
+
+
+def norm2(a: Column) -> Column:
+    return dot(a, a)
+
+
+def ceil_div(a: Column, b: int) -> Column:
+    return F.floor((a + (b - 1)) / b).cast("long")
+
+
+def round_up(a: Column, multiple: int) -> Column:
+    return ceil_div(a, multiple) * multiple

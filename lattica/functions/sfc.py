@@ -268,3 +268,44 @@ def span_range(df: DataFrame, start: str, stop: str, bits: int = BITS) -> DataFr
     beyond = lambda n: F.coalesce(F.try_add(parent(n), times(8)) > b, F.lit(True))
     inside = lambda n: (n >= a) & (F.try_add(n, size) <= b) & ((F.col("level") == 1) | (parent(n) < a) | beyond(n))
     return rows.withColumn("node", F.explode(F.array_distinct(F.filter(near, inside))))
+
+
+def octal_power(position, bits: int = BITS) -> Column:
+    """What the octal digit at a position (1 is the first) is worth."""
+    return node_range(position, bits)
+
+
+def make_prefix(key: Column, bits: int = BITS) -> Column:
+    """(level, key) of the largest node that begins at a key; the root for key 0."""
+    return F.struct(F.when(key == 0, 0).otherwise(last_nonzero_place(key, bits)).alias("level"), key.alias("key"))
+
+
+def mask_key(key: Column) -> Column:
+    """A key marked as such: its complement, which is negative."""
+    return F.bitwise_not(key)
+
+
+def unmask_key(key: Column) -> Column:
+    return F.when(is_masked(key), F.bitwise_not(key)).otherwise(key)
+
+
+def is_masked(key: Column) -> Column:
+    return key < 0
+
+
+def digit_weight(digit: Column) -> Column:
+    """Minus the digit for the lower four digits, 7 minus the digit for the upper: what an octal digit adds to the place of an inner node."""
+    return F.when(digit < 4, -digit).otherwise(7 - digit).cast("int")
+
+
+def binary_key_weight(key: Column, level: Column, bits: int = BITS) -> Column:
+    """The sum of the weights of a key's digits up to the one after a level."""
+    places = F.filter(F.sequence(F.lit(1), F.lit(bits)), lambda p: p <= level + 1)
+    return F.aggregate(places, F.lit(0), lambda acc, p: acc + digit_weight(octal_digit(key, p, bits)))
+
+
+def common_node_prefix(centre: tuple[Column, Column, Column], size: tuple[Column, Column, Column], curve: str = "morton", low: float = -0.5, high: float = 0.5) -> Column:
+    """(level, key) of the smallest node that the keys of both far corners of a box (centre, half sizes) have in common."""
+    corner = lambda sign: [lattice(c + sign * s, low, high) for c, s in zip(centre, size, strict=True)]
+    encode = hilbert_encode if curve == "hilbert" else morton_encode
+    return smallest_common_box(encode(*corner(-1)), encode(*corner(1)))

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lattica.functions.geometry import boxes_overlap, inv_theta_min, mac_fails, min_mac_r2
+from lattica.functions.geometry import boxes_overlap, inv_theta_min, mac_fails, min_distance, min_mac_r2
 from lattica.functions.sfc import BITS, _long, _shl, hilbert_decode, morton_decode, node_range
 from lattica.operators.octree import children
-from lattica.operators.ordering import with_running
+from lattica.operators.ordering import with_rank, with_running
 from lattica.plans.held import held
 
 
@@ -18,7 +18,7 @@ def global_box(df: DataFrame, fixed: dict[str, tuple[float, float]] | None = Non
     return df.agg(*(F.lit(float(fixed[c][s])).alias(f"{c}{n}") if c in fixed else (F.min(c) if n == "min" else F.max(c)).alias(f"{c}{n}") for c in "xyz" for s, n in enumerate(("min", "max"))))
 
 
-def shrink_box(new: tuple[float, float], old: tuple[float, float], share: float = 0.05) -> tuple[float, float]:
+def shrink_limits(new: tuple[float, float], old: tuple[float, float], share: float = 0.05) -> tuple[float, float]:
     """Limits that move inwards by at most a share of the old length."""
     most = share * (old[1] - old[0])
     return min(new[0], old[0] + most), max(new[1], old[1] - most)
@@ -45,8 +45,12 @@ def sfc_assignment(leaves: DataFrame, parts: int) -> DataFrame:
 def find_rank(keys: DataFrame, assignment: DataFrame) -> DataFrame:
     """keys with the part whose range holds each; there are as many ranges as parts, so they fit into an expression."""
     edges = [r[0] for r in assignment.where("key_lo IS NOT NULL").orderBy("part").select("key_lo").collect()]
-    part = F.size(F.filter(F.array(*map(_long, edges)), lambda e: e <= F.col("key"))) - 1
-    return keys.withColumn("part", part.cast("int"))
+    if not edges:
+        return keys.withColumn("part", F.lit(-1))
+    table, steps = F.array(*map(_long, edges)), [1 << k for k in reversed(range(len(edges).bit_length()))]
+    # a binary search: each step goes on if the edge there isn't beyond the key
+    halve = lambda at, step: F.when(F.coalesce(F.get(table, at + step) <= F.col("key"), F.lit(False)), at + step).otherwise(at)
+    return keys.withColumn("part", F.aggregate(F.array(*map(F.lit, steps)), F.lit(-1), halve))
 
 
 def sync(df: DataFrame, parts: int) -> DataFrame:
@@ -61,11 +65,41 @@ def exchange_matrix(keys: DataFrame, old: DataFrame, new: DataFrame) -> DataFram
 
 
 def limit_shift(old: DataFrame, new: DataFrame) -> DataFrame:
-    """New range starts that lie between the old starts of the neighbouring parts."""
-    own = Window.orderBy("part")
+    """(part, key_lo): new range starts that lie between the old starts of the neighbouring parts; the first stays."""
+    own = Window.orderBy("part")  # as many rows as parts
     rows = old.select("part", F.col("key_lo").alias("o")).withColumns({"lo": F.lag("o").over(own), "hi": F.lead("o").over(own)}).join(new, "part")
     bound = F.least(F.greatest(F.col("key_lo"), F.coalesce("lo", F.lit(0))), F.coalesce("hi", F.lit(8**BITS - 1)))
-    return rows.select("part", bound.alias("key_lo"))
+    return rows.select("part", F.when(F.col("part") == 0, F.col("key_lo")).otherwise(bound).alias("key_lo"))
+
+
+def counts_of_parts(leaves: DataFrame, starts: DataFrame) -> DataFrame:
+    """(part, key_lo, count): the leaves' keys in each part; a leaf is in the part that its first key is in."""
+    found = find_rank(leaves.select("key", "count"), starts).groupBy("part").agg(F.sum("count").alias("count"))
+    return starts.select("part", "key_lo").join(found, "part", "left").select("part", "key_lo", F.coalesce("count", F.lit(0)).cast("long").alias("count"))
+
+
+def initial_splits(spark, parts: int, level: int) -> DataFrame:
+    """(part, key_lo): equal shares of the range of keys, their starts cut to nodes of a level."""
+    size = 8 ** (BITS - level)
+    starts = [p * (8**BITS // parts) // size * size for p in range(parts)]
+    return spark.createDataFrame(list(enumerate(starts)), "part int, key_lo bigint")
+
+
+def translate_assignment(assignment: DataFrame, leaves: DataFrame) -> DataFrame:
+    """(part, first, last): which leaves (by index, last exclusive) of another tree lie wholly in each part's range."""
+    indexed = with_rank(leaves.select("level", "key"), ties=()).select(F.col("rank").alias("idx"), "key", "level")
+    end = F.lead("key_lo").over(Window.orderBy("part"))  # as many rows as parts
+    ranges = assignment.where("key_lo IS NOT NULL").select("part", "key_lo", end.alias("key_hi"))
+    placed = find_rank(indexed, assignment).join(F.broadcast(ranges), "part")
+    size = F.when(F.col("level") > 0, node_range(F.greatest(F.col("level"), F.lit(1)))).otherwise(8**BITS - 1)
+    inside = F.col("key_hi").isNull() | (F.col("key") + (size - 1) < F.col("key_hi"))
+    found = placed.where(inside).groupBy("part").agg(F.min("idx").alias("first"), (F.max("idx") + 1).alias("last"))
+    return assignment.select("part").join(found, "part", "left").select("part", F.coalesce("first", F.lit(0)).alias("first"), F.coalesce("last", F.lit(0)).alias("last"))
+
+
+def shift_ranges(ranges: DataFrame, part: int, incoming: int) -> DataFrame:
+    """(part, start): starts of the parts after one, moved by what comes in before them."""
+    return ranges.withColumn("start", F.col("start") + F.when(F.col("part") > part, incoming).otherwise(0))
 
 
 def node_geometry(nodes: DataFrame, low: float = -0.5, high: float = 0.5, curve: str = "morton") -> DataFrame:
@@ -90,22 +124,23 @@ def _renamed(df: DataFrame, prefix: str) -> DataFrame:
     return df.select(*(F.col(c).alias(f"{prefix}{c}") for c in df.columns))
 
 
-def descend(leaves: DataFrame, start: DataFrame, passes) -> DataFrame:
-    """Pairs of start rows and leaves, found from the root down: a pair goes on while passes() holds for the node.
+def descend(leaves: DataFrame, start: DataFrame, passes, nodes: DataFrame | None = None, inner: bool = False) -> DataFrame:
+    """Pairs of start rows and leaves (with inner: all nodes), found from the root down: a pair goes on while passes() holds for the node.
 
-    leaves: (level, key, ...) with node_geometry's columns on every node; start: any rows. Each round joins the open pairs with
-    their nodes' children, so that the work follows the pairs that pass, not all pairs.
+    leaves: (level, key, ...), or all nodes (level, key, is_leaf), with node_geometry's columns on every node; start: any
+    rows. Each round joins the open pairs with their nodes' children, so that the work follows the pairs that pass, not
+    all pairs.
     """
     from lattica.operators.octree import all_nodes
 
-    nodes = held(node_geometry(all_nodes(leaves).select("level", "key", "is_leaf")))
+    nodes = held(node_geometry((all_nodes(leaves) if nodes is None else nodes).select("level", "key", "is_leaf")))
     start = held(start)
     level = nodes.where("level = 0")
     pairs = held(start.join(F.broadcast(level), passes()))
     kin = held(nodes.join(children(nodes.where("NOT is_leaf")).select("level", "key", "parent"), ["level", "key"]).withColumn("up", F.col("level") - 1))
     out = None
     for _ in range(BITS + 1):
-        done = pairs.where("is_leaf")
+        done = pairs if inner else pairs.where("is_leaf")
         out = done if out is None else out.unionByName(done)
         open_pairs = pairs.where("NOT is_leaf")
         if open_pairs.isEmpty():
@@ -115,6 +150,40 @@ def descend(leaves: DataFrame, start: DataFrame, passes) -> DataFrame:
     return out
 
 
+def dual_traversal(leaves: DataFrame, theta: float, periodic: bool = True) -> DataFrame:
+    """(kind, a_level, a_key, level, key): all pairs of leaves, each pair of nodes that are far apart standing for the pairs below.
+
+    From the pair of the roots on, a pair whose boxes are further apart than the larger one's acceptance radius is
+    'far'; a near pair of leaves is 'near'; of other pairs the larger node is replaced by its children (of equal ones
+    the first, if it isn't a leaf). Both orders of a pair occur.
+    """
+    from lattica.operators.octree import all_nodes
+
+    nodes = held(node_geometry(all_nodes(leaves.select("level", "key")).select("level", "key", "is_leaf")))
+    kin = held(nodes.join(children(nodes.where("NOT is_leaf")).select("level", "key", "parent"), ["level", "key"]).withColumn("up", F.col("level") - 1))
+    pairs = _renamed(nodes.where("level = 0"), "a_").crossJoin(nodes.where("level = 0"))  # one row each
+    r2 = min_mac_r2(2 * F.greatest(F.col("s"), F.col("a_s")), inv_theta_min(theta))
+    near = _near_boxes(r2, periodic)
+    columns, out = pairs.columns, None
+    for _ in range(2 * BITS + 1):
+        pairs = held(pairs.withColumn("kind", F.when(~near, "far").when(F.col("is_leaf") & F.col("a_is_leaf"), "near")))
+        done = pairs.where("kind IS NOT NULL").select("kind", "a_level", "a_key", "level", "key")
+        out = done if out is None else out.unionByName(done)
+        rest = pairs.where("kind IS NULL").drop("kind")
+        if rest.isEmpty():
+            break
+        first = ~F.col("a_is_leaf") & (F.col("is_leaf") | (F.col("a_level") <= F.col("level")))
+        down_a = rest.where(first).withColumnsRenamed({"a_level": "a_up", "a_key": "a_parent"}).drop("a_is_leaf", "a_cx", "a_cy", "a_cz", "a_s").join(_renamed(kin, "a_"), ["a_up", "a_parent"])
+        down_b = rest.where(~first).withColumnsRenamed({"level": "up", "key": "parent"}).drop("is_leaf", "cx", "cy", "cz", "s").join(kin, ["up", "parent"])
+        pairs = down_a.select(*columns).unionByName(down_b.select(*columns))
+    return out
+
+
+def _near_boxes(r2: Column, periodic: bool) -> Column:
+    d = min_distance(_centre("a_"), _size("a_"), _centre(), _size(), 1.0, periodic)
+    return d[0] * d[0] + d[1] * d[1] + d[2] * d[2] < r2
+
+
 def halo_cells(leaves: DataFrame, first: int, last: int, radius: float, periodic: bool = True) -> DataFrame:
     """Leaves (level, key) outside the keys [first, last) that come within radius of a leaf inside."""
     geometry = node_geometry(leaves.select("level", "key"))
@@ -124,20 +193,11 @@ def halo_cells(leaves: DataFrame, first: int, last: int, radius: float, periodic
 
 
 def mark_macs(nodes: DataFrame, targets: DataFrame, theta: float, periodic: bool = True) -> DataFrame:
-    """The nodes (level, key), from the root on, whose opening criterion fails for any target leaf; a node below one that passes for all targets isn't looked at."""
+    """The nodes (level, key) of nodes (level, key, is_leaf), from the root on, whose opening criterion fails for any target
+    leaf; a node below one that passes for all targets isn't looked at."""
     own = _renamed(node_geometry(targets.select("level", "key")).select("cx", "cy", "cz", "s"), "t_")
-    geometry, own = held(node_geometry(nodes.select("level", "key"))), held(own)
-    r2 = min_mac_r2(2 * F.col("s"), inv_theta_min(theta))
-    fails = mac_fails(_centre(), r2, _centre("t_"), _size("t_"), 1.0, periodic)
-    out = None
-    level = geometry.where("level = 0")
-    for _ in range(BITS + 1):
-        marked = held(level.join(own, fails, "left_semi"))
-        out = marked.select("level", "key") if out is None else out.unionByName(marked.select("level", "key"))
-        level = geometry.join(children(marked.select("level", "key")).select("level", "key"), ["level", "key"], "left_semi")
-        if level.isEmpty():
-            return out
-    return out
+    fails = lambda: mac_fails(_centre(), min_mac_r2(2 * F.col("s"), inv_theta_min(theta)), _centre("t_"), _size("t_"), 1.0, periodic)
+    return descend(nodes, own, fails, nodes=nodes, inner=True).select("level", "key").distinct()
 
 
 def find_peers(leaves: DataFrame, assignment: DataFrame, theta: float, periodic: bool = True) -> DataFrame:
@@ -180,13 +240,18 @@ def essential_ops(nodes: DataFrame, bucket: int, first: int, last: int) -> DataF
 def invert_ranges(ranges: DataFrame, first: int, last: int) -> DataFrame:
     """The gaps (lo, hi) that sorted, separate ranges (lo, hi) leave in [first, last)."""
     edges = ranges.unionByName(ranges.sparkSession.createDataFrame([(first, first), (last, last)], "lo bigint, hi bigint"))
-    return edges.select(F.col("hi").alias("lo"), F.lead("lo").over(Window.orderBy("lo", "hi")).alias("hi")).where("hi > lo")
+    return with_running(edges, F.lit(0), "lo", ("hi",)).select(F.col("hi").alias("lo"), F.col("next").alias("hi")).where("hi > lo")
+
+
+def enumerate_ranges(ranges: DataFrame) -> DataFrame:
+    """idx: every index of ranges (lo, hi), as often as they name it."""
+    return ranges.where("hi > lo").select(F.explode(F.sequence("lo", F.col("hi") - 1)).alias("idx"))
 
 
 def marked_runs(rows: DataFrame, mark: str) -> DataFrame:
     """(lo, hi) of the runs of neighbouring idx whose mark holds."""
-    held = rows.where(mark).select("idx", (F.col("idx") - F.row_number().over(Window.orderBy("idx"))).alias("island"))
-    return held.groupBy("island").agg(F.min("idx").alias("lo"), (F.max("idx") + 1).alias("hi")).select("lo", "hi")
+    ranked = with_rank(rows.where(mark).select("idx"), "idx", ())
+    return ranked.groupBy((F.col("idx") - F.col("rank")).alias("island")).agg(F.min("idx").alias("lo"), (F.max("idx") + 1).alias("hi")).select("lo", "hi")
 
 
 def layout(leaves: DataFrame) -> DataFrame:

@@ -87,47 +87,53 @@ def raster_sph(df: DataFrame, grid: int, fill: bool = False, low: float = -0.5,
 def fill_empty(mesh: DataFrame, grid: int, columns: tuple[str, ...] = VELOCITY) -> DataFrame:
     """All cells; empty ones get the mean of those of their 26 neighbours that the given mesh has, else 0.
 
-    Only filled cells next to empty ones send anything: each sends its values to its neighbours, and cells that are
-    filled themselves drop what they get.
+    Either the empty cells ask their neighbours, or the filled cells tell theirs, whichever are fewer.
     """
+    mesh = held(mesh.select("cell", *columns))
+    asking = 2 * mesh.count() > grid**3
     full = dense(mesh, grid, columns)
     i, j, k = split_cell(F.col("cell"), grid)
-    at = full.where("filled").select(*columns, i.alias("i"), j.alias("j"), k.alias("k"))
+    at = full.where("NOT filled" if asking else "filled").select(F.col("cell").alias("own"), *([] if asking else columns), i.alias("i"), j.alias("j"), k.alias("k"))
     step = F.array(*map(F.lit, (-1, 0, 1)))
     for c in "ijk":
-        at = at.withColumn(f"d{c}", F.explode(step))
-    at = at.where("di != 0 OR dj != 0 OR dk != 0")
-    for c in "ijk":
-        at = at.withColumn(c, F.col(c) + F.col(f"d{c}")).where(f"{c} BETWEEN 0 AND {grid - 1}")
-    got = at.groupBy((F.col("i") + grid * F.col("j") + grid * grid * F.col("k")).alias("cell")).agg(*(F.sum(c).alias(f"s_{c}") for c in columns), F.count(F.lit(1)).alias("n"))
+        at = at.withColumn(f"d{c}", F.explode(step)).withColumn(c, F.col(c) + F.col(f"d{c}")).where(f"{c} BETWEEN 0 AND {grid - 1}")
+    at = at.where("di != 0 OR dj != 0 OR dk != 0").withColumn("cell", F.col("i") + grid * F.col("j") + grid * grid * F.col("k"))
+    met = at.select("own", "cell").join(mesh, "cell").groupBy(F.col("own").alias("cell")) if asking else at.groupBy("cell")
+    got = met.agg(*(F.sum(c).alias(f"s_{c}") for c in columns), F.count(F.lit(1)).alias("n"))
     rows = full.join(got, "cell", "left")
     value = lambda c: F.when(F.col("filled"), F.col(c)).otherwise(F.coalesce(F.col(f"s_{c}") / F.col("n"), F.lit(0.0)))
     return rows.select("cell", *(value(c).alias(c) for c in columns), "filled")
 
 
-def nearest_global(df: DataFrame, grid: int, low: float = -0.5, high: float = 0.5, rounds: int = 64) -> DataFrame:
-    """For each node of a grid with both ends, the particle nearest to it anywhere: cell, pid, d2.
+def nearest_global(df: DataFrame, grid: int, low: float = -0.5, high: float = 0.5) -> DataFrame:
+    """For each node of a grid with both ends, the particle nearest to it anywhere: cell, pid, d2; no rows without particles.
 
-    Particles are binned into the nodes' cells; a node looks into rings of cells until the next ring can't be nearer.
+    A node looks into the 27 bins around it. Bins are as wide as the grid's step first; nodes that found nothing within
+    a bin's width look again among bins of twice the width, in the end among all particles.
     """
-    spark, step = df.sparkSession, (high - low) / (grid - 1)
-    bins = df.select("pid", "x", "y", "z", *(F.round((F.col(c) - low) / step).cast("long").alias(b) for b, c in zip("abc", "xyz", strict=True)))
-    i, j, k = split_cell(F.col("cell"), grid)
-    nodes = spark.range(grid**3).withColumnRenamed("id", "cell").select("cell", i.alias("i"), j.alias("j"), k.alias("k"))
+    spark, width = df.sparkSession, (high - low) / max(1, grid - 1)
     found = None
-    for ring in range(1, rounds):
-        shifts = F.array(*(F.lit(s) for s in range(-ring, ring + 1)))
+    extent = df.agg(F.min(F.least("x", "y", "z")), F.max(F.greatest("x", "y", "z"))).first()
+    if extent[0] is None:
+        return spark.createDataFrame([], "cell bigint, pid bigint, d2 double")
+    longest = max(extent[1], high) - min(extent[0], low)
+    step, rows = width, df.select("pid", "x", "y", "z")
+    i, j, k = split_cell(F.col("cell"), grid)
+    nodes = spark.range(grid**3).withColumnRenamed("id", "cell").select("cell", *((F.lit(low) + c * step).alias(n) for n, c in (("nx", i), ("ny", j), ("nz", k))))
+    around = F.array(*map(F.lit, (-1, 0, 1)))
+    while True:
+        bin_of = lambda c: F.floor((F.col(c) - low) / width).cast("long")  # noqa: B023, E731
         near = nodes
-        for b, c in zip("abc", "ijk", strict=True):
-            near = near.withColumn("__s", F.explode(shifts)).withColumn(b, F.col(c) + F.col("__s"))
-        d = [F.col(c) - (F.lit(low) + F.col(n) * step) for c, n in zip("xyz", "ijk", strict=True)]
-        best = near.join(bins, ["a", "b", "c"]).groupBy("cell").agg(F.min(F.struct((d[0] * d[0] + d[1] * d[1] + d[2] * d[2]).alias("d2"), "pid")).alias("m"))
-        rows = nodes.join(best, "cell", "left").select("cell", "i", "j", "k", "m.pid", "m.d2")
-        sure = F.col("d2") <= ((ring + 0.5) * step) ** 2
-        rows = held(rows)
-        done = rows.where(sure).select("cell", "pid", "d2")
+        for b, c in zip("abc", "xyz", strict=True):
+            near = near.withColumn("__s", F.explode(around)).withColumn(b, bin_of(f"n{c}") + F.col("__s")).drop("__s")
+        d = [F.col(c) - F.col(f"n{c}") for c in "xyz"]
+        met = near.join(rows.select("*", *(bin_of(c).alias(b) for b, c in zip("abc", "xyz", strict=True))), ["a", "b", "c"])
+        best = met.groupBy("cell").agg(F.min(F.struct((d[0] * d[0] + d[1] * d[1] + d[2] * d[2]).alias("d2"), "pid")).alias("m"))
+        looked = held(nodes.join(best, "cell", "left").select("cell", "nx", "ny", "nz", "m.pid", "m.d2"))
+        sure = F.coalesce(F.col("d2") <= width**2, F.lit(False)) if width < longest else F.lit(True)
+        done = looked.where(sure).select("cell", "pid", "d2")
         found = done if found is None else found.unionByName(done)
-        nodes = rows.where(F.col("d2").isNull() | ~sure).select("cell", "i", "j", "k")
-        if nodes.isEmpty():
+        nodes = looked.where(~sure).select("cell", "nx", "ny", "nz")
+        if width >= longest or nodes.isEmpty():
             return found
-    raise RuntimeError("nodes without a particle near them")
+        width *= 2

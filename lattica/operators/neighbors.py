@@ -14,8 +14,8 @@ def radius_pairs(df: DataFrame, periodic: bool = True, low: float = -0.5, high:
     """(i, j, d2) for every j other than i with distance below 2 h of i; in a periodic or open box.
 
     Sources fall into size classes by the power of two above 2 h, each with buckets of that width, so that wide
-    searches don't widen narrow ones. A source meets the buckets around its own, each once even where the periodic
-    grid is so coarse that they coincide.
+    searches don't widen narrow ones. A source meets the buckets that its search touches, each once even where the
+    periodic grid is so coarse that they coincide.
     """
     length = high - low
     sources = (df if queries is None else queries).select(F.col("pid").alias("i"), *(F.col(c).alias(f"{c}i") for c in "xyz"), (2 * F.col("h")).alias("r"))
@@ -25,13 +25,15 @@ def radius_pairs(df: DataFrame, periodic: bool = True, low: float = -0.5, high:
     if rungs[0] is None:
         return df.sparkSession.createDataFrame([], "i bigint, j bigint, d2 double")
     wide = F.pow(F.lit(2.0), F.col("rung").cast("double")) * length
+    sources = sources.withColumn("cells", F.pow(F.lit(2.0), -F.col("rung").cast("double")).cast("long"))
+    # the buckets that the search's cube touches: two to three along an axis
     for b, c in zip("abc", "xyz", strict=True):
-        sources = sources.withColumn(b, F.floor((F.col(f"{c}i") - low) / wide).cast("long"))
-    reach = F.when(F.col("r") > wide, F.ceil(F.col("r") / wide).cast("int")).otherwise(1)
-    sources = sources.withColumn("reach", reach).withColumn("cells", F.pow(F.lit(2.0), -F.col("rung").cast("double")).cast("long"))
-    for b in "abc":
-        around = F.sequence(F.col(b) - F.col("reach"), F.col(b) + F.col("reach"))
-        sources = sources.withColumn(b, F.explode(F.array_distinct(F.transform(around, lambda v: F.pmod(v, F.col("cells")))) if periodic else around))
+        first, last = (F.floor((F.col(f"{c}i") + s * F.col("r") - low) / wide).cast("long") for s in (-1, 1))
+        if periodic:
+            touched = F.sequence(first, F.least(last, first + F.col("cells") - 1))
+            sources = sources.withColumn(b, F.explode(F.transform(touched, lambda v: F.pmod(v, F.col("cells")))))
+        else:
+            sources = sources.withColumn(b, F.explode(F.sequence(first, last)))
     targets = df.select(F.col("pid").alias("j"), *(F.col(c).alias(f"{c}j") for c in "xyz")).withColumn("rung", F.explode(F.sequence(F.lit(rungs[0]), F.lit(rungs[1]))))
     for b, c in zip("abc", "xyz", strict=True):
         raw = F.floor((F.col(f"{c}j") - low) / wide).cast("long")
@@ -52,6 +54,14 @@ def nearest_neighbors(df: DataFrame, most: int, periodic: bool = True, queries:
     return radius_pairs(df, periodic, queries=queries).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
 
 
+def capped_neighbors(df: DataFrame, most: int, periodic: bool = True) -> DataFrame:
+    """(i, n, listed): how many neighbours each particle (key, ...) has, and the first `most` of them in the order of the curve."""
+    pairs = radius_pairs(df, periodic).select("i", "j").join(df.select(F.col("pid").alias("j"), "key"), "j")
+    own = Window.partitionBy("i").orderBy("key", "j")
+    ranked = pairs.withColumns({"rank": F.row_number().over(own), "n": F.count(F.lit(1)).over(Window.partitionBy("i"))}).where(F.col("rank") <= most)
+    return ranked.groupBy("i").agg(F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct("rank", "j"))).alias("l")).select("i", "n", F.col("l.j").alias("listed"))
+
+
 def adjust_smoothing(df: DataFrame, target: int = 100, rounds: int = 11, periodic: bool = True) -> DataFrame:
     """df with h changed until particles have about `target` neighbours: h * ((1 + 1023 target / n) / 2 ** 10) ** (1/10) halved steps."""
     for _ in range(rounds):

@@ -12,10 +12,16 @@ from lattica.operators.ordering import with_running
 from lattica.plans.held import held
 
 
-def level_counts(keys: DataFrame, deepest: int = BITS, weight: str | None = None) -> DataFrame:
-    """(level, key, count) of all nodes with keys down to a level: one shuffle of distinct cells, then sums upwards."""
-    cells = keys.where(F.col("key").isNotNull()).groupBy(enclosing_box(F.col("key"), deepest).alias("key")).agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("count"))
-    rows = cells.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(deepest))))
+#: Levels that one pass over the keys counts.
+STEP = 5
+#: Tables of up to so many narrow rows, counted first, may be broadcast: 16 MB at 64 bytes a row.
+BROADCAST_ROWS = 1 << 18
+
+
+def level_counts(keys: DataFrame, above: int, deepest: int) -> DataFrame:
+    """(level, key, count) of all nodes with keys at the levels above + 1 .. deepest: one shuffle of partial counts of cells, then sums upwards."""
+    cells = keys.groupBy(enclosing_box(F.col("key"), deepest).alias("key")).agg(F.count(F.lit(1)).alias("count"))
+    rows = cells.withColumn("level", F.explode(F.sequence(F.lit(above + 1), F.lit(deepest))))
     return rows.groupBy("level", enclosing_box(F.col("key"), F.col("level")).alias("key")).agg(F.sum("count").alias("count"))
 
 
@@ -26,27 +32,52 @@ def children(nodes: DataFrame) -> DataFrame:
 
 
 def build_octree(keys: DataFrame, bucket: int, deepest: int = BITS) -> DataFrame:
-    """(level, key, count) of the leaves: a node is divided if it has more than bucket keys, so its children, also empty ones, are nodes."""
-    counts = level_counts(keys, deepest)
-    divided = counts.where((F.col("count") > bucket) & (F.col("level") < deepest))
-    root = counts.sparkSession.range(1).select(F.lit(0).alias("level"), _long(0).alias("key"))
-    nodes = root.unionByName(children(divided).select("level", "key"))
-    leaves = nodes.join(divided.select("level", "key"), ["level", "key"], "left_anti")
-    return leaves.join(counts, ["level", "key"], "left").select("level", "key", F.coalesce("count", F.lit(0)).cast("long").alias("count"))
+    """(level, key, count) of the leaves: a node is divided if it has more than bucket keys, so its children, also empty ones, are nodes.
+
+    STEP levels are counted at a time, from the root on; after the first time only keys in nodes that are still too full
+    are looked at again.
+    """
+    keys = keys.where(F.col("key").isNotNull()).select("key")
+    above, out = 0, None
+    full = keys.sparkSession.range(1).select(F.lit(0).alias("level"), _long(0).alias("key"))
+    while True:
+        to = min(above + STEP, deepest)
+        counts = held(level_counts(keys, above, to))
+        if not above:
+            total = counts.where("level = 1").agg(F.sum("count")).first()[0] or 0
+            if total <= bucket:
+                return full.withColumn("count", _long(total))
+        divided = full.unionByName(counts.where((F.col("count") > bucket) & (F.col("level") < to)).select("level", "key"))
+        nodes = children(divided).select("level", "key").join(counts, ["level", "key"], "left")
+        nodes = held(nodes.select("level", "key", F.coalesce("count", F.lit(0)).cast("long").alias("count")))
+        leaves = nodes.where((F.col("count") <= bucket) | (F.col("level") == deepest))
+        out = leaves if out is None else out.unionByName(leaves)
+        full = nodes.where((F.col("count") > bucket) & (F.col("level") == to)).select("level", "key")
+        n = full.count()
+        if to == deepest or not n:
+            return out
+        cell = full.select(F.col("key").alias("cell"))
+        keys = held(keys.withColumn("cell", enclosing_box(F.col("key"), to)).join(F.broadcast(cell) if n <= BROADCAST_ROWS else cell, "cell", "left_semi").select("key"))
+        above = to
 
 
 def node_counts(leaves: DataFrame, keys: DataFrame, most: int | None = None) -> DataFrame:
     """Leaves (level, key) with how many keys each has, at most `most`."""
+    leaves = held(leaves.select("level", "key"))
     found = leaf_lookup(leaves, keys).groupBy("level", "leaf").agg(F.count(F.lit(1)).alias("count")).withColumnRenamed("leaf", "key")
     count = F.coalesce("count", F.lit(0)).cast("long")
-    return leaves.select("level", "key").join(found, ["level", "key"], "left").select("level", "key", (F.least(count, F.lit(most)) if most else count).alias("count"))
+    return leaves.join(found, ["level", "key"], "left").select("level", "key", (F.least(count, F.lit(most)) if most else count).alias("count"))
 
 
 def leaf_lookup(leaves: DataFrame, keys: DataFrame) -> DataFrame:
-    """Rows of keys with the leaf that holds each: (..., level, leaf). Leaves are dyadic, so this is an equi-join per level that exists."""
-    levels = [r[0] for r in leaves.select("level").distinct().orderBy("level").collect()]
-    tried = keys.withColumn("level", F.explode(F.array(*map(F.lit, levels)))).withColumn("leaf", enclosing_box(F.col("key"), F.col("level")))
-    return tried.join(leaves.select("level", F.col("key").alias("leaf")), ["level", "leaf"], "left_semi")
+    """Rows of keys with the leaf that holds each: (..., level, leaf). Leaves are dyadic, so this is an equi-join per level
+    that exists; up to BROADCAST_ROWS leaves are broadcast, so that keys aren't shuffled."""
+    leaves = held(leaves.select("level", F.col("key").alias("leaf")))
+    levels = dict(tuple(r) for r in leaves.groupBy("level").agg(F.count(F.lit(1))).collect())
+    side = F.broadcast(leaves) if sum(levels.values()) <= BROADCAST_ROWS else leaves
+    level = F.lit(next(iter(levels), 0)) if len(levels) < 2 else F.explode(F.array(*map(F.lit, sorted(levels))))
+    tried = keys.withColumn("level", level).withColumn("leaf", enclosing_box(F.col("key"), F.col("level")))
+    return tried.join(side, ["level", "leaf"], "left_semi")
 
 
 def all_nodes(leaves: DataFrame) -> DataFrame:
@@ -74,12 +105,24 @@ def upsweep(leaves: DataFrame, aggregates: Callable[[], list[Column]]) -> DataFr
     return up.groupBy(F.col("up").alias("level"), enclosing_box(F.col("key"), F.col("up")).alias("key")).agg(*aggregates())
 
 
+def _mass_sums(particles: DataFrame, leaves: DataFrame) -> DataFrame:
+    mass = F.abs("m")
+    rows = leaf_lookup(leaves, particles).groupBy("level", F.col("leaf").alias("key"))
+    return rows.agg(F.sum(mass).alias("w"), F.sum("m").alias("m"), *(F.sum(mass * F.col(c)).alias(f"s{c}") for c in "xyz"))
+
+
+def _centers(sums: DataFrame) -> DataFrame:
+    return sums.select("level", "key", "m", *((F.col(f"s{c}") / F.when(F.col("w") == 0, 1.0).otherwise(F.col("w"))).alias(f"c{c}") for c in "xyz"))
+
+
 def mass_centers(particles: DataFrame, leaves: DataFrame) -> DataFrame:
     """(level, key, m, cx, cy, cz) of the leaves that have particles (key, x, y, z, m): weighted by absolute mass."""
-    rows = leaf_lookup(leaves, particles)
-    mass = F.abs("m")
-    out = rows.groupBy("level", F.col("leaf").alias("key")).agg(F.sum(mass).alias("w"), F.sum("m").alias("m"), *(F.sum(mass * F.col(c)).alias(f"s{c}") for c in "xyz"))
-    return out.select("level", "key", "m", *((F.col(f"s{c}") / F.when(F.col("w") == 0, 1.0).otherwise(F.col("w"))).alias(f"c{c}") for c in "xyz"))
+    return _centers(_mass_sums(particles, leaves))
+
+
+def node_mass_centers(particles: DataFrame, leaves: DataFrame) -> DataFrame:
+    """The same of all nodes that have particles, inner ones from the sums of their leaves."""
+    return _centers(upsweep(_mass_sums(particles, leaves), lambda: [F.sum(c).alias(c) for c in ("w", "m", "sx", "sy", "sz")]))
 
 
 def node_ops(leaves: DataFrame, bucket: int, bits: int = BITS) -> DataFrame:
@@ -113,7 +156,7 @@ def spanning_tree(keys: DataFrame, bits: int = BITS) -> DataFrame:
     """(level, key): the fewest nodes such that each given key, besides 0 and the end of the range, begins one."""
     spark = keys.sparkSession
     edges = keys.select(F.col("key").cast("long").alias("key")).unionByName(spark.range(1).select(_long(0).alias("key"))).distinct()
-    pairs = with_running(edges, F.lit(0), bits=3 * bits).select(F.col("key").alias("a"), F.col("next").alias("b"))
+    pairs = with_running(edges, F.lit(0)).select(F.col("key").alias("a"), F.col("next").alias("b"))
     body = span_range(pairs.where("b IS NOT NULL"), "a", "b", bits).select("level", F.col("node").alias("key"))
     # the last interval ends with the range, which is no BIGINT: mirrored, it begins at 0
     last = pairs.where("b IS NULL AND a > 0").select(_long(0).alias("a"), (_long(8**bits - 1) - F.col("a") + 1).alias("b"))
@@ -155,18 +198,10 @@ def continuum_octree(spark, concentration: Callable[[Column, Column, Column], Co
     return out
 
 
-def max_depth(nodes: DataFrame) -> int:
-    return nodes.agg(F.max("level")).first()[0]
-
-
-def code_range(level: Column, key: Column) -> Column:
-    """First and last key of a node."""
-    return F.struct(key.alias("first"), (key + (node_range(level) - 1)).alias("last"))
-
-
-def parent_key(level: Column, key: Column) -> Column:
-    return enclosing_box(key, F.greatest(level - 1, F.lit(0)))
-
-
 def digits(key: Column, n: int = 7) -> list[Column]:
     return [_shr(key, 3 * (BITS - p)).bitwiseAND(_long(7)).cast("int").alias(f"d{p}") for p in range(1, n + 1)]
+
+
+def uniform_tree(spark, level: int, bits: int = BITS) -> DataFrame:
+    """(level, key): all nodes of a level."""
+    return spark.range(8**level).select(F.lit(level).alias("level"), (F.col("id") * (8 ** (bits - level))).alias("key"))

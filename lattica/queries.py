@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import math
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,15 +10,16 @@ from pyspark.sql import functions as F
 from lattica.functions import geometry as G
 from lattica.functions import sfc as K
 from lattica.operators import domain as D
+from lattica.operators import focus as E
 from lattica.operators import mesh as M
 from lattica.operators import neighbors as N
 from lattica.operators import octree as O
 from lattica.operators import spectrum as S
-from lattica.operators.ordering import with_rank
-from lattica.plans.held import held
+from lattica.operators.ordering import gather, running_max, scatter, segmented_scan, with_rank
+from lattica.plans.held import held, new_path
 from lattica.plans.power_spectrum import power_spectrum
 from lattica.sources import snapshots
-from lattica.sources.particles import PARTICLE_SQL, particles
+from lattica.sources.particles import CLUSTERED_SQL, PARTICLE_SQL, clustered, particles
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -48,6 +47,14 @@ def _keyed(spark: SparkSession, sf_dir: str, curve: str = "morton") -> DataFrame
     return K.with_sfc_key(particles(spark, sf_dir), curve)
 
 
+def _clustered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return K.with_sfc_key(clustered(particles(spark, sf_dir)), "morton")
+
+
+def _deep_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return O.build_octree(_clustered(spark, sf_dir), _CLUSTER_BUCKET)
+
+
 def _leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.build_octree(_keyed(spark, sf_dir), _BUCKET)
 
@@ -56,14 +63,27 @@ def _lat(c: str) -> str:
     return f"least(greatest(CAST(floor({c}*2097152.0e0) AS BIGINT) + 1048576, 0), 2097151)"
 
 
-_KEYED = PARTICLE_SQL + f""", q AS (SELECT *, {_lat('x')} AS ix, {_lat('y')} AS iy, {_lat('z')} AS iz FROM p),
-k AS (SELECT *, CAST(list_sum(list_transform(range(21), lambda b: (((ix >> b) & 1)*4 + ((iy >> b) & 1)*2 + ((iz >> b) & 1)) << (3*b))) AS BIGINT) AS key FROM q)"""
-_TREE = _KEYED + f""", c AS (SELECT CAST(l AS INT) AS level, (key >> CAST(63 - 3*l AS INT)) AS prefix, count(*) AS n FROM k, (SELECT unnest(range(1, 12)) AS l) GROUP BY ALL
+def _keyed_sql(particle_sql: str = PARTICLE_SQL) -> str:
+    return particle_sql + f""", q AS (SELECT *, {_lat('x')} AS ix, {_lat('y')} AS iy, {_lat('z')} AS iz FROM p),
+k AS MATERIALIZED (SELECT *, CAST(list_sum(list_transform(range(21), lambda b: (((ix >> b) & 1)*4 + ((iy >> b) & 1)*2 + ((iz >> b) & 1)) << (3*b))) AS BIGINT) AS key FROM q)"""
+
+
+def _tree_sql(keyed: str, bucket: int) -> str:
+    """leaves (level, prefix, key, count); trees have fewer than 12 levels."""
+    return keyed + f""", c AS MATERIALIZED (SELECT CAST(l AS INT) AS level, (key >> CAST(63 - 3*l AS INT)) AS prefix, count(*) AS n FROM k, (SELECT unnest(range(1, 12)) AS l) GROUP BY ALL
  UNION ALL SELECT 0, 0, count(*) FROM k),
-inner_nodes AS (SELECT level, prefix FROM c WHERE n > {_BUCKET}),
+inner_nodes AS MATERIALIZED (SELECT level, prefix FROM c WHERE n > {bucket}),
 nodes AS (SELECT 0 AS level, CAST(0 AS BIGINT) AS prefix UNION ALL SELECT level + 1, prefix*8 + d FROM inner_nodes, (SELECT unnest(range(8)) AS d)),
-leaves AS (SELECT n.level, n.prefix, n.prefix << CAST(63 - 3*n.level AS INT) AS key, coalesce(c.n, 0) AS count FROM nodes n LEFT JOIN c USING (level, prefix) WHERE NOT EXISTS (SELECT 1 FROM inner_nodes i WHERE i.level = n.level AND i.prefix = n.prefix))"""
-_TREE = _TREE.replace("n.prefix << CAST(63 - 3*n.level AS INT)", "CASE WHEN n.level = 0 THEN 0 ELSE n.prefix << CAST(63 - 3*n.level AS INT) END")
+ends AS (SELECT * FROM nodes ANTI JOIN inner_nodes USING (level, prefix)),
+leaves AS MATERIALIZED (SELECT level, prefix, CASE WHEN level = 0 THEN 0 ELSE prefix << CAST(63 - 3*greatest(level, 1) AS INT) END AS key, coalesce(c.n, 0) AS count FROM ends LEFT JOIN c USING (level, prefix))"""
+
+
+_KEYED = _keyed_sql()
+_TREE = _tree_sql(_KEYED, _BUCKET)
+#: The particles drawn towards the middle, in smaller buckets: a tree of several depths.
+_CLUSTER_BUCKET = 64
+_CLUSTERED = _keyed_sql(CLUSTERED_SQL)
+_DEEP = _tree_sql(_CLUSTERED, _CLUSTER_BUCKET)
 
 
 def _cells(grid: int, kind: str = "lattice") -> str:
@@ -134,7 +154,7 @@ def field_stats(spark, sf_dir):
 @query(f"WITH {PARTICLE_SQL}, r AS (SELECT pid, row_number() OVER (ORDER BY pid) - 1 AS row, count(*) OVER () AS n FROM p) SELECT CAST(CASE WHEN row < (n % 7)*(n // 7 + 1) THEN row // (n // 7 + 1) ELSE n % 7 + (row - (n % 7)*(n // 7 + 1)) // (n // 7) END AS INT) AS part, count(*) AS rows, min(pid) AS first_pid FROM r GROUP BY 1")
 def split_rows(spark, sf_dir):
     df = particles(spark, sf_dir).select("pid")
-    ranked = with_rank(df, "pid", (), 40)
+    ranked = with_rank(df, "pid", ())
     return ranked.groupBy(snapshots.part_of_row(F.col("rank"), 7, df.count()).alias("part")).agg(F.count(F.lit(1)).alias("rows"), F.min("pid").alias("first_pid"))
 
 
@@ -145,8 +165,7 @@ def ascii_roundtrip(spark, sf_dir):
 
 
 def _steps_path(spark) -> str:
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='lattica-')}"
-    return f"{base.rstrip('/')}/steps-{uuid.uuid4().hex}"
+    return new_path(spark, "steps")
 
 
 @query(f"WITH {PARTICLE_SQL} SELECT pid, vx, x + 0.25e0 AS x, 2.5e0 AS time FROM p")
@@ -225,7 +244,7 @@ def octal_digits(spark, sf_dir):
 _CONSTANT = 5270498306774157604
 
 
-@query(f"WITH {_KEYED} SELECT pid, CAST(63 - CASE WHEN xor(key, {_CONSTANT}) = 0 THEN 0 ELSE floor(log2(xor(key, {_CONSTANT}))) + 1 END AS INT) AS shared FROM k WHERE abs(log2(greatest(xor(key, {_CONSTANT}), 1)) - round(log2(greatest(xor(key, {_CONSTANT}), 1)))) >= 0")
+@query(f"WITH {_KEYED} SELECT pid, CAST(63 - CASE WHEN xor(key, {_CONSTANT}) = 0 THEN 0 ELSE floor(log2(xor(key, {_CONSTANT}))) + 1 END AS INT) AS shared FROM k")
 def common_prefix(spark, sf_dir):
     return _keyed(spark, sf_dir).select("pid", K.common_prefix(F.col("key"), F.lit(_CONSTANT)).alias("shared"))
 
@@ -454,6 +473,16 @@ def kolmogorov_slope(spark, sf_dir):
     return _rounded(_rounded(S.kolmogorov_line(spec, 2.5), "value"), "slope", places=9)
 
 
+def _indexed(leaves: DataFrame) -> DataFrame:
+    """leaves with idx, their place in key order."""
+    return with_rank(leaves, ties=()).withColumnRenamed("rank", "idx")
+
+
+def _gaps(indexed: DataFrame, most: int) -> DataFrame:
+    indexed = held(indexed)
+    return D.invert_ranges(indexed.where(f"count > {most}").select(F.col("idx").alias("lo"), (F.col("idx") + 1).alias("hi")), 0, indexed.count())
+
+
 # Octrees -------------------------------------------------------------------------------------------------------------
 
 
@@ -485,8 +514,9 @@ def upsweep_count(spark, sf_dir):
     return O.upsweep(_leaves(spark, sf_dir), lambda: [F.sum("count").alias("count")])
 
 
-_LOOKUP = _TREE + ", lk AS (SELECT k.*, l.level, l.key AS leaf FROM k, (SELECT DISTINCT level FROM leaves) d JOIN leaves l ON l.level = d.level AND l.prefix = CASE WHEN d.level = 0 THEN 0 ELSE k.key >> CAST(63 - 3*d.level AS INT) END)"
-_LOOKUP = _TREE + ", lk AS (SELECT k.*, l.level, l.key AS leaf FROM k JOIN leaves l ON k.key >= l.key AND k.key <= l.key + CASE WHEN l.level = 0 THEN 9223372036854775807 ELSE (CAST(1 AS BIGINT) << CAST(63 - 3*l.level AS INT)) - 1 END)"
+_LK = """, tried AS (SELECT k.*, d.level AS lv, CASE WHEN d.level = 0 THEN 0 ELSE key >> CAST(63 - 3*greatest(d.level, 1) AS INT) END AS pf FROM k, (SELECT DISTINCT level FROM leaves) d),
+ lk AS (SELECT t.* EXCLUDE (lv, pf), l.level, l.key AS leaf FROM tried t JOIN leaves l ON l.level = t.lv AND l.prefix = t.pf)"""
+_LOOKUP, _DEEP_LOOKUP = _TREE + _LK, _DEEP + _LK
 
 
 @query(f"WITH {_LOOKUP} SELECT level, leaf AS key, sum(m) AS m, sum(m*x)/sum(m) AS cx, sum(m*y)/sum(m) AS cy, sum(m*z)/sum(m) AS cz FROM (SELECT *, h*1024 AS m FROM lk) GROUP BY level, leaf")
@@ -499,7 +529,7 @@ def leaf_lookup(spark, sf_dir):
     return O.leaf_lookup(_leaves(spark, sf_dir), _keyed(spark, sf_dir).select("pid", "key")).select("pid", "key", "level", "leaf")
 
 
-_OPS = _TREE.replace(", leaves AS", ", leaves0 AS") if False else _TREE + """, fam AS (SELECT *, count(*) OVER o AS n8, sum(count) OVER o AS sum8, CASE WHEN level = 0 THEN 0 ELSE prefix & 7 END AS digit FROM leaves WINDOW o AS (PARTITION BY level, CASE WHEN level = 0 THEN 0 ELSE prefix >> 3 END)),
+_OPS = _TREE + """, fam AS (SELECT *, count(*) OVER o AS n8, sum(count) OVER o AS sum8, CASE WHEN level = 0 THEN 0 ELSE prefix & 7 END AS digit FROM leaves WINDOW o AS (PARTITION BY level, CASE WHEN level = 0 THEN 0 ELSE prefix >> 3 END)),
  ops AS (SELECT level, key, count, CAST(CASE WHEN level > 0 AND n8 = 8 AND digit > 0 AND sum8 <= 900 THEN 0 WHEN count > 900*512 THEN 4096 WHEN count > 900*64 THEN 512 WHEN count > 900*8 THEN 64 WHEN count > 900 THEN 8 ELSE 1 END AS INT) AS op, n8 = 8 AND level > 0 AND sum8 <= 900 AND digit = 0 AS heads FROM fam)"""
 
 
@@ -508,7 +538,7 @@ def rebalance_ops(spark, sf_dir):
     return O.node_ops(_leaves(spark, sf_dir), 900)
 
 
-@query(f"WITH {_TREE.replace(f'n > {_BUCKET}', 'n > 64')} SELECT level, key FROM leaves")
+@query(f"WITH {_tree_sql(_KEYED, 64)} SELECT level, key FROM leaves")
 def rebalance_steps(spark, sf_dir):
     """The tree for buckets of 64, from that for 512, by steps of decisions and their application until nothing changes."""
     keys, leaves = _keyed(spark, sf_dir).select("key"), held(_leaves(spark, sf_dir))
@@ -539,37 +569,109 @@ def leaf_layout(spark, sf_dir):
 
 @query(f"WITH {_TREE}, s AS (SELECT key, count, row_number() OVER (ORDER BY key) - 1 AS idx FROM leaves), h AS (SELECT idx, idx - row_number() OVER (ORDER BY idx) AS g FROM s WHERE count > 300) SELECT min(idx) AS lo, max(idx) + 1 AS hi FROM h GROUP BY g")
 def marked_runs(spark, sf_dir):
-    rows = _leaves(spark, sf_dir)
-    from pyspark.sql import Window
-
-    indexed = rows.withColumn("idx", F.row_number().over(Window.orderBy("key")).cast("long") - 1)
-    return D.marked_runs(indexed, "count > 300")
+    return D.marked_runs(_indexed(_leaves(spark, sf_dir)), "count > 300")
 
 
 @query(f"WITH {_TREE}, s AS (SELECT row_number() OVER (ORDER BY key) - 1 AS idx, count FROM leaves), e AS (SELECT idx AS lo, idx + 1 AS hi FROM s WHERE count > 300 UNION ALL SELECT 0, 0 UNION ALL SELECT count(*), count(*) FROM s), g AS (SELECT hi AS lo, lead(lo) OVER (ORDER BY lo, hi) AS hi FROM e) SELECT * FROM g WHERE hi > lo")
 def invert_ranges(spark, sf_dir):
-    from pyspark.sql import Window
+    return _gaps(_indexed(_leaves(spark, sf_dir)), 300)
 
-    indexed = _leaves(spark, sf_dir).withColumn("idx", F.row_number().over(Window.orderBy("key")).cast("long") - 1)
-    n = indexed.count()
-    return D.invert_ranges(indexed.where("count > 300").select(F.col("idx").alias("lo"), (F.col("idx") + 1).alias("hi")), 0, n)
 
+def _spanned(edges: str) -> str:
+    """SQL: a node is divided if an edge lies in it but doesn't begin it; the leaves are the other children."""
+    return f""", eg AS MATERIALIZED (SELECT DISTINCT key FROM ({edges} UNION ALL SELECT 0)),
+ dv AS MATERIALIZED (SELECT DISTINCT CAST(l AS INT) AS level, CASE WHEN l = 0 THEN 0 ELSE key >> CAST(63 - 3*greatest(l, 1) AS INT) END AS prefix FROM eg, (SELECT unnest(range(0, 21)) AS l)
+   WHERE CASE WHEN l = 0 THEN key <> 0 ELSE (key & ((CAST(1 AS BIGINT) << CAST(63 - 3*greatest(l, 1) AS INT)) - 1)) <> 0 END),
+ sn AS (SELECT 0 AS level, CAST(0 AS BIGINT) AS prefix UNION ALL SELECT level + 1, prefix*8 + d FROM dv, (SELECT unnest(range(8)) AS d))
+ SELECT level, CASE WHEN level = 0 THEN 0 ELSE prefix << CAST(63 - 3*greatest(level, 1) AS INT) END AS key FROM sn ANTI JOIN dv USING (level, prefix)"""
 
-@query()
+
+@query(f"WITH {_TREE}{_spanned('SELECT key FROM leaves WHERE level >= 2')}")
 def spanning_tree(spark, sf_dir):
     return O.spanning_tree(_leaves(spark, sf_dir).where("level >= 2"))
 
 
-@query()
+@query(f"WITH {_TREE}{_spanned(f'SELECT key FROM leaves UNION ALL SELECT {_CONSTANT}')}")
 def inject_keys(spark, sf_dir):
     return O.inject_keys(_leaves(spark, sf_dir), spark.range(1).select(F.lit(_CONSTANT).alias("key")))
 
 
-@query()
+def _density(level: str, x: str, y: str, z: str) -> str:
+    """SQL: the count of a node of a level at lattice place x, y, z for the density 2000 / r."""
+    edge, unit = f"CAST((CAST(1 AS BIGINT) << (21 - ({level}))) AS DOUBLE)", repr(2.0 / (1 << 21))
+    at = lambda c, k, p: f"((-1.0e0 + (({c}) + {edge}*0.25e0)*{unit}e0) + ({edge}*{(0.5 * 2.0 / (1 << 21))!r}e0)*{k >> p & 1})".replace("e-07e0", "e-07")
+    terms = [f"2000/sqrt({'+'.join(f'{at(c, k, p)}*{at(c, k, p)}' for p, c in enumerate((x, y, z)))})" for k in range(8)]
+    s = f"({edge}*{(0.5 * 2.0 / (1 << 21))!r})"
+    return f"CAST(round(({' + '.join(['0.0e0', *terms])})*({s}*{s}*{s})) AS BIGINT)"
+
+
+@query(f"""WITH RECURSIVE t AS (SELECT 0 AS level, CAST(0 AS BIGINT) AS ix, CAST(0 AS BIGINT) AS iy, CAST(0 AS BIGINT) AS iz, {_density('0', '0', '0', '0')} AS count
+ UNION ALL SELECT level, ix, iy, iz, {_density('level', 'ix', 'iy', 'iz')} AS count FROM (SELECT level + 1 AS level, ix + ((d >> 2) & 1)*(CAST(1 AS BIGINT) << (20 - level)) AS ix, iy + ((d >> 1) & 1)*(CAST(1 AS BIGINT) << (20 - level)) AS iy, iz + (d & 1)*(CAST(1 AS BIGINT) << (20 - level)) AS iz
+   FROM t, (SELECT unnest(range(8)) AS d) WHERE count > 64 AND level < 11))
+ SELECT level, CAST(list_sum(list_transform(range(21), lambda b: (((ix >> b) & 1)*4 + ((iy >> b) & 1)*2 + ((iz >> b) & 1)) << (3*b))) AS BIGINT) AS key, count FROM t WHERE count <= 64 OR level = 11""")
 def continuum_tree(spark, sf_dir):
     return O.continuum_octree(spark, lambda x, y, z: 2000 / F.sqrt(x * x + y * y + z * z), 64)
 
 
+# Trees of several depths ---------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {_DEEP} SELECT level, key, CAST(count AS BIGINT) AS count FROM leaves")
+def clustered_leaves(spark, sf_dir):
+    return _deep_leaves(spark, sf_dir)
+
+
+@query(f"WITH {_DEEP_LOOKUP} SELECT pid, key, level, leaf FROM lk")
+def clustered_lookup(spark, sf_dir):
+    return O.leaf_lookup(_deep_leaves(spark, sf_dir), _clustered(spark, sf_dir).select("pid", "key")).select("pid", "key", "level", "leaf")
+
+
+@query(f"WITH {_CLUSTERED} SELECT pid, row_number() OVER (ORDER BY key, pid) - 1 AS rank FROM k")
+def clustered_rank(spark, sf_dir):
+    return with_rank(_clustered(spark, sf_dir).select("pid", "key")).select("pid", F.col("rank").cast("long").alias("rank"))
+
+
+@query(f"WITH {_DEEP}, s AS (SELECT key, count, row_number() OVER (ORDER BY key) - 1 AS idx FROM leaves), h AS (SELECT idx, idx - row_number() OVER (ORDER BY idx) AS g FROM s WHERE count > 20) SELECT min(idx) AS lo, max(idx) + 1 AS hi FROM h GROUP BY g")
+def clustered_runs(spark, sf_dir):
+    return D.marked_runs(_indexed(_deep_leaves(spark, sf_dir)), "count > 20")
+
+
+_GAPS = _DEEP + ", s AS (SELECT row_number() OVER (ORDER BY key) - 1 AS idx, count FROM leaves), e AS (SELECT idx AS lo, idx + 1 AS hi FROM s WHERE count > 20 UNION ALL SELECT 0, 0 UNION ALL SELECT count(*), count(*) FROM s), g AS (SELECT hi AS lo, lead(lo) OVER (ORDER BY lo, hi) AS hi FROM e)"
+
+
+@query(f"WITH {_GAPS} SELECT * FROM g WHERE hi > lo")
+def clustered_gaps(spark, sf_dir):
+    return _gaps(_indexed(_deep_leaves(spark, sf_dir)), 20)
+
+
+@query(f"WITH {_GAPS} SELECT unnest(range(lo, hi)) AS idx FROM g WHERE hi > lo")
+def enumerate_ranges(spark, sf_dir):
+    return D.enumerate_ranges(_gaps(_indexed(_deep_leaves(spark, sf_dir)), 20))
+
+
+@query(f"WITH {_DEEP}, w AS (SELECT DISTINCT l AS level, (key >> CAST(63 - 3*l AS INT)) << CAST(63 - 3*l AS INT) AS key FROM k, (SELECT unnest([3, 4, 5]) AS l)) SELECT CAST(w.level AS INT) AS level, w.key FROM w JOIN (SELECT level, key FROM leaves) l ON w.level = l.level AND w.key = l.key")
+def clustered_locate(spark, sf_dir):
+    rows = _clustered(spark, sf_dir).select("key", F.explode(F.array(*map(F.lit, (3, 4, 5)))).alias("level"))
+    wanted = rows.select("level", K.enclosing_box(F.col("key"), F.col("level")).alias("key")).distinct()
+    return O.locate_node(_deep_leaves(spark, sf_dir).select("level", "key"), wanted)
+
+
+@query(f"WITH {_DEEP_LOOKUP} SELECT pid AS id, level AS node_level, leaf AS node_key FROM lk")
+def clustered_containing(spark, sf_dir):
+    wanted = _clustered(spark, sf_dir).select(F.col("pid").alias("id"), F.lit(11).alias("level"), K.enclosing_box(F.col("key"), F.lit(11)).alias("key"))
+    return O.containing_node(O.all_nodes(_deep_leaves(spark, sf_dir)), wanted)
+
+
+_NODE_SUMS = """, ns AS (SELECT CAST(u AS INT) AS lv, CASE WHEN u = 0 THEN 0 ELSE (leaf >> CAST(63 - 3*greatest(u, 1) AS INT)) << CAST(63 - 3*greatest(u, 1) AS INT) END AS nk, h*1024 AS m, x, y, z FROM lk, (SELECT unnest(range(0, 12)) AS u) WHERE u <= level),
+ nc AS (SELECT lv AS level, nk AS key, sum(m) AS m, sum(m*x)/sum(m) AS cx, sum(m*y)/sum(m) AS cy, sum(m*z)/sum(m) AS cz FROM ns GROUP BY ALL)"""
+
+
+@query(f"WITH {_DEEP_LOOKUP}{_NODE_SUMS} SELECT level, key, m, round(cx, 9) + 0.0 AS cx, round(cy, 9) + 0.0 AS cy, round(cz, 9) + 0.0 AS cz FROM nc")
+def node_mass_centers(spark, sf_dir):
+    out = O.node_mass_centers(_clustered(spark, sf_dir).withColumn("m", F.col("h") * 1024), _deep_leaves(spark, sf_dir))
+    return _rounded(out, "cx", "cy", "cz", places=9)
+
+
 # Domains -------------------------------------------------------------------------------------------------------------
 
 _PARTS = 6
@@ -678,3 +780,258 @@ def neighbor_topk(spark, sf_dir):
 @query()
 def smoothing_length_adjust(spark, sf_dir):
     return N.adjust_smoothing(particles(spark, sf_dir), 40)
+
+
+# Parts of a domain and what they need --------------------------------------------------------------------------------
+
+_DEEP_BOXES = _DEEP_LOOKUP + _BOXES
+
+
+@query(f"WITH {_DEEP_BOXES}, b AS (SELECT level, leaf AS key, min(x - 2*h) AS xa, max(x + 2*h) AS xb, min(y - 2*h) AS ya, max(y + 2*h) AS yb, min(z - 2*h) AS za, max(z + 2*h) AS zb FROM lk GROUP BY ALL) SELECT g.level, g.key, {', '.join(f'least({c}a, c{c}) AS {c}lo, greatest({c}b, c{c}) AS {c}hi' for c in 'xyz')} FROM gx g LEFT JOIN b USING (level, key)")
+def search_boxes(spark, sf_dir):
+    return E.search_boxes(_clustered(spark, sf_dir), _deep_leaves(spark, sf_dir), 2.0)
+
+
+_NODE_BOXES = _BOXES.replace("gx", "gn").replace("key, count,", "key,").replace("FROM leaves", "FROM nc")
+
+
+@query(f"WITH {_DEEP_LOOKUP}{_NODE_SUMS}{_NODE_BOXES}, mm AS (SELECT level, key, nc.cx, nc.cy, nc.cz, s, sqrt((nc.cx-g.cx)*(nc.cx-g.cx) + (nc.cy-g.cy)*(nc.cy-g.cy) + (nc.cz-g.cz)*(nc.cz-g.cz)) AS d FROM gn g JOIN nc USING (level, key)) SELECT level, key, {', '.join(f'round(c{c}, 9) + 0.0 AS c{c}' for c in 'xyz')}, round((2*s*2 + d)*(2*s*2 + d), 9) AS r2 FROM mm")
+def mac_spheres(spark, sf_dir):
+    leaves = held(_deep_leaves(spark, sf_dir))
+    centers = held(O.node_mass_centers(_clustered(spark, sf_dir).withColumn("m", F.col("h") * 1024), leaves))
+    return _rounded(E.mac_spheres(centers.select("level", "key"), centers, 0.5), "cx", "cy", "cz", "r2", places=9)
+
+
+@query(f"WITH {_DEEP}{_BOXES} SELECT level, key, cx, cy, cz, (2*s*2.5e0)*(2*s*2.5e0) AS r2 FROM gx")
+def geometric_mac_spheres(spark, sf_dir):
+    return E.mac_spheres(_deep_leaves(spark, sf_dir), None, 0.5)
+
+
+@query(f"WITH {_DEEP}, f AS (SELECT DISTINCT CAST(2 AS INT) AS level, (key >> 57) << 57 AS key FROM leaves) SELECT f.level, f.key, CAST(coalesce(sum(l.count) FILTER (l.level >= 2), 0) AS BIGINT) AS count FROM f JOIN leaves l ON (l.key >> 57) << 57 = f.key GROUP BY ALL")
+def range_counts(spark, sf_dir):
+    leaves = held(_deep_leaves(spark, sf_dir))
+    coarse = leaves.select(F.lit(2).alias("level"), K.enclosing_box(F.col("key"), F.lit(2)).alias("key")).distinct()
+    return E.range_counts(coarse, leaves.where("level >= 2"))
+
+
+_DEEP_UP = _DEEP + ", up AS (SELECT CAST(u AS INT) AS level, CASE WHEN u = 0 THEN 0 ELSE (key >> CAST(63 - 3*greatest(u, 1) AS INT)) << CAST(63 - 3*greatest(u, 1) AS INT) END AS key, l.level AS of_level, count FROM leaves l, (SELECT unnest(range(0, 12)) AS u) WHERE u <= l.level), nd AS MATERIALIZED (SELECT level, key, CAST(sum(count) AS BIGINT) AS count, bool_or(level = of_level) AS is_leaf, CAST(CASE WHEN level = 0 OR key % 7 < 2 THEN 1 ELSE 0 END AS INT) AS op FROM up GROUP BY level, key)"
+_UP_KEY = "CASE WHEN {0} <= 0 THEN 0 ELSE ({1} >> CAST(63 - 3*greatest({0}, 1) AS INT)) << CAST(63 - 3*greatest({0}, 1) AS INT) END"
+
+
+def _op_nodes(spark, sf_dir) -> DataFrame:
+    nodes = O.upsweep(_deep_leaves(spark, sf_dir), lambda: [F.sum("count").alias("count"), F.max(F.col("up") == F.col("level")).alias("is_leaf")])
+    return held(nodes.withColumn("op", F.when((F.col("level") == 0) | (F.col("key") % 7 < 2), 1).otherwise(0)))
+
+
+@query(f"WITH {_DEEP_UP}, a AS (SELECT n.level, n.key, arg_max(b.key, b.level) AS at, arg_max(b.op, b.level) AS o FROM nd n JOIN (SELECT unnest(range(0, 12)) AS u) ON u < n.level JOIN nd b ON b.level = u AND b.op <> 0 AND b.key = {_UP_KEY.format('u', 'n.key')} WHERE n.op = 0 GROUP BY ALL) SELECT n.level, n.key, CAST(CASE WHEN n.op <> 0 THEN n.op WHEN a.at = n.key THEN a.o ELSE 0 END AS INT) AS op FROM nd n LEFT JOIN a USING (level, key)")
+def protect_ancestors(spark, sf_dir):
+    return E.protect_ancestors(_op_nodes(spark, sf_dir).select("level", "key", "op"))
+
+
+_WANTED_KEYS = (8**20 * 3, 8**17 * 5, 8**16 * 4097, _CONSTANT)
+_ENFORCED = f"""{_DEEP_UP}, wk AS (SELECT unnest([{', '.join(f'CAST({k} AS BIGINT)' for k in _WANTED_KEYS)}]) AS key, unnest([{', '.join(str(next(21 - z for z in range(22) if k % 8 ** (z + 1))) for k in _WANTED_KEYS)}]) AS want),
+ fd AS (SELECT w.key, w.want, arg_max(n.level, n.level) AS nl, arg_max(n.key, n.level) AS nk, arg_max(n.op, n.level) AS op FROM wk w JOIN (SELECT unnest(range(0, 12)) AS u) ON u <= w.want JOIN nd n ON n.level = u AND n.key = {_UP_KEY.format('u', 'w.key')} GROUP BY ALL),
+ fu AS (SELECT *, nl < want AS split, nl > 0 AND (op = 0 OR nl < want) AS undo FROM fd),
+ kept AS (SELECT DISTINCT CAST(u AS INT) AS level, {_UP_KEY.format('(u - 1)', 'nk')} AS parent FROM fu JOIN (SELECT unnest(range(1, 12)) AS u) ON u <= nl WHERE undo)"""
+
+
+@query(f"WITH {_ENFORCED}, o AS (SELECT n.level, n.key, CASE WHEN k.level IS NOT NULL AND op = 0 THEN 1 ELSE op END AS op FROM nd n LEFT JOIN kept k ON k.level = n.level AND k.parent = {_UP_KEY.format('(n.level - 1)', 'n.key')}) SELECT o.level, o.key, CAST(CASE WHEN s.nl IS NOT NULL THEN greatest(o.op, 8) ELSE o.op END AS INT) AS op FROM o LEFT JOIN (SELECT DISTINCT nl, nk FROM fu WHERE split) s ON s.nl = o.level AND s.nk = o.key")
+def enforce_keys(spark, sf_dir):
+    keys = spark.createDataFrame([(k,) for k in _WANTED_KEYS], "key bigint")
+    return E.enforce_keys(_op_nodes(spark, sf_dir), keys)[0].select("level", "key", "op")
+
+
+@query(f"WITH {_ENFORCED} SELECT key, CAST(CASE WHEN split AND want - nl > 1 THEN 3 WHEN split THEN 2 WHEN undo THEN 1 ELSE 0 END AS INT) AS status FROM fu")
+def enforce_keys_status(spark, sf_dir):
+    keys = spark.createDataFrame([(k,) for k in _WANTED_KEYS], "key bigint")
+    return E.enforce_keys(_op_nodes(spark, sf_dir), keys)[1]
+
+
+_PLACED = f"{_ASSIGNED}{_BOXES}, o AS MATERIALIZED (SELECT *, CAST((SELECT count(*) FROM asg WHERE key_lo <= gx.key) - 1 AS INT) AS part FROM gx)"
+
+
+@query(f"""WITH {_PLACED}, h AS (SELECT DISTINCT b.level, b.key, a.part FROM o a, o b WHERE a.part <> b.part AND {_near('a', 'b', '0.0625e0')}){_LK},
+ r AS (SELECT o.part, false AS halo, pid, vx FROM lk JOIN o ON o.level = lk.level AND o.key = lk.leaf UNION ALL SELECT h.part, true, pid, vx FROM lk JOIN h ON h.level = lk.level AND h.key = lk.leaf)
+ SELECT part, count(*) AS rows, CAST(sum(CAST(halo AS INT)) AS BIGINT) AS halos, CAST(sum(pid) AS BIGINT) AS pids, sum(vx) AS vx FROM r GROUP BY part""")
+def domain_sync(spark, sf_dir):
+    """The whole chain; vx travels along as any column does."""
+    out = E.sync(particles(spark, sf_dir), _PARTS, _BUCKET, 0.0625).particles
+    return out.groupBy("part").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.col("is_halo").cast("long")).alias("halos"), F.sum("pid").alias("pids"), F.sum("vx").alias("vx"))
+
+
+@query(f"""WITH {_PLACED}, up AS (SELECT DISTINCT CAST(u AS INT) AS level, {_UP_KEY.format('u', 'key')} AS key FROM leaves l, (SELECT unnest(range(0, 12)) AS u) WHERE u <= l.level){_BOXES.replace('gx', 'gn').replace('key, count,', 'key,').replace('FROM leaves', 'FROM up')},
+ f AS MATERIALIZED (SELECT DISTINCT t.part, t.key AS leaf, n.level, n.key FROM gn n, o t WHERE {_mac('n', 't', '2*n.s*2.5e0')}),
+ chain AS (SELECT a.part, a.leaf, a.level, a.key FROM f a JOIN (SELECT unnest(range(0, 12)) AS u) ON u <= a.level JOIN f b ON b.part = a.part AND b.leaf = a.leaf AND b.level = u AND b.key = {_UP_KEY.format('u', 'a.key')} GROUP BY ALL HAVING count(*) = a.level + 1)
+ SELECT part, level, count(DISTINCT key) AS nodes FROM chain GROUP BY ALL""")
+def domain_sync_grav(spark, sf_dir):
+    """Which nodes each part has to open, by level; the centres are node_mass_centers."""
+    out = E.sync_grav(particles(spark, sf_dir).withColumn("m", F.col("h") * 1024), _PARTS, _BUCKET, 0.0625, 0.5)
+    return out.marked.groupBy("part", "level").agg(F.count(F.lit(1)).alias("nodes"))
+
+
+@query(f"""WITH {_DEEP_UP}{_BOXES.replace('gx', 'gn').replace('FROM leaves', 'FROM nd')}{_BOXES},
+ f AS MATERIALIZED (SELECT DISTINCT t.level AS tl, t.key AS tk, n.level, n.key FROM gn n, gx t WHERE t.key < {2**58} AND {_mac('n', 't', '2*n.s*1.5e0')}),
+ chain AS (SELECT DISTINCT level, key FROM (SELECT a.tl, a.tk, a.level, a.key FROM f a JOIN (SELECT unnest(range(0, 12)) AS u) ON u <= a.level JOIN f b ON b.tl = a.tl AND b.tk = a.tk AND b.level = u AND b.key = {_UP_KEY.format('u', 'a.key')} GROUP BY ALL HAVING count(*) = a.level + 1)),
+ dv AS MATERIALIZED (SELECT level, key FROM nd WHERE NOT is_leaf AND (key < {2**58} OR (level, key) IN (SELECT (level, key) FROM chain))),
+ kd AS (SELECT 0 AS level, CAST(0 AS BIGINT) AS key UNION ALL SELECT level + 1, key + d*(CAST(1 AS BIGINT) << CAST(60 - 3*level AS INT)) FROM dv, (SELECT unnest(range(8)) AS d))
+ SELECT k.level, k.key, nd.count FROM (SELECT * FROM kd ANTI JOIN dv USING (level, key)) k JOIN nd USING (level, key)""")
+def focus_tree(spark, sf_dir):
+    return E.focus_tree(_deep_leaves(spark, sf_dir), 0, 2**58, 1.0)
+
+
+@query(f"""WITH {_CLUSTERED} SELECT CAST(count(*) * count(*) AS BIGINT) AS pairs FROM k""")
+def dual_traversal_pairs(spark, sf_dir):
+    """Pairs of particles that the far and near pairs of nodes stand for: all of them, each once."""
+    leaves = held(O.build_octree(_clustered(spark, sf_dir), 4096))
+    counts = held(O.upsweep(leaves, lambda: [F.sum("count").alias("n")]))
+    met = D.dual_traversal(leaves, 1.0)
+    met = met.join(counts.withColumnRenamed("n", "n1"), ["level", "key"]).join(counts.select(F.col("level").alias("a_level"), F.col("key").alias("a_key"), F.col("n").alias("n2")), ["a_level", "a_key"])
+    return met.agg(F.sum(F.col("n1") * F.col("n2")).alias("pairs"))
+
+
+@query(f"WITH {_pairs(True)}, kk AS (SELECT pid, CAST(list_sum(list_transform(range(21), lambda b: ((({_lat('x')} >> b) & 1)*4 + (({_lat('y')} >> b) & 1)*2 + (({_lat('z')} >> b) & 1)) << (3*b))) AS BIGINT) AS key FROM p), r AS (SELECT i, j, row_number() OVER (PARTITION BY i ORDER BY key, j) AS rank, count(*) OVER (PARTITION BY i) AS n FROM pr JOIN kk ON kk.pid = pr.j) SELECT i, n, CAST(rank AS INT) AS rank, j FROM r WHERE rank <= 5")
+def neighbor_cap(spark, sf_dir):
+    rows = N.capped_neighbors(_keyed(spark, sf_dir), 5)
+    return rows.select("i", "n", F.posexplode("listed").alias("rank", "j")).withColumn("rank", F.col("rank") + 1)
+
+
+@query(f"WITH {_ASSIGNED}, old AS (SELECT CAST(range AS INT) AS part, range * {8**21 // 6 // 8**16 * 8**16} // {8**16} * {8**16} AS o FROM range(6)), w AS (SELECT part, o, lag(o) OVER (ORDER BY part) AS lo, lead(o) OVER (ORDER BY part) AS hi FROM old) SELECT part, CASE WHEN part = 0 THEN key_lo ELSE least(greatest(key_lo, coalesce(lo, 0)), coalesce(hi, {8**21 - 1})) END AS key_lo FROM asg JOIN w USING (part)")
+def limit_shift(spark, sf_dir):
+    step = 8**21 // 6 // 8**16 * 8**16
+    old = spark.createDataFrame([(p, p * step) for p in range(6)], "part int, key_lo bigint")
+    return D.limit_shift(old, _assignment(spark, sf_dir))
+
+
+@query(f"WITH st AS (SELECT CAST(range AS INT) AS part, range * {8**21 // 5} // {8**16} * {8**16} AS key_lo FROM range(5)), {_DEEP} SELECT st.part, st.key_lo, CAST(coalesce(sum(l.count), 0) AS BIGINT) AS count FROM st LEFT JOIN (SELECT *, (SELECT max(key_lo) FROM st WHERE key_lo <= leaves.key) AS lo FROM leaves) l ON l.lo = st.key_lo GROUP BY ALL")
+def initial_splits(spark, sf_dir):
+    return D.counts_of_parts(_deep_leaves(spark, sf_dir), D.initial_splits(spark, 5, 5))
+
+
+@query(f"WITH st AS (SELECT CAST(range AS INT) AS part, range * {8**21 // 5} // {8**16} * {8**16} AS key_lo FROM range(5)), sh AS (SELECT *, lead(key_lo) OVER (ORDER BY part) AS key_hi FROM st), {_DEEP}, ix AS (SELECT *, row_number() OVER (ORDER BY key) - 1 AS idx FROM leaves) SELECT sh.part, coalesce(min(idx), 0) AS first, coalesce(max(idx) + 1, 0) AS last FROM sh LEFT JOIN ix ON ix.key >= key_lo AND (key_hi IS NULL OR ix.key + ((CAST(1 AS BIGINT) << CAST(63 - 3*level AS INT)) - 1) < key_hi) GROUP BY sh.part")
+def translate_assignment(spark, sf_dir):
+    return D.translate_assignment(D.initial_splits(spark, 5, 5), _deep_leaves(spark, sf_dir))
+
+
+# Sequences and helpers -----------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {PARTICLE_SQL}, s AS (SELECT pid, pid % 100 AS v, sum(CAST(pid % 37 = 0 AS INT)) OVER (ORDER BY pid) AS g FROM p) SELECT pid, CAST(sum(v) OVER (PARTITION BY g ORDER BY pid) AS BIGINT) AS scan FROM s")
+def segmented_scan_values(spark, sf_dir):
+    rows = particles(spark, sf_dir).select("pid", (F.col("pid") % 100).alias("v"), (F.col("pid") % 37 == 0).alias("head"))
+    return segmented_scan(rows, "v", "head", "pid").select("pid", "scan")
+
+
+@query(f"WITH {PARTICLE_SQL} SELECT pid, max(pid * 7919 % 100003) OVER (ORDER BY pid) AS most FROM p")
+def running_max_values(spark, sf_dir):
+    return running_max(particles(spark, sf_dir).select("pid", (F.col("pid") * 7919 % 100003).alias("v")), "v", "pid").select("pid", "most")
+
+
+@query(f"WITH {_CLUSTERED}, r AS (SELECT row_number() OVER (ORDER BY key, pid) - 1 AS idx, pid FROM k), n AS (SELECT count(*) AS n FROM r) SELECT r.idx, s.pid AS gathered, t.pid AS scattered FROM n, r JOIN r s ON s.idx = (SELECT n FROM n) - 1 - r.idx JOIN r t ON t.idx = (SELECT n FROM n) - 1 - r.idx")
+def gather_scatter(spark, sf_dir):
+    rows = held(with_rank(_clustered(spark, sf_dir).select("pid", "key")).select(F.col("rank").alias("idx"), F.col("pid").alias("value")))
+    n = rows.count()
+    back = rows.select("idx", (n - 1 - F.col("idx")).alias("other"))
+    got = gather(rows, back.withColumnRenamed("other", "source")).withColumnRenamed("value", "gathered")
+    return got.join(scatter(rows, back.withColumnRenamed("other", "target")).withColumnRenamed("value", "scattered"), "idx")
+
+
+@query(f"WITH {_CLUSTERED} SELECT key >> 48 AS segment, max(h) AS most, min(h) AS least, count(*) AS n FROM k GROUP BY 1")
+def segment_extremes(spark, sf_dir):
+    return _clustered(spark, sf_dir).groupBy(F.call_function("shiftright", "key", F.lit(48)).alias("segment")).agg(F.max("h").alias("most"), F.min("h").alias("least"), F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH {_CLUSTERED} SELECT pid, -1 - key AS masked, key AS unmasked, CAST(list_sum(list_transform(range(1, 8), lambda p: CASE WHEN ((key >> CAST(63 - 3*p AS INT)) & 7) < 4 THEN -((key >> CAST(63 - 3*p AS INT)) & 7) ELSE 7 - ((key >> CAST(63 - 3*p AS INT)) & 7) END)) AS INT) AS weight,
+ CAST(CASE WHEN (key >> 33) = 0 THEN 0 ELSE 11 - length(regexp_extract(format('{{:o}}', key >> 33), '0*$')) + 0 END AS INT) - CASE WHEN (key >> 33) = 0 THEN 0 ELSE 1 END AS level, ((key >> 42) << 42) <> ((key >> 45) << 45) AS moved, (key >> 57) = ({_CONSTANT} >> 57) AS ancestor, CAST(1 AS BIGINT) << 48 AS worth, CAST(least(ceil((x + 0.5e0)*2097152), 2097151) AS BIGINT) AS up, (pid % 8) << 60 AS padded FROM k""")
+def key_helpers(spark, sf_dir):
+    key, rows = F.col("key"), _clustered(spark, sf_dir)
+    top = K.enclosing_box(key, F.lit(10))
+    return rows.select("pid", K.mask_key(key).alias("masked"), K.unmask_key(K.mask_key(key)).alias("unmasked"), K.binary_key_weight(key, F.lit(6)).alias("weight"), K.make_prefix(top)["level"].alias("level"),
+                       (K.enclosing_box(key, F.lit(7)) != K.enclosing_box(key, F.lit(6))).alias("moved"), K.is_ancestor(F.lit(3), K.enclosing_box(key, F.lit(3)), F.lit(9), K.enclosing_box(F.lit(_CONSTANT), F.lit(9))).alias("ancestor"),
+                       K.octal_power(F.lit(5)).alias("worth"), K.to_n_bits(F.col("x") + 0.5, up=True).alias("up"), K.pad(F.col("pid") % 8, 3).alias("padded"))
+
+
+def _corner(sign: str) -> str:
+    """SQL: the Morton key of a corner of the box around a particle."""
+    at = {c: f"least(greatest(CAST(floor(({c} {sign} h)*2097152.0e0) AS BIGINT) + 1048576, 0), 2097151)" for c in "xyz"}
+    return f"CAST(list_sum(list_transform(range(21), lambda b: ((({at['x']} >> b) & 1)*4 + (({at['y']} >> b) & 1)*2 + (({at['z']} >> b) & 1)) << (3*b))) AS BIGINT)"
+
+
+@query(f"WITH {PARTICLE_SQL}, c AS (SELECT pid, {_corner('-')} AS a, {_corner('+')} AS b FROM p), l AS (SELECT *, CASE WHEN a = b THEN 21 ELSE (63 - length(to_base(xor(a, b), 2))) // 3 END AS level FROM c) SELECT pid, CAST(level AS INT) AS level, CASE WHEN level = 0 THEN 0 ELSE (a >> CAST(63 - 3*greatest(level, 1) AS INT)) << CAST(63 - 3*greatest(level, 1) AS INT) END AS key FROM l")
+def common_node_prefix(spark, sf_dir):
+    at, h = tuple(F.col(c) for c in "xyz"), (F.col("h"),) * 3
+    return particles(spark, sf_dir).select("pid", K.common_node_prefix(at, h).alias("b")).select("pid", "b.*")
+
+
+@query(f"""WITH {_KEYED}, b AS (SELECT pid, h, {', '.join(f'(i{c} >> 16) << 16 AS {c}0' for c in 'xyz')}, CAST(least(ceil(2*h*2097152), 2097151) AS BIGINT) AS d FROM k)
+ SELECT pid, {', '.join(f'{c}0 - d AS {c}lo, {c}0 + 65536 + d AS {c}hi, greatest({c}0 - d, 0) AS {c}from, least({c}0 + 65536 + d, 2097152) AS {c}to' for c in 'xyz')} FROM b""")
+def halo_boxes(spark, sf_dir):
+    rows = _keyed(spark, sf_dir).select("pid", "h", K.node_box(F.lit(5), F.col("key")).alias("b"))
+    box = {f"{c}lo": F.col(f"b.{c}0") for c in "xyz"} | {f"{c}hi": F.col(f"b.{c}0") + F.col("b.edge") for c in "xyz"}
+    wide, kept = G.halo_box(box, 2 * F.col("h")), G.halo_box(box, 2 * F.col("h"), periodic=False)
+    return rows.select("pid", *(wide[k].alias(k) for k in wide), *(kept[f"{c}lo"].alias(f"{c}from") for c in "xyz"), *(kept[f"{c}hi"].alias(f"{c}to") for c in "xyz"))
+
+
+@query(f"""WITH {PARTICLE_SQL}, v AS (SELECT pid, pid % 64 AS a, pid % 64 + 1 + pid % 7 AS b, (pid // 64) % 64 AS c, (pid // 64) % 64 + 1 + pid % 5 AS d, x, y, z, vx, vy, vz FROM p)
+ SELECT pid, b > c AND d > a AS plain, (b > c AND d > a) OR (b + 64 > c AND d > a + 64) OR (b > c + 64 AND d + 64 > a) AS around, a >= c AND b <= d AS within, CASE WHEN b > c AND d > a THEN 0 ELSE least(abs(d - a), abs(c - b)) END AS gap, (a + 6) // 7 AS up7, (a + 6) // 7 * 7 AS round7,
+ CAST(CASE WHEN pid % 10 < 4 THEN pid % 10 % 4 ELSE (pid % 10 - 4) % 3 END AS INT) AS place, x + 0.5e0 AS unit, vx*x + vy*y + vz*z AS dot, vx*vx + vy*vy + vz*vz AS norm FROM v""")
+def interval_helpers(spark, sf_dir):
+    rows = particles(spark, sf_dir).select("*", (F.col("pid") % 64).alias("a"), (F.col("pid") % 64 + 1 + F.col("pid") % 7).alias("b"), (F.floor(F.col("pid") / 64) % 64).alias("c")).withColumn("d", F.col("c") + 1 + F.col("pid") % 5)
+    a, b, c, d = (F.col(n) for n in "abcd")
+    speed, place = F.array("vx", "vy", "vz"), F.array("x", "y", "z")
+    return rows.select("pid", G.ranges_overlap(a, b, c, d).alias("plain"), G.ranges_overlap(a, b, c, d, 64).alias("around"), G.contained(a, b, c, d).alias("within"), G.range_separation(a, b, c, d).alias("gap"), G.ceil_div(a, 7).alias("up7"), G.round_up(a, 7).alias("round7"),
+                       G.block_index(F.col("pid") % 10, 10, 3).alias("place"), G.normalize(F.col("x"), -0.5, 0.5).alias("unit"), G.dot(speed, place).alias("dot"), G.norm2(speed).alias("norm"))
+
+
+@query("SELECT CAST(2 AS INT) AS level, range * 144115188075855872 AS key FROM range(64)")
+def uniform_tree(spark, sf_dir):
+    return O.uniform_tree(spark, 2)
+
+
+# Files ---------------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT step, name, type, CAST(size AS INT) AS size FROM (VALUES (3, 'box', 'double', 6), (3, 'iteration', 'int64', 1), (10, 'iteration', 'int64', 1), (NULL, 'made', 'int', 2)) t(step, name, type, size)")
+def attribute_listing(spark, sf_dir):
+    path, df = _steps_path(spark), particles(spark, sf_dir)
+    snapshots.write_step(df, path, 3, {"box": ("double", [-0.5, 0.5] * 3), "iteration": ("int64", [3])})
+    for _ in range(2):  # a step that is written again takes its own place
+        snapshots.write_step(df, path, 10, {"iteration": ("int64", [10])})
+    snapshots.write_file_attributes(spark, path, {"made": ("int", [1, 2])})
+    return snapshots.attribute_list(spark, path)
+
+
+@query(f"WITH {PARTICLE_SQL}, r AS (SELECT pid, row_number() OVER (ORDER BY pid) - 1 AS i FROM p) SELECT 'range' AS kind, pid FROM r WHERE i BETWEEN 100 AND 299 UNION ALL SELECT 'list', pid FROM r WHERE i IN (0, 5, 77)")
+def snapshot_views(spark, sf_dir):
+    path = _steps_path(spark)
+    snapshots.write_step(particles(spark, sf_dir), path, 1)
+    df = snapshots.read_step(spark, path, 1, ("pid", "x"))
+    listed = snapshots.view(df, "pid", rows=spark.createDataFrame([(0,), (5,), (77,), (5,)], "row bigint"))
+    return snapshots.view(df, "pid", 100, 299).select(F.lit("range").alias("kind"), "pid").unionByName(listed.select(F.lit("list").alias("kind"), "pid"))
+
+
+@query(f"WITH {PARTICLE_SQL} SELECT f AS format, CAST(pid AS DOUBLE) AS pid, x, vz FROM p, (SELECT unnest(['ascii', 'parquet', 'csv', 'json']) AS f)")
+def table_formats(spark, sf_dir):
+    df, out = particles(spark, sf_dir), None
+    for kind in ("ascii", "parquet", "csv", "json"):
+        path = _steps_path(spark)
+        snapshots.write_table(df.withColumn("pid", F.col("pid").cast("double")), path, kind, ("pid", "x", "vz"), "pid")
+        own = snapshots.read_table(spark, path, kind, ("pid", "x", "vz")).withColumn("format", F.lit(kind))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+@query(f"WITH {PARTICLE_SQL} SELECT count(*) AS n, CAST(9 AS BIGINT) AS fields FROM p")
+def particle_counts(spark, sf_dir):
+    path = _steps_path(spark)
+    snapshots.write_step(particles(spark, sf_dir), path, 1)
+    counts = snapshots.particle_counts(snapshots.read_step(spark, path))
+    return counts.agg(F.sum("n").alias("n")).withColumn("fields", F.lit(len(snapshots.dataset_names(spark, path)) + 1).cast("long"))
+
+
+@query(f"WITH {_average(_SMALL)}{_dense(_SMALL)} SELECT cell, -0.5e0 + (cell % 8 + 0.5e0)*0.125e0 AS x, -0.5e0 + (cell // 8 % 8 + 0.5e0)*0.125e0 AS y, -0.5e0 + (cell // 64 + 0.5e0)*0.125e0 AS z, floor(vx*1e6 + {_SHIFT})/1e6 AS vx FROM e")
+def mesh_dump(spark, sf_dir):
+    """The text of a mesh, read back."""
+    lines = snapshots.mesh_lines(_mesh(spark, sf_dir, _SMALL), _SMALL)
+    parts = F.split("value", " ")
+    rows = lines.select("cell", *(parts[k].cast("double").alias(c) for k, c in enumerate(("x", "y", "z", "vx"))))
+    return rows.withColumn("vx", F.floor(F.col("vx") * 1e6 + _SHIFT) / 1e6)

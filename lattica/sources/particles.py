@@ -30,6 +30,14 @@ PARTICLE_SQL = """p AS (SELECT DISTINCT pid, ((pid*1103515245+12345) % 2097152)/
  ((pid*16807) % 4096 - 2048)/1024.0e0 AS vz, (8 + pid % 57)/1024.0e0 AS h FROM (SELECT l_orderkey*8 + l_linenumber AS pid FROM lineitem))"""
 
 
+def clustered(df: DataFrame) -> DataFrame:
+    """The particles drawn towards the middle, x to 2 x |x|, which is exact too: trees over them have many depths."""
+    return df.withColumns({c: 2 * F.col(c) * F.abs(c) for c in "xyz"})
+
+
+CLUSTERED_SQL = PARTICLE_SQL.replace("p AS", "p0 AS", 1) + ", p AS (SELECT pid, 2*x*abs(x) AS x, 2*y*abs(y) AS y, 2*z*abs(z) AS z, vx, vy, vz, h FROM p0)"
+
+
 def _with_pid(spark: SparkSession, n: int) -> DataFrame:
     return spark.range(n).withColumnRenamed("id", "pid")
 
@@ -56,7 +64,10 @@ def plummer_sphere(spark: SparkSession, n: int, seed: int = 42, most: float = 10
 
 
 def random_keys(spark: SparkSession, n: int, gaussian: bool = False, bits: int = 21, seed: int = 42) -> DataFrame:
-    """Keys, uniform or normal around the middle; normal ones outside the range are folded back into it."""
+    """Keys, uniform or normal around the middle; a normal one outside the range is drawn again, up to eight times (then the middle)."""
     top = float(8**bits)
-    value: Column = F.abs(F.randn(seed) * (top / 5) + top / 2) if gaussian else F.rand(seed) * top
-    return spark.range(n).select(F.least(value, F.lit(2 * top) - value if gaussian else value, F.lit(top - 1024)).cast("long").alias("key"))
+    if not gaussian:
+        return spark.range(n).select(F.least(F.rand(seed) * top, F.lit(top - 1024)).cast("long").alias("key"))
+    drawn = F.array(*(F.randn(seed + k) * (top / 5) + top / 2 for k in range(8)))
+    fits: Column = F.filter(drawn, lambda v: (v >= 0) & (v < top - 1024))
+    return spark.range(n).select(F.coalesce(F.get(fits, 0), F.lit(top / 2)).cast("long").alias("key"))

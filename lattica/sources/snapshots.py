@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,11 +14,17 @@ _WIDER = {"char": {"char", "int", "int64", "double"}, "int": {"int", "int64", "d
 
 
 def write_step(df: DataFrame, path: str, step: int, attributes: dict[str, tuple[str, list[float]]] | None = None) -> None:
-    """Appends a step of particles, and its attributes (name: (type, values))."""
-    df.withColumn("step", F.lit(step)).write.mode("append").partitionBy("step").parquet(f"{path}/particles")
+    """Writes a step of particles, in place of one of that number, and its attributes (name: (type, values))."""
+    df.write.mode("overwrite").parquet(f"{path}/particles/step={step}")
     rows = [(step, name, kind, [float(v) for v in values]) for name, (kind, values) in (attributes or {}).items()]
     if rows:
-        df.sparkSession.createDataFrame(rows, ATTRIBUTES).coalesce(1).write.mode("append").parquet(f"{path}/attributes")
+        df.sparkSession.createDataFrame(rows, ATTRIBUTES).drop("step").coalesce(1).write.mode("overwrite").parquet(f"{path}/attributes/step={step}")
+
+
+def write_file_attributes(spark: SparkSession, path: str, attributes: dict[str, tuple[str, list[float]]]) -> None:
+    """Attributes of the whole file, in place of earlier ones; their step is null."""
+    rows = [(name, kind, [float(v) for v in values]) for name, (kind, values) in attributes.items()]
+    spark.createDataFrame(rows, T.StructType(ATTRIBUTES.fields[1:])).coalesce(1).write.mode("overwrite").parquet(f"{path}/attributes/step=__HIVE_DEFAULT_PARTITION__")
 
 
 def steps(spark: SparkSession, path: str) -> DataFrame:
@@ -116,23 +120,66 @@ def is_output_step(step: Column, every: str) -> Column:
     return (step % int(every) == 0) & (step > 0) if every.isdigit() and int(every) else F.lit(False)
 
 
-def hdf5_reader(*_):
-    """HDF5 needs h5py, which is optional."""
-    try:
-        import h5py
-    except ImportError as e:
-        raise NotImplementedError("reading HDF5 needs the h5py package; convert the steps to Parquet") from e
-    return h5py.File
+def read_all(spark: SparkSession, path: str, step: int = -1, most_rows: int = 1 << 20) -> DataFrame:
+    """A step that every task sees as a whole: marked for broadcast, which its counted size must allow."""
+    df = read_step(spark, path, step)
+    if (n := df.count()) > most_rows:
+        raise ValueError(f"{n} particles are too many for every task")
+    return F.broadcast(df)
+
+
+def particle_counts(df: DataFrame) -> DataFrame:
+    """(partition, n): the particles of each partition; their sum is the global count."""
+    return df.groupBy(F.spark_partition_id().alias("partition")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def dataset_names(spark: SparkSession, path: str) -> list[str]:
+    return [c for c in spark.read.parquet(f"{path}/particles").columns if c != "step"]
+
+
+def attribute_list(spark: SparkSession, path: str, step: int | None = None) -> DataFrame:
+    """(step, name, type, size) of the attributes of a step, or of all; those of the file have a null step."""
+    rows = spark.read.schema(ATTRIBUTES).parquet(f"{path}/attributes")
+    return (rows if step is None else rows.where(F.col("step") == step)).select("step", "name", "type", F.size("value").alias("size"))
+
+
+def view(df: DataFrame, order: str, first: int | None = None, last: int | None = None, rows: DataFrame | None = None) -> DataFrame:
+    """The rows first .. last (inclusive) of df in an order, or those that rows (row) lists."""
+    from lattica.operators.ordering import with_rank
+
+    ranked = with_rank(df, order, ())
+    if rows is not None:
+        return ranked.join(rows.select(F.col("row").cast("long").alias("rank")).distinct(), "rank", "left_semi").drop("rank")
+    return ranked.where(F.col("rank").between(first, last)).drop("rank")
+
+
+def write_table(df: DataFrame, path: str, kind: str, columns: tuple[str, ...], order: str) -> None:
+    """Rows in order as 'parquet', 'csv', 'json' or 'ascii' (columns between spaces)."""
+    if kind == "ascii":
+        write_text(df, path, columns, order)
+    elif kind in ("parquet", "csv", "json"):
+        df.select(*columns).repartitionByRange(order).sortWithinPartitions(order).write.format(kind).save(path)
+    else:
+        _no_hdf5(kind)
+
 
+def read_table(spark: SparkSession, path: str, kind: str, columns: tuple[str, ...]) -> DataFrame:
+    """Double columns of what write_table() wrote."""
+    if kind == "ascii":
+        return read_text(spark.read.text(path), columns)
+    if kind not in ("parquet", "csv", "json"):
+        _no_hdf5(kind)
+    return spark.read.format(kind).schema(", ".join(f"{c} double" for c in columns)).load(path)
 
-def default_bucket(n: int, ranks: int) -> int:
-    return max(64, n // (100 * ranks))
 
+def _no_hdf5(kind: str):
+    raise NotImplementedError(f"{kind}: HDF5 needs a package that this library doesn't have; convert the steps to Parquet" if kind == "hdf5" else f"no format {kind!r}")
 
-def cube_root(n: int) -> int:
-    g = round(n ** (1 / 3))
-    return g if g**3 <= n else g - 1
 
+def mesh_lines(mesh: DataFrame, grid: int, columns: tuple[str, ...] = ("vx", "vy", "vz"), low: float = -0.5, high: float = 0.5) -> DataFrame:
+    """(cell, value): lines 'x y z' and the columns for each cell of a mesh, x to z of its centre."""
+    from lattica.functions.geometry import cell_centre
+    from lattica.operators.mesh import split_cell
 
-def wave_length(k: float, box: float = 1.0) -> float:
-    return box / k if k else math.inf
+    centre = [cell_centre(c, grid, low, high).cast("string") for c in split_cell(F.col("cell"), grid)]
+    return mesh.select("cell", F.concat_ws(" ", *centre, *(F.col(c).cast("string") for c in columns)).alias("value"))
