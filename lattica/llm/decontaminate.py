@@ -4,8 +4,7 @@ Texts and items are normalised (A-Z lower-cased, runs of ASCII white space to on
 item of n bytes is found in a document if some passage is within floor(MAX_EDITS * n) byte edits of it.
 
 Windows begin at every word of every document, at every character of runs of more than LONG_RUN bytes without a space
-(Chinese, Japanese, Thai, packed text), and at every character of words from which a window that is a word longer
-passes the count below; they are as long as an item. Windows that hold too few of the items'
+(Chinese, Japanese, Thai, packed text), and within words where pieces of items (see below) begin after others; they are as long as an item. Windows that hold too few of the items'
 8-byte pieces to be so near to any item of a length class are out (a count that no window within the distance fails).
 The others go through the CGK embedding: a random walk that at each step puts out the byte under its pointer and moves
 on or stays by a random function of step and byte, so that edits become few Hamming differences. REPEATS walks with
@@ -180,26 +179,22 @@ class Index:
         if len(data) < PIECE:
             return
         holders = self.holders[_pieces(data)]
-        starts, gaps = _window_starts(data, offsets), np.flatnonzero(data == 32)
+        starts = _window_starts(data, offsets)
         padded = np.concatenate([data, np.zeros(1, np.uint8)])
         for number, c in enumerate(self.classes):
             hit = (holders & holders.dtype.type(1 << number % 64)) != 0
             total = np.concatenate([np.zeros(1, np.int32), np.cumsum(hit, dtype=np.int32)])
 
-            def held(begin: np.ndarray, more: int = 0) -> tuple[np.ndarray, np.ndarray]:
+            def held(begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
                 """Pieces that windows from these places hold, and where their texts end."""
                 ends = offsets[np.searchsorted(offsets, begin, "right")]
-                stop = np.minimum(begin + (c["span"] + more), ends)
+                stop = np.minimum(begin + c["span"], ends)
                 return total[np.minimum(np.maximum(stop - PIECE + 1, begin), len(hit))] - total[np.minimum(begin, len(hit))], ends
 
-            # an item may begin within a short word: a window that is a word longer holds its pieces
-            near = starts[held(starts, LONG_RUN)[0] >= c["need"]]
-            if not len(near):
-                continue
-            word = np.append(gaps, len(data))[np.searchsorted(gaps, near)] - near
-            word = np.where(word <= LONG_RUN, word, 1)
-            lanes = np.repeat(near, word) + np.arange(word.sum()) - np.repeat(np.cumsum(word) - word, word)
-            lanes = lanes[(lanes < len(data)) & ((data[np.minimum(lanes, len(data) - 1)] & 0xC0) != 0x80)]
+            # an item may begin within a short word: there its pieces begin
+            inside = np.flatnonzero(hit[1:] & ~hit[:-1]) + 1
+            inside = inside[(data[inside] != 32) & ((data[inside] & 0xC0) != 0x80)]
+            lanes = np.concatenate([starts, inside])
             pieces, lane_ends = held(lanes)
             lanes, lane_ends = lanes[pieces >= c["need"]], lane_ends[pieces >= c["need"]]
             for k in range(0, len(lanes), _LANES):

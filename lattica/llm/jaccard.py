@@ -406,22 +406,27 @@ def link_classes(docs: DataFrame, keys: DataFrame, order, size: int = SIZE, nume
     return out
 
 
-def _labelled(docs: DataFrame, size: int, numerator: int, denominator: int, digest: bool = False) -> DataFrame:
-    """doc_id, n_shingles, key and label (the component's, null without shingles) of each row of docs; text_md5 if asked for."""
+def _labelled(docs: DataFrame, size: int, numerator: int, denominator: int, digest: bool = False) -> tuple[DataFrame, DataFrame]:
+    """doc_id, n_shingles and key (text_md5 if asked for) of each row of docs; and (node, label) of the classes that have links."""
     order = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, size))
     keys = written(document_keys(docs, order, size, numerator, denominator, digest), "keys")
-    label = link_classes(docs, keys, order, size, numerator, denominator)
-    rows = keys.select("doc_id", F.col("n").alias("n_shingles"), "key", *(["text_md5"] if digest else []))
-    named = rows.where("key IS NOT NULL").join(label.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
-    return named.unionByName(rows.where("key IS NULL").withColumn("label", F.lit(None).cast("binary")))
+    return keys.withColumnRenamed("n", "n_shingles"), link_classes(docs, keys, order, size, numerator, denominator)
+
+
+def _with_label(classes: DataFrame, label: DataFrame) -> DataFrame:
+    """Rows of different classes (key, ...) with the label of their components."""
+    return classes.join(label.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
 
 
 def near_duplicate_groups(docs: DataFrame, size: int = SIZE, numerator: int = NUMERATOR, denominator: int = DENOMINATOR) -> DataFrame:
     """doc_id, n_shingles, key, component_id for each row of docs (doc_id, text)."""
-    rows = _labelled(docs, size, numerator, denominator)
-    first = rows.where("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("first"))
-    named = rows.where("label IS NOT NULL").join(first, "label").select("doc_id", "n_shingles", "key", F.col("first").alias("component_id"))
-    return named.unionByName(rows.where("label IS NULL").select("doc_id", "n_shingles", "key", F.col("doc_id").alias("component_id")))
+    rows, label = _labelled(docs, size, numerator, denominator)
+    classes = rows.where("key IS NOT NULL").groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("least"))
+    classes = written(_with_label(classes, label), "named")
+    firsts = written(classes.groupBy("label").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("members")), "firsts")
+    named = written(_attached(classes, firsts, "label", "members").select("key", "n", "component_id"), "named")
+    found = _attached(rows.where("key IS NOT NULL"), named, "key", "n").select("doc_id", "n_shingles", "key", "component_id")
+    return found.unionByName(rows.where("key IS NULL").select("doc_id", "n_shingles", "key", F.col("doc_id").alias("component_id")))
 
 
 def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -436,8 +441,9 @@ def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     before none, then the smaller digest of the text. Of rows equal in both one stays. Rows without a word are in no
     group and all stay.
     """
-    rows = _labelled(docs.select("doc_id", "text"), STAGE_SIZE, STAGE_NUMERATOR, STAGE_DENOMINATOR, digest=True).where("label IS NOT NULL")
-    first = rows.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_md5")).alias("r"))
+    rows, label = _labelled(docs.select("doc_id", "text"), STAGE_SIZE, STAGE_NUMERATOR, STAGE_DENOMINATOR, digest=True)
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_md5")).alias("r")
+    first = _with_label(rows.where("key IS NOT NULL").groupBy("key").agg(least), label).groupBy("label").agg(F.min("r").alias("r"))
     kept = first.select(F.col("r.doc_id").alias("__kept_id"), F.col("r.text_md5").alias("__kept_md5"))
     has_word = F.coalesce(F.col("text").rlike(WORD), F.lit(False))
     own = docs.where(has_word).withColumn("__text_md5", text_digest(F.col("text")))

@@ -264,9 +264,12 @@ class FrameReader:
         import zstandard
 
         self.zstd, self.frames, self.files, self.most = zstandard.ZstdDecompressor(), OrderedDict(), OrderedDict(), (frames, files)
+        self.last, self.data = None, b""
 
     def get(self, uri: str, frame: int, packed: int, at: int, size: int) -> bytes:
         key = (uri, frame)
+        if key == self.last:
+            return self.data[at : at + size]
         if key not in self.frames:
             if uri not in self.files:
                 store, path = filesystem(uri)
@@ -279,7 +282,8 @@ class FrameReader:
             if len(self.frames) > self.most[0]:
                 self.frames.popitem(last=False)
         self.frames.move_to_end(key)
-        return self.frames[key][at : at + size]
+        self.last, self.data = key, self.frames[key]
+        return self.data[at : at + size]
 
 
 _STAGED = f"doc_id bigint, n_tokens bigint, root binary, names array<binary>, new array<struct<name: binary, {_PLACE.replace(' ', ': ').replace(',:', ',')}>>"
@@ -416,6 +420,7 @@ def read_store(spark: SparkSession, folder: str, width: int = 2, keep_ids: bool
     index = spark.read.schema(f"name binary, {_PLACE}").parquet(f"{folder}/index")
     uses = recipes.select("doc_id", "start", "n_tokens", "root", F.posexplode("names").alias("k", "name"))
     places = uses.join(index, "name", "left").groupBy("start").agg(F.first("doc_id").alias("doc_id"), F.first("n_tokens").alias("n_tokens"), F.first("root").alias("root"), F.sort_array(F.collect_list(F.struct("k", "name", "file", "frame", "packed", "at", "size"))).alias("chunks"))
+    places = places.select("doc_id", "start", "n_tokens", "root", "chunks")
     # documents that begin with one chunk lie together, but needn't be in one task
     where = [F.col("chunks")[0]["file"], F.col("chunks")[0]["frame"], F.col("start")]
     near = places.repartitionByRange(partitions(spark), *where).sortWithinPartitions(*where)
@@ -423,17 +428,21 @@ def read_store(spark: SparkSession, folder: str, width: int = 2, keep_ids: bool
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader, kind = FrameReader(), np.dtype(f"<u{width}")
         for batch in batches:
-            rows, size = [], 0
-            for x in batch.to_pylist():
-                if any(c["file"] is None for c in x["chunks"]):
-                    raise ValueError(f"the store lacks a chunk of document {x['doc_id']} at {x['start']}")
-                data = [reader.get(c["file"], c["frame"], c["packed"], c["at"], c["size"]) for c in x["chunks"]]
-                names = [digest(d) for d in data]
+            rows, lists = [], batch.column(4)
+            doc_ids, starts, counts, roots = (batch.column(k).to_pylist() for k in range(4))
+            flat = lists.flatten()
+            name, file, frame, packed, at, long = (flat.field(c).to_pylist() for c in ("name", "file", "frame", "packed", "at", "size"))
+            if None in file:
+                raise ValueError(f"the store lacks chunk {name[file.index(None)].hex()}")
+            cut = [0, *np.cumsum(lists.value_lengths().to_numpy()).tolist()]
+            for k, start in enumerate(starts):
+                own = slice(cut[k], cut[k + 1])
+                data = list(map(reader.get, file[own], frame[own], packed[own], at[own], long[own]))
+                names = list(map(digest, data))
                 ids = np.frombuffer(b"".join(data), kind).astype("<u4")
-                if names != [c["name"] for c in x["chunks"]] or merkle(names) != x["root"] or len(ids) != x["n_tokens"]:
-                    raise ValueError(f"document {x['doc_id']} at {x['start']} isn't what its recipe says")
-                rows.append((x["doc_id"], x["start"], len(ids), zlib.crc32(ids.tobytes())) + ((ids.tolist(),) if keep_ids else ()))
-                size += len(ids)
+                if names != name[own] or merkle(names) != roots[k] or len(ids) != counts[k]:
+                    raise ValueError(f"document {doc_ids[k]} at {start} isn't what its recipe says")
+                rows.append((doc_ids[k], start, len(ids), zlib.crc32(ids)) + ((ids.tolist(),) if keep_ids else ()))
             if rows:
                 types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
                 names = ["doc_id", "start", "n_tokens", "ids_crc32", "ids"]
