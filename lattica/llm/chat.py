@@ -9,7 +9,9 @@ Turns are collected per conversation with partial aggregation, sorted as structs
 one pass. A conversation is one output value, so its turns meet in one row; nothing else is gathered.
 
 Defined results: null text or role is empty; null conv_id is one conversation; turns with equal numbers are ordered by
-role and text, null turn numbers first; repeated rows are repeated turns; an empty table gives an empty result.
+role and text, null turn numbers first; repeated rows are repeated turns; an empty table gives an empty result. The query
+adds conversation -1; turns of a conversation -1 that the table has already are merged with it. Texts under the loss mask
+are those of the blocks whose role is LOSS_ROLE, without the marks around and between them.
 """
 
 from __future__ import annotations

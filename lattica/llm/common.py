@@ -19,7 +19,10 @@ ARROW_BYTES = 8 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Long texts: what goes to Python at once is bounded by bytes, not only by rows."""
+    """Long texts: what goes to Python at once is bounded by bytes, not only by rows.
+
+    The setting stays with the session, since it counts when a result is computed, not when it is declared.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 

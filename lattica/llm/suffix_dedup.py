@@ -8,6 +8,10 @@ array: the bytes from the anchor on are sorted, neighbours' common prefixes give
 in each interval the bytes before the anchor, sorted the same way, give the sets that also agree to the left and
 disagree one byte further: maximal repeats with all their places. All but the earliest place are repeated.
 
+What is put out are the places to remove, of each maximal repeat all but the earliest, as spans of their documents; the
+groups themselves, and the earliest places, aren't. Runs with equal bytes are found by 64-bit hashes, before any suffix
+array.
+
 Hot anchors: an anchor that would fill a task is found by counting all anchors (at most a few per task are that
 frequent, so their list is bounded); its runs are cut into parts of up to SHARED windows, which are dealt by all the
 bytes that the part's windows share; if that is hot too, by whole windows, of which equal ones need no more than the

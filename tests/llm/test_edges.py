@@ -112,3 +112,23 @@ def test_media(spark):
     assert prints[1].digest == prints[2].digest and prints[3].digest is None and prints[4].frames == 0
     broken = spark.createDataFrame([(1, bytearray(b"RIFFnope")), (2, None)], "vec_id bigint, media binary")
     assert all(r.frames == 0 for r in media.fingerprints(broken).collect())
+
+
+def test_pipeline_stages(docs, spark):
+    import corpus_pipeline
+
+    small = "/root/testdata/sf0.001"
+    docs = docs.unionByName(docs)
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, docs, small)
+        assert out.columns == docs.columns
+        kept[name] = sorted((tuple(r[:3]) for r in out.collect()), key=str)
+    rows = sorted((tuple(r[:3]) for r in docs.collect()), key=str)
+    assert kept["decontamination"] == rows
+    assert kept["toxicity"] in (rows, []) or set(kept["toxicity"]) <= set(rows)
+    words = [r for r in kept["near duplicates"] if (r[1] or "").split()]
+    assert [r for r in kept["near duplicates"] if not (r[1] or "").split()] == [r for r in rows if not (r[1] or "").split()]
+    assert len(words) == len({(r[1] or "").lower() for r in rows if (r[1] or "").split()})
+    last = corpus_pipeline.STAGES[4][1](spark, docs, small).collect()
+    assert len(last) == len(rows) and sorted(r.start for r in last) == [sum(r.n_tokens for r in sorted(last, key=lambda r: r.start)[:k]) for k in range(len(last))]
