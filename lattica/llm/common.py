@@ -105,9 +105,27 @@ def filesystem(uri: str) -> tuple[pa.fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri)
 
 
-def blocks(batches: Iterable[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """The same rows in order, as batches of about `most` bytes of text in `column`; one longer row makes a batch alone."""
-    kept: list[pa.RecordBatch] = []
+#: What this Python worker keeps between tasks.
+_kept: dict[str, object] = {}
+
+
+def kept(name: str, make):
+    """What make() makes, kept for further tasks of this Python worker, one thing at a time."""
+    if name not in _kept:
+        _kept.clear()
+        _kept[name] = make()
+    return _kept[name]
+
+
+def blocks(batches: Iterable[pa.RecordBatch], column: str, most: int = 4 << 20, keep: str = "") -> Iterator[pa.RecordBatch]:
+    """The same rows in order, as batches of about `most` bytes of text in `column`; one longer row makes a batch alone.
+
+    What the worker keeps goes, unless it is named `keep`: other work needs the memory.
+    """
+    if _kept.keys() - {keep}:
+        _kept.clear()
+        freed()
+    held: list[pa.RecordBatch] = []
     size = 0
     for batch in batches:
         if not batch.num_rows:
@@ -117,16 +135,16 @@ def blocks(batches: Iterable[pa.RecordBatch], column: str, most: int = 4 << 20)
         start, base = 0, 0
         while start < batch.num_rows:
             stop = max(start + 1, int(np.searchsorted(ends, base + most - size, "right")))
-            if stop > start + 1 or not kept or size + ends[stop - 1] - base <= most:
-                kept.append(batch.slice(start, stop - start))
+            if stop > start + 1 or not held or size + ends[stop - 1] - base <= most:
+                held.append(batch.slice(start, stop - start))
                 size += int(ends[stop - 1] - base)
                 start, base = stop, int(ends[stop - 1])
             if size >= most or start < batch.num_rows:
-                yield joined(kept)
-                kept, size = [], 0
-    if kept:
-        yield joined(kept)
-    kept = []
+                yield joined(held)
+                held, size = [], 0
+    if held:
+        yield joined(held)
+    held = []
     freed()
 
 

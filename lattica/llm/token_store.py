@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lattica.llm.common import blocks, filesystem, partitions, read, shared_dir
+from lattica.llm.common import blocks, filesystem, freed, kept, partitions, read, shared_dir
 
 END_ID = 2
 TOKENIZER = "byte_bpe_50k.json"
@@ -48,7 +48,6 @@ _PIECES, _REMEMBERED = 1_200_000, 24
 #: White space other than single spaces and line ends, and the mark that pieces() cuts at.
 _ODD_SPACE = ("  ", "\n\n", " \n", "\n ", *map(chr, (0, 9, 11, 12, 13, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 _PLACE = "file string, frame bigint, packed int, at int, size int"
-_encoders: dict[str, Encoder] = {}
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -177,10 +176,7 @@ class Encoder:
 
 def encoder(path: str) -> Encoder:
     """The encoder that this Python worker keeps."""
-    if path not in _encoders:
-        _encoders.clear()
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    return kept(path, lambda: Encoder(path))
 
 
 def rolling(ids: np.ndarray) -> np.ndarray:
@@ -308,7 +304,7 @@ def _encode_to(folder: str, path: str):
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.binary()), pa.array(columns[3], pa.list_(pa.binary())), pa.array(columns[4], pa.list_(_place_type()))], ["doc_id", "n_tokens", "root", "names", "new"])
 
-        for batch in blocks(batches, "text", 2 << 20):
+        for batch in blocks(batches, "text", 2 << 20, path):
             writer = writer or FrameWriter(f"{folder}/spool", "spool", 1)
             ids, offsets = words.encode(batch.column(batch.schema.get_field_index("text")).to_pylist())
             doc_ids = batch.column(batch.schema.get_field_index("doc_id")).to_pylist()
@@ -447,6 +443,7 @@ def read_store(spark: SparkSession, folder: str, width: int = 2, keep_ids: bool
                 types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
                 names = ["doc_id", "start", "n_tokens", "ids_crc32", "ids"]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=False)], names[: len(rows[0])])
+        freed()
 
     return near.mapInArrow(load, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint" + ", ids array<bigint>" * keep_ids)
 
