@@ -78,6 +78,26 @@ def delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+#: Keys with more rows than both of these are hot: at most one in HOT_KEYS of all rows, and HOT_ROWS.
+HOT_ROWS, HOT_KEYS = 4096, 2048
+
+
+def attached(rows: DataFrame, table: DataFrame, on: str, count: str) -> DataFrame:
+    """rows with the columns of table, which has one row for each key and in `count` how many rows have it.
+
+    Rows of hot keys, of which there are HOT_KEYS at most, are joined where they are; the others are shuffled by key.
+    """
+    keys, most, total = table.agg(F.count(F.lit(1)), F.max(count), F.sum(count)).first()
+    if keys <= HOT_KEYS:
+        return rows.join(F.broadcast(table), on)
+    least = max(HOT_ROWS, (total or 0) // HOT_KEYS)
+    if (most or 0) <= least:
+        return rows.join(table, on)
+    hot = F.broadcast(table.where(F.col(count) > least))
+    rest = rows.join(hot.select(on), on, "left_anti").join(table.where(F.col(count) <= least), on)
+    return rows.join(hot, on).unionByName(rest)
+
+
 class Tables:
     """Tables of one piece of work, which go when it is done."""
 

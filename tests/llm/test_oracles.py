@@ -2,10 +2,10 @@
 
 import pytest
 
-from lattica.llm import chat, mixing, warc
+from lattica.llm import chat, embedding_dedup, mixing, vector_codes, warc
 from tests.compare import compare
 
-CASES = [(m, q) for m in (chat, mixing, warc) for q in m.SQL]
+CASES = [(m, q) for m in (chat, embedding_dedup, mixing, vector_codes, warc) for q in m.SQL]
 
 
 @pytest.mark.parametrize(("module", "name"), CASES, ids=[q for _, q in CASES])
