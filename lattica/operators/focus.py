@@ -1,58 +1,16 @@
-"""Domains end to end, and what one part of a domain needs of the whole tree."""
+"""What one part of a domain needs of the whole tree."""
 
 from __future__ import annotations
 
-from typing import NamedTuple
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica.functions.geometry import inv_theta_min, min_mac_r2, vector_mac_r2
-from lattica.functions.sfc import BITS, _long, enclosing_box, node_range, with_sfc_key
+from lattica.functions.sfc import BITS, _long, enclosing_box, node_range
 from lattica.operators import domain, octree
 from lattica.plans.held import held
 
 
-class Domain(NamedTuple):
-    """What sync() makes: all tables but the particles are as small as the tree."""
-
-    box: DataFrame
-    leaves: DataFrame
-    assignment: DataFrame
-    particles: DataFrame
-    layout: DataFrame
-    centers: DataFrame | None = None
-    marked: DataFrame | None = None
-
-
-def sync(df: DataFrame, parts: int, bucket: int, radius: float, curve: str = "morton", periodic: bool = True) -> Domain:
-    """Box, keys, tree, assignment, halos and layout of particles (pid, x, y, z, ...) in the unit box, in one chain.
-
-    particles has key, part and is_halo: each row in its own part, and again wherever a part's leaf comes within radius
-    of its leaf. All other columns travel along. layout has each part's rows and the number of rows before it.
-    """
-    box = domain.global_box(df)
-    keyed = held(with_sfc_key(df, curve))
-    leaves = held(octree.build_octree(keyed, bucket))
-    assignment = held(domain.sfc_assignment(leaves, parts))
-    placed = domain.replicate_halos(keyed, leaves, assignment, radius, periodic)
-    rows = placed.groupBy("part").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.col("is_halo").cast("long")).alias("halos"))
-    return Domain(box, leaves, assignment, placed, rows)
-
-
-def sync_grav(df: DataFrame, parts: int, bucket: int, radius: float, theta: float, curve: str = "morton", periodic: bool = True) -> Domain:
-    """sync() of particles that have a mass m, with the mass centres of all nodes, and marked: (part, level, key) of the
-    nodes that each part has to open."""
-    out = sync(df, parts, bucket, radius, curve, periodic)
-    own = out.particles.where("NOT is_halo")
-    centers = held(octree.node_mass_centers(own.select("key", "x", "y", "z", "m"), out.leaves))
-    placed = domain.find_rank(domain.node_geometry(out.leaves.select("level", "key"), curve=curve), out.assignment)
-    targets = domain._renamed(placed.select("part", "cx", "cy", "cz", "s"), "t_")
-    fails = lambda: domain.mac_fails(domain._centre(), min_mac_r2(2 * F.col("s"), inv_theta_min(theta)), domain._centre("t_"), domain._size("t_"), 1.0, periodic)
-    met = domain.descend(out.leaves.select("level", "key"), targets, fails, inner=True)
-    return out._replace(centers=centers, marked=met.select(F.col("t_part").alias("part"), "level", "key").distinct())
-
-
 def focus_tree(leaves: DataFrame, first: int, last: int, theta: float, periodic: bool = True) -> DataFrame:
     """(level, key, count): the leaves of the tree that the keys [first, last) need: all of the tree's leaves there, and
     elsewhere nodes that are divided only as long as the opening criterion fails for a leaf there."""

@@ -847,28 +847,6 @@ def enforce_keys_status(spark, sf_dir):
     return E.enforce_keys(_op_nodes(spark, sf_dir), keys)[1]
 
 
-_PLACED = f"{_ASSIGNED}{_BOXES}, o AS MATERIALIZED (SELECT *, CAST((SELECT count(*) FROM asg WHERE key_lo <= gx.key) - 1 AS INT) AS part FROM gx)"
-
-
-@query(f"""WITH {_PLACED}, h AS (SELECT DISTINCT b.level, b.key, a.part FROM o a, o b WHERE a.part <> b.part AND {_near('a', 'b', '0.0625e0')}){_LK},
- r AS (SELECT o.part, false AS halo, pid, vx FROM lk JOIN o ON o.level = lk.level AND o.key = lk.leaf UNION ALL SELECT h.part, true, pid, vx FROM lk JOIN h ON h.level = lk.level AND h.key = lk.leaf)
- SELECT part, count(*) AS rows, CAST(sum(CAST(halo AS INT)) AS BIGINT) AS halos, CAST(sum(pid) AS BIGINT) AS pids, sum(vx) AS vx FROM r GROUP BY part""")
-def domain_sync(spark, sf_dir):
-    """The whole chain; vx travels along as any column does."""
-    out = E.sync(particles(spark, sf_dir), _PARTS, _BUCKET, 0.0625).particles
-    return out.groupBy("part").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.col("is_halo").cast("long")).alias("halos"), F.sum("pid").alias("pids"), F.sum("vx").alias("vx"))
-
-
-@query(f"""WITH {_PLACED}, up AS (SELECT DISTINCT CAST(u AS INT) AS level, {_UP_KEY.format('u', 'key')} AS key FROM leaves l, (SELECT unnest(range(0, 12)) AS u) WHERE u <= l.level){_BOXES.replace('gx', 'gn').replace('key, count,', 'key,').replace('FROM leaves', 'FROM up')},
- f AS MATERIALIZED (SELECT DISTINCT t.part, t.key AS leaf, n.level, n.key FROM gn n, o t WHERE {_mac('n', 't', '2*n.s*2.5e0')}),
- chain AS (SELECT a.part, a.leaf, a.level, a.key FROM f a JOIN (SELECT unnest(range(0, 12)) AS u) ON u <= a.level JOIN f b ON b.part = a.part AND b.leaf = a.leaf AND b.level = u AND b.key = {_UP_KEY.format('u', 'a.key')} GROUP BY ALL HAVING count(*) = a.level + 1)
- SELECT part, level, count(DISTINCT key) AS nodes FROM chain GROUP BY ALL""")
-def domain_sync_grav(spark, sf_dir):
-    """Which nodes each part has to open, by level; the centres are node_mass_centers."""
-    out = E.sync_grav(particles(spark, sf_dir).withColumn("m", F.col("h") * 1024), _PARTS, _BUCKET, 0.0625, 0.5)
-    return out.marked.groupBy("part", "level").agg(F.count(F.lit(1)).alias("nodes"))
-
-
 @query(f"""WITH {_DEEP_UP}{_BOXES.replace('gx', 'gn').replace('FROM leaves', 'FROM nd')}{_BOXES},
  f AS MATERIALIZED (SELECT DISTINCT t.level AS tl, t.key AS tk, n.level, n.key FROM gn n, gx t WHERE t.key < {2**58} AND {_mac('n', 't', '2*n.s*1.5e0')}),
  chain AS (SELECT DISTINCT level, key FROM (SELECT a.tl, a.tk, a.level, a.key FROM f a JOIN (SELECT unnest(range(0, 12)) AS u) ON u <= a.level JOIN f b ON b.tl = a.tl AND b.tk = a.tk AND b.level = u AND b.key = {_UP_KEY.format('u', 'a.key')} GROUP BY ALL HAVING count(*) = a.level + 1)),
