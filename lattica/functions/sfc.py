@@ -6,7 +6,7 @@ Keys are BIGINT; a node is (level, key) with the key's low 3 * (bits - level) bi
 
 from __future__ import annotations
 
-from functools import cache
+from functools import cache, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -62,11 +62,11 @@ def _long(v: int) -> Column:
 
 
 def _shl(c: Column, n) -> Column:
-    return F.call_function("shiftleft", c, n if isinstance(n, Column) else F.lit(n))
+    return F.call_function("shiftleft", c, n) if isinstance(n, Column) else F.shiftleft(c, n)
 
 
 def _shr(c: Column, n) -> Column:
-    return F.call_function("shiftright", c, n if isinstance(n, Column) else F.lit(n))
+    return F.call_function("shiftright", c, n) if isinstance(n, Column) else F.shiftright(c, n)
 
 
 def lattice(x: Column, low: float = -0.5, high: float = 0.5, bits: int = BITS) -> Column:
@@ -82,37 +82,24 @@ def to_n_bits(x: Column, bits: int = BITS, up: bool = False) -> Column:
     return F.least((F.ceil(scaled) if up else F.floor(scaled)).cast("long"), _long((1 << bits) - 1))
 
 
-def _spread(v: int) -> int:
-    return sum((v >> b & 1) << 3 * b for b in range(BITS))
+def expand_bits(c: Column, up: int = 0) -> Column:
+    """The low 21 bits of c at every third place, from place `up` on."""
+    c = c.cast("long")
+    parts = [_shl(c, 2 * k + up).bitwiseAND(1 << (3 * k + up)) for k in range(BITS)]
+    return reduce(Column.bitwiseOR, parts)
 
 
-#: By rule: 7 bits spread to every third place; and the 3 bits at every third place of 9.
-_SPREAD = [_spread(v) for v in range(1 << 7)]
-_GATHER = [v & 1 | v >> 2 & 2 | v >> 4 & 4 for v in range(1 << 9)]
-
-
-def expand_bits(c: Column) -> Column:
-    """The low 21 bits of c at every third place."""
-    table, c = F.array(*map(_long, _SPREAD)), c.cast("long")
-    parts = [_shl(F.get(table, _shr(c, 7 * k).bitwiseAND(_long(127)).cast("int")), 21 * k) for k in range(3)]
-    return parts[0].bitwiseOR(parts[1]).bitwiseOR(parts[2])
-
-
-def compact_bits(c: Column) -> Column:
-    """The bits at every third place of c, side by side."""
-    table = F.array(*map(_long, _GATHER))
-    out = F.get(table, c.bitwiseAND(_long(511)).cast("int"))
-    for k in range(1, 7):
-        out = out.bitwiseOR(_shl(F.get(table, _shr(c, 9 * k).bitwiseAND(_long(511)).cast("int")), 3 * k))
-    return out
+def compact_bits(c: Column, up: int = 0) -> Column:
+    """The bits at every third place of c, from place `up` on, side by side."""
+    return reduce(Column.bitwiseOR, [_shr(c, 2 * k + up).bitwiseAND(1 << k) for k in range(BITS)])
 
 
 def morton_encode(ix: Column, iy: Column, iz: Column) -> Column:
-    return _shl(expand_bits(ix), 2).bitwiseOR(_shl(expand_bits(iy), 1)).bitwiseOR(expand_bits(iz))
+    return expand_bits(ix, 2).bitwiseOR(expand_bits(iy, 1)).bitwiseOR(expand_bits(iz))
 
 
 def morton_decode(key: Column) -> Column:
-    return F.struct(compact_bits(_shr(key, 2)).alias("ix"), compact_bits(_shr(key, 1)).alias("iy"), compact_bits(key).alias("iz"))
+    return F.struct(compact_bits(key, 2).alias("ix"), compact_bits(key, 1).alias("iy"), compact_bits(key).alias("iz"))
 
 
 def _table(values: list[int], at: Column) -> Column:
@@ -132,13 +119,48 @@ def _walk(dims: int, bits: int, encode: bool, part) -> Column:
     return F.aggregate(F.sequence(F.lit(bits - 1), F.lit(0), F.lit(-1)), start, step, lambda acc: acc["out"])
 
 
+@cache
+def hilbert_groups(encode: bool) -> list[int]:
+    """Over state * 512 + three octants (or digits): the state after them * 512 + their digits (or octants)."""
+    digit, after, octant, state = hilbert_tables(3)
+    values, following = (digit, after) if encode else (octant, state)
+    out = []
+    for k in range(len(values) // 8 * 512):
+        at, group = k >> 9, 0
+        for shift in (6, 3, 0):
+            step = at * 8 + (k >> shift & 7)
+            at, group = following[step], group << 3 | values[step]
+        out.append(at << 9 | group)
+    return out
+
+
+def _by_groups(code: Column, bits: int, encode: bool) -> Column:
+    """Morton keys to Hilbert keys, or back: one look-up for three levels. A fold isn't compiled, so the code is its start,
+    computed once, and each step looks up once: the state is what the step before found."""
+    table = F.expr(f"array({', '.join(map(str, hilbert_groups(encode)))})")  # one call
+
+    def step(acc: Column, _: Column) -> Column:
+        found = F.get(table, acc["found"].bitwiseAND(-512).bitwiseOR(_shr(acc["rest"], 54).bitwiseAND(511).cast("int")))
+        return F.struct(_shl(acc["rest"], 9).alias("rest"), found.alias("found"), _shl(acc["out"], 9).bitwiseOR(acc["found"].bitwiseAND(511).cast("long")).alias("out"))
+
+    start = F.struct(_shl(code, 63 - 3 * bits).alias("rest"), F.lit(0).alias("found"), _long(0).alias("out"))
+    last = lambda acc: _shl(acc["out"], 9).bitwiseOR(acc["found"].bitwiseAND(511).cast("long"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(bits // 3)), start, step, last)
+
+
 def hilbert_encode(ix: Column, iy: Column, iz: Column, bits: int = BITS) -> Column:
+    if bits % 3 == 0:
+        # coordinates are computed once, whatever they are
+        at = F.array(F.struct(ix.cast("long").alias("ix"), iy.cast("long").alias("iy"), iz.cast("long").alias("iz")))
+        return F.transform(at, lambda c: _by_groups(morton_encode(c["ix"], c["iy"], c["iz"]), bits, True))[0]
     bit = lambda c, level: _shr(c.cast("long"), level).bitwiseAND(_long(1))
     return _walk(3, bits, True, lambda level: bit(ix, level) * 4 + bit(iy, level) * 2 + bit(iz, level))
 
 
 def hilbert_decode(key: Column, bits: int = BITS) -> Column:
     """The lattice coordinates of a Hilbert key: its octants in a row are the Morton key."""
+    if bits % 3 == 0:
+        return F.transform(F.array(_by_groups(key, bits, False)), morton_decode)[0]
     return morton_decode(_walk(3, bits, False, lambda level: _shr(key, level * 3).bitwiseAND(_long(7))))
 
 
