@@ -260,9 +260,11 @@ def _attached(rows: DataFrame, table: DataFrame, on: str, count: str) -> DataFra
 
 
 def _class_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(key, tokens) of the classes in wanted (doc_id, key), each from the document that stands for it.
+    """(key, tokens) of the classes in wanted (doc_id, key), once each.
 
-    Most other documents are left out before the join by a filter of FILTER_BITS bits, however many are wanted.
+    Documents that stand for no class are mostly left out by a filter of FILTER_BITS bits, however many are wanted. The
+    others' sets are found before the shuffle, so that rows meet by their class and not by a doc_id that many rows may
+    have; a task passes on one row of a class.
     """
     spark = docs.sparkSession
     bit = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
@@ -274,19 +276,28 @@ def _class_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = shared.value
         for batch in batches:
-            bit = batch.column(2).to_numpy()
-            yield batch.filter(pa.array((words[bit >> 5] >> (bit & 31)) & 1 == 1)).select(["doc_id", "text"])
+            bit = batch.column(1).to_numpy()
+            yield batch.filter(pa.array((words[bit >> 5] >> (bit & 31)) & 1 == 1)).select(["text"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
+        for batch in blocks(some(batches), "text", 1 << 20):
+            first = {}
+            for row, own in enumerate(_sets(batch, size)):
+                key = hashlib.blake2b(own.tobytes(), digest_size=16).digest()
+                if key not in seen:
+                    seen.add(key)
+                    first[key] = row
+            yield pa.RecordBatch.from_arrays([pa.array(list(first), pa.binary()), batch.column(0).take(pa.array(list(first.values()), pa.int64()))], ["key", "text"])
+
+    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, "text", 1 << 20):
-            tokens = [own.tobytes() for own in _sets(batch, size)]
-            keys = [hashlib.blake2b(t, digest_size=16).digest() for t in tokens]
-            same = pa.array([k == w for k, w in zip(keys, batch.column(0).to_pylist(), strict=True)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(tokens, pa.binary())], ["key", "tokens"]).filter(same)
-
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), "text").withColumn("bit", bit)
-    rows = rows.mapInArrow(some, "doc_id bigint, text string")
-    return rows.join(wanted, "doc_id").select("key", "text").mapInArrow(run, "key binary, tokens binary")
+            sets = [own.tobytes() for own in _sets(batch, size)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.binary()), pa.array(sets, pa.binary())], ["key", "tokens"])
+
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), "text").select("text", bit.alias("bit"))
+    rows = rows.mapInArrow(run, "key binary, text string").join(wanted.select("key"), "key", "left_semi").dropDuplicates(["key"])
+    return rows.mapInArrow(tokens, "key binary, tokens binary")
 
 
 def _multi_match(postings: DataFrame, numerator: int, denominator: int) -> DataFrame:

@@ -5,7 +5,8 @@ take is shared among the others by weight until no target is above its cap. That
 sources are ordered by cap / weight, and a source is full if the level that the sources before it leave reaches it.
 
 Within a source every document is taken floor(target / size of source) times, and what is left of the target is
-dealt over the documents in the order of a seeded hash, the last one in part. Hash order is found in ranges of each
+dealt over the documents in the order of a seeded hash of id and text, the last one in part; rows equal in both are
+ordered by a hash of all their columns, so reruns agree. Hash order is found in ranges of each
 source, 4,096 or, for larger tables, so many that a range of a source that has all rows stays below RANGE_BYTES: sums
 of ranges come first, so that no task ever orders a whole source, however hot.
 
@@ -60,15 +61,17 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
 
     A row is taken `whole` times in full, and `extra` of its words once more.
     """
-    order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    none = F.lit("")
+    order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), none), F.lit(":"), F.md5(F.coalesce("text", none))))
+    tie = F.xxhash64(*(f"`{c}`" for c, kind in docs.dtypes if "map<" not in kind))  # maps have no order
     key = F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))
-    rows = docs.select(F.struct(*docs.columns).alias("row"), "source", key.alias("key"), word_count(F.col("text")).alias("size"), order.alias("order"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "source", key.alias("key"), word_count(F.col("text")).alias("size"), order.alias("order"), tie.alias("tie"))
     rows = rows.withColumn("range", F.substring("order", 1, _range_digits(docs)))
     ranges = rows.groupBy("key", "source", "range").agg(F.sum("size").alias("sum"))
     aims = targets(ranges.groupBy("source").agg(F.sum("sum").alias("source_size")), weights, share, cap).select(key.alias("key"), "source_size", "target")
     earlier = Window.partitionBy("key").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     ranges = ranges.drop("source").withColumn("base", F.coalesce(F.sum("sum").over(earlier), F.lit(0))).drop("sum").join(aims, "key")
-    inside = Window.partitionBy("key", "range").orderBy("order", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("key", "range").orderBy("order", "tie").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.drop("source").withColumn("before", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(ranges, ["key", "range"])
     rows = rows.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
     left = F.floor(F.col("target") + 0.5).cast("long") - F.col("whole") * F.col("source_size") - F.col("base") - F.col("before")
@@ -92,7 +95,7 @@ def mix_sql(docs: str, columns: str) -> str:
     """DuckDB SQL for mix() of the relation `docs`; `columns` over size, source_size, target, whole and extra."""
     return rf"""
     WITH docs AS (SELECT d.*, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
-                         md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS ord FROM {docs} d),
+                         md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))) AS ord FROM {docs} d),
     sizes AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM docs GROUP BY source),
     weighed AS (SELECT *, CAST(CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN {WEIGHTS[0]} WHEN 1 THEN {WEIGHTS[1]} ELSE {WEIGHTS[2]} END AS DOUBLE) AS weight,
                        CAST(source_size AS DOUBLE) * {CAP} AS cap, CAST(sum(source_size) OVER () AS DOUBLE) * {SHARE} AS want FROM sizes),
@@ -101,7 +104,7 @@ def mix_sql(docs: str, columns: str) -> str:
     filled AS (SELECT *, cap <= weight * lvl AS is_full FROM levels),
     aims AS (SELECT source, source_size, CASE WHEN is_full THEN cap ELSE weight * ((want - sum(CASE WHEN is_full THEN cap ELSE 0.0 END) OVER ()) / nullif(sum(CASE WHEN is_full THEN 0.0 ELSE weight END) OVER (), 0)) END AS target FROM filled),
     placed AS (SELECT d.*, a.source_size, a.target, CASE WHEN a.source_size > 0 THEN CAST(floor(a.target / a.source_size) AS BIGINT) ELSE 0 END AS whole,
-                      coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY ord, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+                      coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
                FROM docs d JOIN aims a ON d.source IS NOT DISTINCT FROM a.source),
     mixed AS (SELECT *, greatest(0, least(size, CAST(floor(target + 0.5) AS BIGINT) - whole * source_size - before)) AS extra FROM placed)
     SELECT {columns} FROM mixed"""

@@ -132,3 +132,25 @@ def test_pipeline_stages(docs, spark):
     assert len(words) == len({(r[1] or "").lower() for r in rows if (r[1] or "").split()})
     last = corpus_pipeline.STAGES[4][1](spark, docs, small).collect()
     assert len(last) == len(rows) and sorted(r.start for r in last) == [sum(r.n_tokens for r in sorted(last, key=lambda r: r.start)[:k]) for k in range(len(last))]
+
+
+def test_mixing_agrees_with_itself(spark):
+    """Rows of one id, or none, and of one size: whatever their order, the same ones are taken, and ranges divide them."""
+    rows = [(k % 2 or None, " ".join(random.Random(k).choices(WORDS, k=7)), "ab"[k % 5 == 0]) for k in range(60)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string").withColumn("extra", F.lit(1))
+    taken = [sorted(map(str, mixing.mixed_rows(d).collect())) for d in (df.repartition(1), df.repartition(7, "text"), df.orderBy(F.desc("text")))]
+    assert taken[0] == taken[1] == taken[2]
+    order = mixing.mix(df).select("row.doc_id", "whole", "extra").collect()
+    assert len(order) == 60
+
+
+def test_jaccard_of_repeated_ids(spark):
+    """Rows without id, or of one id, meet by their classes: each class's set is made once."""
+    rows = [(None if k % 3 else 7, " ".join(f"w{k // 2}x{j}" for j in range(40)) + (" end" if k % 2 else "")) for k in range(120)]
+    df = spark.createDataFrame(rows + rows[:30], "doc_id bigint, text string").repartition(6)
+    found = jaccard.near_duplicate_groups(df).collect()
+    assert len(found) == 150 and all(r.component_id in (7, None) for r in found)
+    keys = jaccard.document_keys(df, spark.sparkContext.broadcast(jaccard.frequent_shingles(df, 3)), 3, 9, 10, False)
+    wanted = keys.groupBy("key").agg(F.min(F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("doc_id"))
+    sets = jaccard._class_sets(df, wanted, 3).collect()
+    assert len(sets) == len({r.key for r in sets}) == 120
