@@ -56,8 +56,8 @@ def _range_digits(docs: DataFrame) -> int:
     return min(8, max(3, math.ceil(math.log(max(1.0, ranges), 16))))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP, seed: int = SEED) -> DataFrame:
-    """Of each row of docs (doc_id, text, source, ...): row (all its columns), size, source_size, target, whole and extra.
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP, seed: int = SEED, keep: tuple[str, ...] | None = None) -> DataFrame:
+    """Of each row of docs (doc_id, text, source, ...): row (all its columns, or those to keep), size, source_size, target, whole and extra.
 
     A row is taken `whole` times in full, and `extra` of its words once more.
     """
@@ -65,7 +65,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), none), F.lit(":"), F.md5(F.coalesce("text", none))))
     tie = F.xxhash64(*(f"`{c}`" for c, kind in docs.dtypes if "map<" not in kind))  # maps have no order
     key = F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))
-    rows = docs.select(F.struct(*docs.columns).alias("row"), "source", key.alias("key"), word_count(F.col("text")).alias("size"), order.alias("order"), tie.alias("tie"))
+    rows = docs.select(F.struct(*(keep or docs.columns)).alias("row"), "source", key.alias("key"), word_count(F.col("text")).alias("size"), order.alias("order"), tie.alias("tie"))
     rows = rows.withColumn("range", F.substring("order", 1, _range_digits(docs)))
     ranges = rows.groupBy("key", "source", "range").agg(F.sum("size").alias("sum"))
     aims = targets(ranges.groupBy("source").agg(F.sum("sum").alias("source_size")), weights, share, cap).select(key.alias("key"), "source_size", "target")
@@ -86,7 +86,7 @@ def mixed_rows(docs: DataFrame, **how) -> DataFrame:
 
 def op8_mixing(spark, sf_dir: str) -> DataFrame:
     """The mix of all documents: doc_id, size, source_size, target, taken."""
-    rows = mix(read(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    rows = mix(read(spark, sf_dir, "documents").select("doc_id", "source", "text"), keep=("doc_id",))
     taken = F.col("whole") * F.col("size") + F.col("extra")
     return rows.select("row.doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"))
 
