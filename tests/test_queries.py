@@ -2,15 +2,16 @@
 
 import pytest
 
-from lattica import queries
+from lattica import domain_queries, queries
 from tests.compare import SMALL, compare
 
 ROWS_ONLY = sorted(set(queries.QUERIES) - set(queries.SQL))
+CASES = [(m, q) for m in (queries, domain_queries) for q in sorted(m.SQL)]
 
 
-@pytest.mark.parametrize("name", sorted(queries.SQL))
-def test_query(spark, name):
-    compare(spark, queries.QUERIES[name], queries.SQL[name])
+@pytest.mark.parametrize(("module", "name"), CASES, ids=[q for _, q in CASES])
+def test_query(spark, module, name):
+    compare(spark, module.QUERIES[name], module.SQL[name])
 
 
 @pytest.mark.parametrize("name", ROWS_ONLY)
