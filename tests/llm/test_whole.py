@@ -1,4 +1,4 @@
-"""Whole results where less was done before: thresholds, row keys, texts without spaces, candidates, smoothing lengths, open trees."""
+"""Whole results where less was done before: thresholds, row keys, texts without spaces, candidates."""
 
 import hashlib
 import random
@@ -7,10 +7,7 @@ import re
 import numpy as np
 import pytest
 
-from lattica import queries
 from lattica.llm import decontaminate, jaccard, secrets_scan, toxicity
-from lattica.operators import octree
-from lattica.sources.particles import particles
 
 SMALL = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -118,30 +115,6 @@ def test_secrets_are_candidates(spark):
     assert sum(scored[k, hashlib.sha256(v.encode()).hexdigest()] for k, (_, v) in enumerate(said)) > 0.95 * len(said)
 
 
-def test_smoothing_of_the_particle_table(spark, tmp_path):
-    spark.read.parquet(f"{SMALL}/lineitem.parquet").orderBy("l_orderkey", "l_linenumber").limit(300).coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
-    rows = particles(spark, str(tmp_path)).orderBy("pid").collect()
-    x, h = np.array([[r.x, r.y, r.z] for r in rows]), np.array([r.h for r in rows])
-    d = x[:, None] - x[None]
-    d2 = ((d - np.rint(d)) ** 2).sum(2)
-    np.fill_diagonal(d2, np.inf)
-    count = lambda: (d2 < ((2 * h) ** 2)[:, None]).sum(1)
-    for _ in range(11):
-        n = count()
-        h = h * 0.5 * (1 + 1023 * 40 / np.maximum(n, 1)) ** 0.1
-        if abs(n - 40).max() <= 4:
-            break
-    got = {r.pid: r.h for r in queries.smoothing_length_adjust(spark, str(tmp_path)).collect()}
-    assert list(got) and sorted(got) == [r.pid for r in rows]
-    assert [got[r.pid] for r in rows] == pytest.approx(h.tolist())
-    assert abs(count() - 40).max() <= 20
-
-
-def test_continuum_tree_has_no_holes(spark):
-    leaves = octree.continuum_octree(spark, lambda x, y, z: 0 * x + 1e6, bucket=10, rounds=1).collect()
-    assert sum(8.0**-r.level for r in leaves) == 1
-
-
 def passages(n, shared, own, seed=23):
     """n documents that share passages of 30 words, of which each has one of `shared` in its middle or all of them, and have nothing else in common."""
     r = random.Random(seed)
