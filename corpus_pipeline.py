@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lattica.llm.common import read, small_batches, written
+from lattica.llm.common import freed, read, small_batches, written
 from lattica.llm.decontaminate import drop_contaminated
 from lattica.llm.jaccard import keep_one
 from lattica.llm.mixing import mixed_rows
@@ -26,7 +26,9 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     together, as their texts score alike; a score that equals the threshold goes. Labels are those of sf_dir, whatever docs holds.
     """
     small_batches(spark)
-    return filter_toxic(spark, docs, sf_dir)
+    out = filter_toxic(spark, docs, sf_dir)
+    freed()  # what the fit took in the driver
+    return out
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
