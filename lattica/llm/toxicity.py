@@ -7,7 +7,8 @@ the labels apart best are kept, and a logistic regression with an L2 penalty is
 Scores are exact functions of the whole text.
 
 Rows whose crc32(doc_id as text) mod 5 is 0 are held out. Memory: 2**BITS counters per task, MOST_FEATURES weights on
-the driver and in each task, FIT_ROWS lists of features on the driver.
+the driver and in each task, FIT_ROWS lists of features on the driver. FIT_ROWS bounds the rows of documents that the fit
+reads, also where a labelled doc_id has many: those with the fewest rows come first then.
 
 Defined results: a null or empty text has no feature and gets the score of the intercept; labels that are null are not
 used; of a doc_id with several labels or texts each pair counts; without rows of both labels every score is 0.5 if
@@ -20,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.llm.common import blocks, read, text_bytes, written
@@ -106,13 +107,23 @@ def _fit(rows: list[np.ndarray], label: np.ndarray, scale: np.ndarray) -> tuple[
     return weights * scale, float(bias)
 
 
+def _within(docs: DataFrame, known: DataFrame, most: int) -> DataFrame:
+    """The labels of `known` whose documents are `most` rows at most; where that takes all of them, known itself."""
+    ids = F.broadcast(known.select("doc_id").distinct())
+    counted = known.join(docs.select("doc_id").join(ids, "doc_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")), "doc_id")
+    if (counted.agg(F.sum("n")).first()[0] or 0) <= most:
+        return known
+    order = Window.orderBy("n", F.xxhash64(F.col("doc_id")), "doc_id", "label")  # one task: known has FIT_ROWS rows at most
+    return counted.withColumn("__upto", F.sum("n").over(order)).where(F.col("__upto") <= most).select("doc_id", "label")
+
+
 def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[np.ndarray, np.ndarray, float]:
     """Features, their weights, and the intercept, from the labelled rows that are not held out."""
     known = labels.where(F.col("toxic").isin(0, 1)).where(~held_out(F.col("doc_id"))).select("doc_id", F.col("toxic").cast("int").alias("label"))
     known = written(known.orderBy(F.xxhash64(F.col("doc_id")), "doc_id", "label").limit(fit_rows), "labelled")
-    rows = written(docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "label"), "sample")
+    rows = written(docs.select("doc_id", "text").join(F.broadcast(_within(docs, known, fit_rows)), "doc_id").select("text", "label"), "sample")
     counts = rows.mapInArrow(_count, "feature bigint, clean bigint, toxic bigint").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    sizes = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    sizes = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     clean, toxic = sizes.get(0, 0), sizes.get(1, 0)
     if not clean or not toxic:
         share = toxic / (clean + toxic) if clean + toxic else 0.5

@@ -300,6 +300,16 @@ def test_warc_splits(spark):
         assert got == {k: (h, hashlib.sha256(h.encode()).hexdigest()) for k, _, h in rows}
 
 
+def test_toxicity_fits_on_bounded_rows(spark):
+    docs = spark.createDataFrame([(1, f"text {k}") for k in range(300)] + [(k, f"other {k}") for k in range(2, 40)], "doc_id bigint, text string")
+    known = spark.createDataFrame([(k, k % 2) for k in range(1, 40)], "doc_id bigint, label int")
+    assert toxicity._within(docs, known, 338) is known
+    for most, left in ((337, 38), (38, 38), (10, 10)):
+        within = toxicity._within(docs, known, most)
+        assert within.where("doc_id = 1").isEmpty() and within.count() == left
+        assert docs.join(within, "doc_id").count() <= most
+
+
 def test_toxicity_held_out(spark):
     d = "/root/testdata/sf0.1"
     got = toxicity.op5_toxicity(spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").where("held_out")
