@@ -71,7 +71,7 @@ def document_features(data: np.ndarray, offsets: np.ndarray, wanted: np.ndarray
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Partial counts of a task: documents of each label with each feature."""
     total = np.zeros((2, 1 << BITS), np.int64)
-    for batch in blocks(batches, "text", 1 << 20):
+    for batch in blocks(batches, "text", 1 << 18):  # all n-grams of a block are sorted at once
         data, offsets = text_bytes(batch.column(batch.schema.get_field_index("text")))
         label = batch.column(batch.schema.get_field_index("label")).to_numpy(zero_copy_only=False)
         row, feature = document_features(data, offsets)
