@@ -140,11 +140,11 @@ def kept(name: str, make):
 def blocks(batches: Iterable[pa.RecordBatch], column: str, most: int = 4 << 20, keep: str = "") -> Iterator[pa.RecordBatch]:
     """The same rows in order, as batches of about `most` bytes of text in `column`; one longer row makes a batch alone.
 
-    What the worker keeps goes, unless it is named `keep`: other work needs the memory.
+    What the worker keeps goes, unless it is named `keep`, and so does what its last task left: other work needs the memory.
     """
     if _kept.keys() - {keep}:
         _kept.clear()
-        freed()
+    freed()
     held: list[pa.RecordBatch] = []
     size = 0
     for batch in batches:
