@@ -8,12 +8,13 @@ import sys
 from pyspark.sql import SparkSession
 
 from lattica.plans.power_spectrum import default_grid, power_spectrum
+from lattica.sources.h5part import h5part_particles
 from lattica.sources.snapshots import read_step, write_spectrum
 
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="power_spectrum", description=__doc__)
-    p.add_argument("--checkpoint", required=True, help="folder of a snapshot")
+    p.add_argument("--checkpoint", required=True, help="folder of a snapshot, or HDF5 steps: a file or folder named .h5, .hdf5 or .h5part")
     p.add_argument("--stepNo", type=int, default=-1, help="step; negative: the last one")
     p.add_argument("--gridSize", type=int, help="cells along an axis; else the cube root of the number of particles")
     p.add_argument("--numShells", type=int, help="shells; else half the grid size")
@@ -30,7 +31,8 @@ def parser() -> argparse.ArgumentParser:
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     args = parser().parse_args(argv)
     spark = spark or SparkSession.builder.appName("power_spectrum").getOrCreate()
-    particles = read_step(spark, args.checkpoint, args.stepNo)
+    read = h5part_particles if args.checkpoint.rstrip("/").endswith((".h5", ".hdf5", ".h5part")) else read_step
+    particles = read(spark, args.checkpoint, args.stepNo)
     grid = args.gridSize or default_grid(particles)
     fill = args.interpolation != "sph"
     spec = power_spectrum(particles, grid, args.numShells, args.field, args.interpolation, fill, "pencil" if args.pencils else None)

@@ -154,28 +154,33 @@ def view(df: DataFrame, order: str, first: int | None = None, last: int | None =
 
 
 def write_table(df: DataFrame, path: str, kind: str, columns: tuple[str, ...], order: str) -> None:
-    """Rows in order as 'parquet', 'csv', 'json' or 'ascii' (columns between spaces)."""
+    """Rows in order as 'parquet', 'csv', 'json', 'hdf5' or 'ascii' (columns between spaces); a path that exists is an error."""
+    from lattica.sources.h5part import write_h5part
+
+    rows = df.select(*columns).repartitionByRange(order).sortWithinPartitions(order)
     if kind == "ascii":
         write_text(df, path, columns, order)
+    elif kind == "hdf5":
+        write_h5part(rows, path, mode="error")
     elif kind in ("parquet", "csv", "json"):
-        df.select(*columns).repartitionByRange(order).sortWithinPartitions(order).write.format(kind).save(path)
+        rows.write.format(kind).save(path)
     else:
-        _no_hdf5(kind)
+        raise NotImplementedError(f"no format {kind!r}")
 
 
 def read_table(spark: SparkSession, path: str, kind: str, columns: tuple[str, ...]) -> DataFrame:
     """Double columns of what write_table() wrote."""
+    from lattica.sources.h5part import read_h5part
+
     if kind == "ascii":
         return read_text(spark.read.text(path), columns)
+    if kind == "hdf5":
+        return read_h5part(spark, path, columns=",".join(columns)).select(*(F.col(c).cast("double") for c in columns))
     if kind not in ("parquet", "csv", "json"):
-        _no_hdf5(kind)
+        raise NotImplementedError(f"no format {kind!r}")
     return spark.read.format(kind).schema(", ".join(f"{c} double" for c in columns)).load(path)
 
 
-def _no_hdf5(kind: str):
-    raise NotImplementedError(f"{kind}: HDF5 needs a package that this library doesn't have; convert the steps to Parquet" if kind == "hdf5" else f"no format {kind!r}")
-
-
 def mesh_lines(mesh: DataFrame, grid: int, columns: tuple[str, ...] = ("vx", "vy", "vz"), low: float = -0.5, high: float = 0.5) -> DataFrame:
     """(cell, value): lines 'x y z' and the columns for each cell of a mesh, x to z of its centre."""
     from lattica.functions.geometry import cell_centre
