@@ -106,34 +106,10 @@ def fill_empty(mesh: DataFrame, grid: int, columns: tuple[str, ...] = VELOCITY)
 
 
 def nearest_global(df: DataFrame, grid: int, low: float = -0.5, high: float = 0.5) -> DataFrame:
-    """For each node of a grid with both ends, the particle nearest to it anywhere: cell, pid, d2; no rows without particles.
+    """For each node of a grid with both ends, the particle nearest to it anywhere: cell, pid, d2; no rows without particles."""
+    from lattica.operators.leaf_search import nearest_point
 
-    A node looks into the 27 bins around it. Bins are as wide as the grid's step first; nodes that found nothing within
-    a bin's width look again among bins of twice the width, in the end among all particles.
-    """
-    spark, width = df.sparkSession, (high - low) / max(1, grid - 1)
-    found = None
-    extent = df.agg(F.min(F.least("x", "y", "z")), F.max(F.greatest("x", "y", "z"))).first()
-    if extent[0] is None:
-        return spark.createDataFrame([], "cell bigint, pid bigint, d2 double")
-    longest = max(extent[1], high) - min(extent[0], low)
-    step, rows = width, df.select("pid", "x", "y", "z")
-    i, j, k = split_cell(F.col("cell"), grid)
-    nodes = spark.range(grid**3).withColumnRenamed("id", "cell").select("cell", *((F.lit(low) + c * step).alias(n) for n, c in (("nx", i), ("ny", j), ("nz", k))))
-    around = F.array(*map(F.lit, (-1, 0, 1)))
-    while True:
-        bin_of = lambda c: F.floor((F.col(c) - low) / width).cast("long")  # noqa: B023, E731
-        near = nodes
-        for b, c in zip("abc", "xyz", strict=True):
-            near = near.withColumn("__s", F.explode(around)).withColumn(b, bin_of(f"n{c}") + F.col("__s")).drop("__s")
-        d = [F.col(c) - F.col(f"n{c}") for c in "xyz"]
-        met = near.join(rows.select("*", *(bin_of(c).alias(b) for b, c in zip("abc", "xyz", strict=True))), ["a", "b", "c"])
-        best = met.groupBy("cell").agg(F.min(F.struct((d[0] * d[0] + d[1] * d[1] + d[2] * d[2]).alias("d2"), "pid")).alias("m"))
-        looked = held(nodes.join(best, "cell", "left").select("cell", "nx", "ny", "nz", "m.pid", "m.d2"))
-        sure = F.coalesce(F.col("d2") <= width**2, F.lit(False)) if width < longest else F.lit(True)
-        done = looked.where(sure).select("cell", "pid", "d2")
-        found = done if found is None else found.unionByName(done)
-        nodes = looked.where(~sure).select("cell", "nx", "ny", "nz")
-        if width >= longest or nodes.isEmpty():
-            return found
-        width *= 2
+    width = (high - low) / max(1, grid - 1)
+    at = [(F.lit(low) + c * width).alias(f"p{n}") for n, c in zip("xyz", split_cell(F.col("point"), grid), strict=True)]
+    nodes = df.sparkSession.range(grid**3).withColumnRenamed("id", "point").select("point", *at)
+    return nearest_point(df, nodes).withColumnRenamed("point", "cell")

@@ -21,8 +21,8 @@ def radius_pairs(df: DataFrame, periodic: bool = True, low: float = -0.5, high:
     sources = (df if queries is None else queries).select(F.col("pid").alias("i"), *(F.col(c).alias(f"{c}i") for c in "xyz"), (2 * F.col("h")).alias("r"))
     rung = F.ceil(F.log2(F.col("r") / length) - 1e-12).cast("int")
     sources = sources.where("r > 0").withColumn("rung", F.least(rung, F.lit(0)))
-    rungs = sources.agg(F.min("rung"), F.max("rung")).first()
-    if rungs[0] is None:
+    rungs = sorted(r.rung for r in sources.select("rung").distinct().collect())  # powers of two that occur
+    if not rungs:
         return df.sparkSession.createDataFrame([], "i bigint, j bigint, d2 double")
     wide = F.pow(F.lit(2.0), F.col("rung").cast("double")) * length
     sources = sources.withColumn("cells", F.pow(F.lit(2.0), -F.col("rung").cast("double")).cast("long"))
@@ -34,7 +34,7 @@ def radius_pairs(df: DataFrame, periodic: bool = True, low: float = -0.5, high:
             sources = sources.withColumn(b, F.explode(F.transform(touched, lambda v: F.pmod(v, F.col("cells")))))
         else:
             sources = sources.withColumn(b, F.explode(F.sequence(first, last)))
-    targets = df.select(F.col("pid").alias("j"), *(F.col(c).alias(f"{c}j") for c in "xyz")).withColumn("rung", F.explode(F.sequence(F.lit(rungs[0]), F.lit(rungs[1]))))
+    targets = df.select(F.col("pid").alias("j"), *(F.col(c).alias(f"{c}j") for c in "xyz")).withColumn("rung", F.explode(F.array(*map(F.lit, rungs))))
     for b, c in zip("abc", "xyz", strict=True):
         raw = F.floor((F.col(f"{c}j") - low) / wide).cast("long")
         targets = targets.withColumn(b, F.pmod(raw, F.pow(F.lit(2.0), -F.col("rung").cast("double")).cast("long")) if periodic else raw)

@@ -2,11 +2,11 @@
 
 import pytest
 
-from lattica import domain_queries, hdf5_queries, queries
+from lattica import domain_queries, hdf5_queries, queries, search_queries
 from tests.compare import SMALL, compare
 
 ROWS_ONLY = sorted(set(queries.QUERIES) - set(queries.SQL))
-CASES = [(m, q) for m in (queries, domain_queries, hdf5_queries) for q in sorted(m.SQL)]
+CASES = [(m, q) for m in (queries, domain_queries, hdf5_queries, search_queries) for q in sorted(m.SQL)]
 
 
 @pytest.mark.parametrize(("module", "name"), CASES, ids=[q for _, q in CASES])
