@@ -182,3 +182,10 @@ def test_kolmogorov_and_plummer(spark):
     assert abs(ball.agg(F.avg("x")).first()[0]) < 1e-9
     both = spectrum.overlay({"a": spark.range(5).select(F.col("id").alias("k"), F.lit(1.0).alias("value"))})
     assert both.count() == 3
+
+
+def test_hilbert2d_walks_once(spark):
+    ix, iy = (F.pmod(F.col("id") * m, F.lit(2**21)) for m in (22695477, 69069))
+    rows = spark.range(50).select(ix.alias("x"), iy.alias("y"), K.hilbert2d_encode(ix, iy).alias("key")).select("x", "y", "key", K.hilbert2d_decode(F.col("key")).alias("i"))
+    assert all((r.x, r.y) == tuple(r.i) for r in rows.collect())
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("aggregate(") <= 2
