@@ -189,3 +189,17 @@ def test_hilbert2d_walks_once(spark):
     rows = spark.range(50).select(ix.alias("x"), iy.alias("y"), K.hilbert2d_encode(ix, iy).alias("key")).select("x", "y", "key", K.hilbert2d_decode(F.col("key")).alias("i"))
     assert all((r.x, r.y) == tuple(r.i) for r in rows.collect())
     assert rows._jdf.queryExecution().optimizedPlan().toString().count("aggregate(") <= 2
+
+
+def test_span_runs(spark):
+    ends = [(0, 8**7 - 1), (5, 6), (7, 9), (63, 8**4 + 1), (8**6 - 3, 2 * 8**6 + 70), (9, 9)]
+    runs = K.span_runs(spark.createDataFrame(ends, "a bigint, b bigint"), "a", "b", 7).collect()
+    for a, b in ends:
+        found = []
+        for r in (r for r in runs if (r.a, r.b) == (a, b)):
+            size = 8 ** (7 - r.level)
+            own = [r.left + k * size for k in range(r.n_left)] + [r.right + k * size for k in range(r.n_right)]
+            assert len(own) <= 14 and all(r.level == 1 or n // (8 * size) * 8 * size < a or (n // (8 * size) + 1) * 8 * size > b for n in own)
+            found += [(n, n + size) for n in own]
+        found.sort()
+        assert (found == []) if a == b else (found[0][0], found[-1][1]) == (a, b) and all(p[1] == q[0] for p, q in zip(found, found[1:], strict=False))
