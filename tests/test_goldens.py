@@ -203,3 +203,10 @@ def test_span_runs(spark):
             found += [(n, n + size) for n in own]
         found.sort()
         assert (found == []) if a == b else (found[0][0], found[-1][1]) == (a, b) and all(p[1] == q[0] for p, q in zip(found, found[1:], strict=False))
+
+
+def test_essential_ops_in_last_corner(spark):
+    last = 7 * 8**20
+    nodes = spark.createDataFrame([(0, 0, 20, False, False), (1, last, 20, False, False), (2, last + 7 * 8**19, 20, True, False)], "level int, key bigint, count bigint, is_leaf boolean, mac boolean")
+    ops = {r.level: r.op for r in domain.essential_ops(nodes, 4, last, 2**63 - 1).collect()}
+    assert ops == {0: 1, 1: 1, 2: 8}
