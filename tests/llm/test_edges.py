@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -154,3 +155,9 @@ def test_jaccard_of_repeated_ids(spark):
     wanted = keys.groupBy("key").agg(F.min(F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("doc_id"))
     sets = jaccard._class_sets(df, wanted, 3).collect()
     assert len(sets) == len({r.key for r in sets}) == 120
+
+
+def test_words_that_occur_once_in_a_stretch_count(spark):
+    docs = spark.createDataFrame([("zebras alone",), ("zebras again",)], "text string").repartition(2)
+    known = secrets_scan.frequent_words(docs)
+    assert set(secrets_scan.word_hashes(np.frombuffer(b"zebras", np.uint8))) <= set(known)
