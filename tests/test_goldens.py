@@ -210,3 +210,9 @@ def test_essential_ops_in_last_corner(spark):
     nodes = spark.createDataFrame([(0, 0, 20, False, False), (1, last, 20, False, False), (2, last + 7 * 8**19, 20, True, False)], "level int, key bigint, count bigint, is_leaf boolean, mac boolean")
     ops = {r.level: r.op for r in domain.essential_ops(nodes, 4, last, 2**63 - 1).collect()}
     assert ops == {0: 1, 1: 1, 2: 8}
+
+
+def test_merged_leaves(spark):
+    leaves = [(2, k * 8**19) for k in range(8)] + [(1, 8**20), (2, 2 * 8**20)]
+    out = octree.merged_leaves(spark.createDataFrame([(p, *n) for p, n in enumerate(leaves)], "p int, level int, key bigint"))
+    assert sorted(map(tuple, out.collect())) == [(1, 0), (1, 8**20), (2, 2 * 8**20)]
