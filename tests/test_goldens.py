@@ -216,3 +216,14 @@ def test_merged_leaves(spark):
     leaves = [(2, k * 8**19) for k in range(8)] + [(1, 8**20), (2, 2 * 8**20)]
     out = octree.merged_leaves(spark.createDataFrame([(p, *n) for p, n in enumerate(leaves)], "p int, level int, key bigint"))
     assert sorted(map(tuple, out.collect())) == [(1, 0), (1, 8**20), (2, 2 * 8**20)]
+
+
+@pytest.mark.parametrize(("periodic", "scale"), [(True, 1.0), (True, 6.0), (False, 1.0), (False, 30.0)])
+def test_counts_by_tiles_are_those_of_pairs(spark, monkeypatch, periodic, scale):
+    df = particles.particles(spark, "/root/testdata/sf0.001").where("pid % 3 = 0").withColumn("h", F.col("h") * scale)
+    df = df.unionByName(df.where("pid % 5 = 0").withColumns({"pid": F.col("pid") + 10**9, "h": F.col("h") / 7})).unionByName(df.where("pid % 7 = 0").withColumns({"pid": F.col("pid") + 2 * 10**9, "h": F.col("h") / 60}))
+    monkeypatch.setattr(neighbors, "ASKING_ROWS", 100)
+    monkeypatch.setattr(neighbors, "PLACES", 300)
+    counts = neighbors.neighbor_counts(df, periodic)
+    pairs = neighbors.radius_pairs(df, periodic).groupBy("i").agg(F.count(F.lit(1)).alias("n"))
+    assert sorted(map(tuple, counts.collect())) == sorted(map(tuple, pairs.collect()))
