@@ -227,3 +227,12 @@ def test_counts_by_tiles_are_those_of_pairs(spark, monkeypatch, periodic, scale)
     counts = neighbors.neighbor_counts(df, periodic)
     pairs = neighbors.radius_pairs(df, periodic).groupBy("i").agg(F.count(F.lit(1)).alias("n"))
     assert sorted(map(tuple, counts.collect())) == sorted(map(tuple, pairs.collect()))
+
+
+def test_clustered_containing_goes_below_level_11(spark, tmp_path):
+    from lattica.queries import QUERIES
+
+    pids = [1000 + k * 2**21 for k in range(70)]  # all at one place
+    spark.createDataFrame([(p // 8, p % 8) for p in pids], "l_orderkey bigint, l_linenumber int").write.parquet(str(tmp_path / "lineitem.parquet"))
+    found = QUERIES["clustered_containing"](spark, str(tmp_path)).collect()
+    assert sorted(r.id for r in found) == pids and {r.node_level for r in found} == {21}
