@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from lattica.functions import geometry as G
 from lattica.functions import sfc as K
 from lattica.operators import domain, mesh, neighbors, octree, spectrum
+from lattica.plans.held import held
 from lattica.plans.power_spectrum import power_spectrum
 from lattica.sources import particles, snapshots
 
@@ -236,3 +237,31 @@ def test_clustered_containing_goes_below_level_11(spark, tmp_path):
     spark.createDataFrame([(p // 8, p % 8) for p in pids], "l_orderkey bigint, l_linenumber int").write.parquet(str(tmp_path / "lineitem.parquet"))
     found = QUERIES["clustered_containing"](spark, str(tmp_path)).collect()
     assert sorted(r.id for r in found) == pids and {r.node_level for r in found} == {21}
+
+
+@pytest.mark.parametrize(("periodic", "scale", "same"), [(True, 1.0, 1), (False, 1.0, 3), (True, 16.0, 2)])
+def test_short_lists_by_tiles_are_those_of_pairs(spark, monkeypatch, periodic, scale, same):
+    monkeypatch.setattr(neighbors, "ASKING_ROWS", 50)
+    monkeypatch.setattr(neighbors, "PLACES", 60)
+    place = {c: (F.floor(F.col("pid") / same) * m % 61 / 61 - 0.5).alias(c) for c, m in (("x", 7), ("y", 11), ("z", 17))}  # ties in distance and, with few keys, in the order
+    df = held(spark.range(300).select(F.col("id").alias("pid")).select("pid", *place.values(), ((1 + F.col("pid") % 9) * (0.01 * scale)).alias("h")))
+    df = held(df.withColumn("key", F.floor(F.col("x") * 5 + 3).cast("long")))
+    pairs = {}
+    keys = {r.pid: r.key for r in df.collect()}
+    for r in neighbors.radius_pairs(df, periodic).collect():
+        pairs.setdefault(r.i, []).append((r.d2, r.j))
+
+    def fail(*_, **__):
+        raise AssertionError("pairs are made")
+
+    monkeypatch.setattr(neighbors, "radius_pairs", fail)
+    got = {}
+    for r in neighbors.nearest_neighbors(df, 4, periodic).collect():
+        got.setdefault(r.i, []).append((r["rank"], r.d2, r.j))
+    near = {i: sorted(v)[:4] for i, v in pairs.items()}
+    assert {i: [j for *_, j in sorted(v)] for i, v in got.items()} == {i: [j for _, j in v] for i, v in near.items()}
+    assert all([d for _, d, _ in sorted(got[i])] == [d for d, _ in v] for i, v in near.items())
+    capped = {r.i: (r.n, r.listed) for r in neighbors.capped_neighbors(df, 5, periodic).collect()}
+    assert capped == {i: (len(v), [j for _, j in sorted((keys[j], j) for _, j in v)[:5]]) for i, v in pairs.items()}
+    sums = {r.i: (r.n, r.sum_j, r.farthest) for r in neighbors.sums_by_tiles(df, periodic).collect()}
+    assert sums == {i: (len(v), sum(j for _, j in v), max(v)[0]) for i, v in pairs.items()}
