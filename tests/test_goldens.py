@@ -265,3 +265,16 @@ def test_short_lists_by_tiles_are_those_of_pairs(spark, monkeypatch, periodic, s
     assert capped == {i: (len(v), [j for _, j in sorted((keys[j], j) for _, j in v)[:5]]) for i, v in pairs.items()}
     sums = {r.i: (r.n, r.sum_j, r.farthest) for r in neighbors.sums_by_tiles(df, periodic).collect()}
     assert sums == {i: (len(v), sum(j for _, j in v), max(v)[0]) for i, v in pairs.items()}
+
+
+def test_octree_counts_the_levels_that_it_needs(spark, monkeypatch):
+    keys = held(spark.range(8**6 * 2).select((F.floor(F.col("id") / 2) * 8**15).cast("long").alias("key")))  # two in each node of level 6
+    asked, made = [], octree.level_counts
+    monkeypatch.setattr(octree, "level_counts", lambda k, above, to: asked.append((above, to)) or made(k, above, to))
+    found = octree.build_octree(keys, 2).groupBy("level").agg(F.count(F.lit(1)).alias("n"), F.sum("count").alias("keys")).collect()
+    assert [tuple(r) for r in found] == [(6, 8**6, 8**6 * 2)] and asked == [(0, 5), (5, 6)]
+    asked.clear()
+    same = spark.createDataFrame([(8**20 + 5,)] * 3, "key bigint")
+    deep = octree.build_octree(same, 2)
+    assert deep.where("count > 0").collect() == [(21, 8**20 + 5, 3)] and deep.count() == 21 * 7 + 1
+    assert asked == [(0, 5), (5, 6), (6, 8), (8, 12), (12, 17), (17, 21)]
