@@ -217,3 +217,18 @@ def test_smoothing_of_the_particle_table(spark, tmp_path):
 def test_continuum_tree_has_no_holes(spark):
     leaves = octree.continuum_octree(spark, lambda x, y, z: 0 * x + 1e6, bucket=10, rounds=1).collect()
     assert sum(8.0**-r.level for r in leaves) == 1
+
+
+def test_pairs_of_a_part_with_a_covered_node_go_on_once(spark, monkeypatch):
+    leaves = held(octree.uniform_tree(spark, 4).withColumn("count", F.lit(1).cast("long")))
+    assignment = held(spark.createDataFrame([(0, 0, 2048), (1, 8**20 * 4, 2048)], "part int, key_lo bigint, count bigint"))
+    box = Box(periodic=(False,) * 3)
+    searches = held(box.node_boxes(leaves.select("level", "key")).select("level", "key", *(F.col(f"g{c}").alias(f"o{c}") for c in "xyz"), *(F.lit(0.4).alias(f"r{c}") for c in "xyz")))
+    sizes, keep = [], sync.held
+    monkeypatch.setattr(sync, "held", lambda df: sizes.append((out := keep(df)).count()) or out)
+    found = sorted(map(tuple, sync.halo_leaves(leaves, searches, assignment, box).collect()))
+    rows = {r.key: (r.gx, r.gy, r.gz) for r in box.node_boxes(leaves.select("level", "key")).collect()}
+    reach = 0.4 + 1 / 32
+    near = [(0 if k >= 8**20 * 4 else 1, 4, k) for k, (x, _, _) in rows.items() if (x < 0 and x > 1 / 32 - reach) or (x > 0 and x < reach - 1 / 32)]
+    assert found == sorted(near)
+    assert max(sizes) < 400_000  # boxes and leaves of the other part in reach make 1,157,352 pairs
