@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lattica.functions.geometry import cell_centre, sph_kernel
+from lattica.functions.geometry import cell_centre
 from lattica.functions.sfc import BITS, lattice
 from lattica.plans.held import held
 
@@ -61,25 +61,59 @@ def raster_nearest(df: DataFrame, grid: int, ties: tuple[str, ...] = ("pid",), b
     return rows.groupBy("cell").agg(best.alias("b")).select("cell", *(F.col(f"b.{c}").alias(c) for c in VELOCITY), F.col("b.d2").alias("d2"))
 
 
+def _kernel_sums(grid: int, low: float, high: float):
+    """Over Arrow batches of x, y, z, h and velocities: (cell, w, velocities times w), summed over each batch; null without any value."""
+    width = (high - low) / grid
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            value = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in batch.schema.names}
+            h = np.fmin(value["h"], width)
+            reach, ends, fits = 2 * h / width, {}, np.ones(len(h), bool)
+            for c in "xyz":
+                at = (value[c] - low) / width - 0.5
+                ends[c] = np.maximum(np.ceil(at - reach), 0), np.minimum(np.floor(at + reach), grid - 1)
+                fits &= ends[c][0] <= ends[c][1]
+            fits = np.flatnonzero(fits)
+            if not len(fits):
+                continue
+            h, index, square = h[fits], [], []
+            for c in "xyz":
+                first, last = (e[fits] for e in ends[c])
+                near = first[:, None] + np.arange(int((last - first).max()) + 1)
+                d = np.where(near <= last[:, None], value[c][fits][:, None] - (low + (near + 0.5) * width), np.inf)
+                index.append(near.astype(np.int64))
+                square.append(d * d)
+            d2 = square[0][:, :, None, None] + square[1][:, None, :, None] + square[2][:, None, None, :]
+            row, i, j, k = np.nonzero(d2 < ((2 * h) * (2 * h))[:, None, None, None])
+            hr = h[row]
+            q = np.sqrt(d2[row, i, j, k]) / hr
+            w = (1 / np.pi) / (hr * hr * hr) * np.where(q < 1, 1 - 1.5 * q * q + 0.75 * q * q * q, np.where(q < 2, 0.25 * (2 - q) * (2 - q) * (2 - q), 0.0))
+            some = np.flatnonzero(w > 0)
+            row, w = row[some], w[some]
+            cells, own = np.unique(index[0][row, i[some]] + grid * index[1][row, j[some]] + grid * grid * index[2][row, k[some]], return_inverse=True)
+            out = [pa.array(cells), pa.array(np.bincount(own, w, len(cells)))]
+            for c in VELOCITY:
+                known = batch.column(c).is_valid().to_numpy(zero_copy_only=False)[fits][row]
+                sums = np.bincount(own, np.where(known, w * value[c][fits][row], 0.0), len(cells))
+                out.append(pa.array(sums, mask=np.bincount(own, known, len(cells)) == 0))
+            yield pa.RecordBatch.from_arrays(out, names=["cell", "w", *VELOCITY])
+
+    return run
+
+
 def raster_sph(df: DataFrame, grid: int, fill: bool = False, low: float = -0.5, high: float = 0.5) -> DataFrame:
     """Kernel-weighted mean velocity of each cell that a particle reaches; smoothing lengths are at most a cell's width.
 
-    A particle reaches fewer than five cells along each axis, at most 2 h from it; the mesh isn't periodic.
+    A particle reaches at most five cells along each axis, at most 2 h from it; the mesh isn't periodic. Tasks sum over their particles, so
+    no row is made for a particle and a cell.
     """
-    width = (high - low) / grid
-    rows = df.withColumn("__h", F.least(F.col("h"), F.lit(width)))
-    for name, c in zip("ijk", "xyz", strict=True):
-        at = (F.col(c) - low) / width - 0.5
-        reach = 2 * F.col("__h") / width
-        near = F.sequence(F.greatest(F.ceil(at - reach), F.lit(0)), F.least(F.floor(at + reach), F.lit(grid - 1)))
-        fits = F.ceil(at - reach) <= F.floor(at + reach)
-        inside = (F.floor(at + reach) >= 0) & (F.ceil(at - reach) <= grid - 1)
-        rows = rows.withColumn(name, F.explode(F.when(fits & inside, near)))
-    d = [F.col(c) - cell_centre(F.col(i), grid, low, high) for c, i in zip("xyz", "ijk", strict=True)]
-    rows = rows.withColumn("__d2", d[0] * d[0] + d[1] * d[1] + d[2] * d[2]).where(F.col("__d2") < (2 * F.col("__h")) * (2 * F.col("__h")))
-    rows = rows.withColumn("__w", sph_kernel(F.sqrt("__d2"), F.col("__h"))).where("__w > 0")
-    cell = F.col("i") + grid * F.col("j") + grid * grid * F.col("k")
-    out = rows.groupBy(cell.cast("long").alias("cell")).agg(F.sum("__w").alias("w"), *(F.sum(F.col("__w") * F.col(c)).alias(c) for c in VELOCITY))
+    rows = df.select(*(F.col(c).cast("double").alias(c) for c in ("x", "y", "z", "h", *VELOCITY)))
+    sums = rows.mapInArrow(_kernel_sums(grid, low, high), "cell long, w double, " + ", ".join(f"{c} double" for c in VELOCITY))
+    out = sums.groupBy("cell").agg(*(F.sum(c).alias(c) for c in ("w", *VELOCITY)))
     out = out.select("cell", *((F.col(c) / F.col("w")).alias(c) for c in VELOCITY), "w")
     return fill_empty(out, grid) if fill else out
 
