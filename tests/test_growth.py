@@ -3,7 +3,10 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from lattica.operators import mesh
+from lattica.functions.box import Box
+from lattica.functions.sfc import BITS, node_box
+from lattica.operators import mesh, octree, sync
+from lattica.sources.particles import particles
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -47,3 +50,43 @@ def test_sph_makes_no_rows_of_particles_and_cells(spark):
                 assert (c not in sums) == (got[cell][c] is None)
                 assert got[cell][c] is None or np.isclose(got[cell][c], sums[c] / w, atol=1e-9)
     assert mesh.raster_sph(df.where(F.lit(False)), 8).count() == 0
+
+
+def peers_brute(rows, ellipse):
+    """Pairs of parts with near leaves, of rows (part, x0, y0, z0, edge) of lattice boxes in a periodic box."""
+    out, n = set(), 1 << BITS
+    for a in rows:
+        for b in rows:
+            if a.part == b.part or (a.part, b.part) in out:
+                continue
+            d = []
+            for c in "xyz":
+                p, q = a[f"{c}0"], b[f"{c}0"]
+                apart = [v - n * round(v / n) for v in (q + b.edge - p, q - p - a.edge)]
+                d.append(0 if q < p + a.edge and p < q + b.edge else min(map(abs, apart)))
+            if sum((g / w) ** 2 for g, w in zip(d, ellipse, strict=True)) <= max(a.edge, b.edge) ** 2:
+                out.add((a.part, b.part))
+    return out
+
+
+def test_peers_that_touch_are_found_above_the_leaves(spark, monkeypatch):
+    df = particles(spark, SMALL)
+    _, leaves, assignment = sync._distributed(df, 12, 64, Box(), "morton")
+    boxes = sync.domain.find_rank(leaves, assignment).withColumn("b", node_box(F.col("level"), F.col("key"), "morton"))
+    rows = boxes.select("part", *(F.col(f"b.{c}0").alias(f"{c}0") for c in "xyz"), F.col("b.edge").alias("edge")).collect()
+    got = {tuple(r) for r in sync.find_peers(leaves, assignment, 1.0, Box()).collect()}
+    assert got == peers_brute(rows, ((1 + 1e-6),) * 3)
+    # two halves: the leaves at their surfaces make 9,216 pairs
+    leaves = sync.held(octree.uniform_tree(spark, 4))
+    halves = spark.createDataFrame([(0, 0), (1, 8**20 * 4)], "part int, key_lo bigint")
+    seen, held = [], sync.held
+
+    def counted(table):
+        kept = held(table)
+        if "a_n_part" in kept.columns:
+            seen.append(kept.count())
+        return kept
+
+    monkeypatch.setattr(sync, "held", counted)
+    assert {tuple(r) for r in sync.find_peers(leaves, halves, 1.0, Box()).collect()} == {(0, 1), (1, 0)}
+    assert 0 < max(seen) < 200
