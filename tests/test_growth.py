@@ -5,8 +5,8 @@ from pyspark.sql import functions as F
 
 from lattica.functions.box import Box
 from lattica.functions.sfc import BITS, node_box
-from lattica.operators import mesh, octree, sync
-from lattica.sources.particles import particles
+from lattica.operators import essential, mesh, octree, sync
+from lattica.sources.particles import clustered, particles
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -90,3 +90,16 @@ def test_peers_that_touch_are_found_above_the_leaves(spark, monkeypatch):
     monkeypatch.setattr(sync, "held", counted)
     assert {tuple(r) for r in sync.find_peers(leaves, halves, 1.0, Box()).collect()} == {(0, 1), (1, 0)}
     assert 0 < max(seen) < 200
+
+
+def test_boxes_are_asked_of_nodes_outside_alone(spark):
+    box = Box(periodic=(False,) * 3)
+    df = clustered(particles(spark, SMALL))
+    _, leaves, assignment = sync._distributed(df, 4, 64, box, "morton")
+    spheres = essential.min_mac_spheres(octree.upsweep(leaves, lambda: [F.sum("count").alias("count")]), box, 1.0)
+    regions = essential.part_regions(assignment, box)
+    rows = spheres.select("level", "key").crossJoin(regions.select("part")).select("part", "level", "key")
+    placed = essential._placed(rows, spheres, regions, box)
+    assert placed.where("near AND NOT inside").count() > 0 and placed.where("inside").count() > 0
+    assert placed.where("near AND inside").isEmpty()
+    assert placed.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
