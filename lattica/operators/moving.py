@@ -21,11 +21,9 @@ def key_changes(before: DataFrame, after: DataFrame) -> DataFrame:
 
     A pid names one row at most on either side.
     """
-    old, new = (df.where("key IS NOT NULL").select("pid", F.col("key").alias(n)) for df, n in ((before, "old"), (after, "new")))
-    moved = old.join(new, "pid", "full").where("NOT (old <=> new)")
-    both = F.array(F.struct(F.col("old").alias("key"), F.lit(-1).alias("by")), F.struct(F.col("new").alias("key"), F.lit(1).alias("by")))
-    rows = moved.select(F.explode(both).alias("c")).select("c.*").where("key IS NOT NULL")
-    return rows.groupBy("key").agg(F.sum("by").cast("long").alias("change")).where("change != 0")
+    # a row that keeps its key takes away as much as it adds, so pids needn't meet
+    signed = lambda df, by: df.where("key IS NOT NULL").select("key", F.lit(by).cast("long").alias("by"))
+    return signed(before, -1).unionByName(signed(after, 1)).groupBy("key").agg(F.sum("by").alias("change")).where("change != 0")
 
 
 def _grown(full: DataFrame, keys: DataFrame, bucket: int, deepest: int) -> DataFrame | None:

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from lattica.functions.box import Box
 from lattica.functions.sfc import BITS, node_box
-from lattica.operators import essential, mesh, octree, sync
+from lattica.operators import essential, mesh, moving, octree, sync
 from lattica.sources.particles import clustered, particles
 
 SMALL = "/root/testdata/sf0.001"
@@ -103,3 +103,12 @@ def test_boxes_are_asked_of_nodes_outside_alone(spark):
     assert placed.where("near AND NOT inside").count() > 0 and placed.where("inside").count() > 0
     assert placed.where("near AND inside").isEmpty()
     assert placed.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_key_changes_without_a_join(spark):
+    schema = "pid long, key long"
+    before = spark.createDataFrame([(1, 5), (2, 5), (3, 9), (4, None), (5, 7)], schema)
+    after = spark.createDataFrame([(1, 5), (2, 9), (3, 5), (4, 8), (6, 7), (7, 6), (5, None)], schema)
+    got = moving.key_changes(before, after)
+    assert "Join" not in plan_of(got)
+    assert sorted(map(tuple, got.collect())) == [(6, 1), (8, 1)]
