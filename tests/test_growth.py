@@ -112,3 +112,74 @@ def test_key_changes_without_a_join(spark):
     got = moving.key_changes(before, after)
     assert "Join" not in plan_of(got)
     assert sorted(map(tuple, got.collect())) == [(6, 1), (8, 1)]
+
+
+def test_halos_go_down_by_few_boxes(spark, monkeypatch):
+    # two halves of a periodic box, 4,096 leaves with a search box each; sizes differ, so that some boxes reach further than their neighbours
+    box, leaves = Box(), sync.held(octree.uniform_tree(spark, 4).withColumn("count", F.lit(1).cast("long")))
+    halves = spark.createDataFrame([(0, 0), (1, 8**20 * 4)], "part int, key_lo bigint")
+    placed = sync.held(box.node_boxes(leaves.select("level", "key")))
+    wide = F.col("sx") + 0.13 + F.pmod(F.hash("key"), F.lit(5)) * 0.03
+    searches = sync.held(placed.select("level", "key", *(F.col(f"g{c}").alias(f"o{c}") for c in "xyz"), *((wide if c == "x" else wide / 2).alias(f"r{c}") for c in "xyz")))
+    rows = sorted(map(tuple, searches.join(placed, ["level", "key"]).select("key", "ox", "oy", "oz", "rx", "ry", "rz", "sx").collect()))
+    at = np.array([r[1:] for r in rows])
+    want = set()
+    for part in (0, 1):
+        own = np.array([r[0] >= 8**20 * 4 for r in rows]) == bool(part)
+        for r, g in zip(np.array(rows, dtype=object)[~own], at[~own], strict=True):
+            d = g[:3] - at[own, :3]
+            if (np.abs(d - np.rint(d)) < at[own, 3:6] + g[6]).all(1).any():
+                want.add((part, 4, r[0]))
+    seen, held = [], sync.held
+
+    def counted(table):
+        kept = held(table)
+        if {"part", "ox"} <= set(kept.columns):
+            seen.append(kept.where("level = 4").count())
+        return kept
+
+    monkeypatch.setattr(sync, "held", counted)
+    got = [tuple(r) for r in sync.halo_leaves(leaves, searches, halves, box).collect()]
+    assert len(got) == len(want) > 2000 and set(got) == want
+    assert 0 < max(seen) < 10_000
+
+
+def test_search_boxes_look_up_cells(spark, monkeypatch):
+    df, asked, lookup = particles(spark, SMALL), [], octree.leaf_lookup
+    keyed, leaves, _ = sync._distributed(df, 4, 64, Box(), "morton")
+
+    def counted(leaves, keys, *more):
+        asked.append(keys.count())
+        return lookup(leaves, keys, *more)
+
+    monkeypatch.setattr(octree, "leaf_lookup", counted)
+    got = {tuple(r) for r in sync.search_boxes(keyed, leaves, Box()).collect()}
+    assert 0 < asked[0] <= keyed.count() / 4
+    assert got == {tuple(r) for r in sync.search_boxes(keyed, leaves.drop("count"), Box()).collect()} and asked[1] == keyed.count()
+
+
+def test_parts_are_looked_up_by_leaf(spark, monkeypatch):
+    df = clustered(particles(spark, SMALL)).select("pid", "x", "y", "z", "h")
+    df = df.unionByName(df.limit(1).select(F.lit(-5).cast("long").alias("pid"), *(F.lit(None).cast("double").alias(c) for c in "xyz"), "h"))
+    keyed, leaves, assignment = sync._distributed(df, 4, 64, Box(), "morton")
+    keyed = keyed.withColumn("key", F.when(F.col("pid") >= 0, F.col("key")))  # a row without a place
+    halos = sync.held(sync.halo_leaves(leaves, sync.search_boxes(keyed, leaves, Box()), assignment, Box()))
+    own = {r.pid: r.part for r in sync.domain.find_rank(keyed, assignment).collect()}
+    wanted = {}
+    for r in halos.collect():
+        wanted.setdefault((r.level, r.key), set()).add(r.part)
+    want = {(p, own[p], False, own[p]) for p in own}
+    for r in octree.leaf_lookup(leaves, keyed).collect():
+        want |= {(r.pid, q, True, own[r.pid]) for q in wanted.get((r.level, r.leaf), ())}
+    asked, rank = [], sync.domain.find_rank
+    monkeypatch.setattr(sync.domain, "find_rank", lambda keys, a: asked.append(set(keys.columns)) or rank(keys, a))
+    for most in (octree.BROADCAST_ROWS, 10):
+        monkeypatch.setattr(octree, "BROADCAST_ROWS", most)
+        out = sync.with_halos(keyed, leaves, assignment, halos)
+        got = [tuple(r) for r in out.select("pid", "part", "is_halo", "owner").collect()]
+        assert len(got) == len(want) and set(got) == want and (-5, -1, False, -1) in want
+    assert not any("pid" in columns for columns in asked)
+
+
+def test_periodic_boxes_read_no_rows():
+    assert Box().around(None) == Box()
