@@ -32,9 +32,12 @@ def _kept(df: DataFrame, name: str, buckets: int) -> str:
 
 
 def plan_halos(particles: DataFrame, buckets: int = BUCKETS) -> Plan:
-    """The plan of a domain's particles (pid, part, is_halo): for each halo the part that owns its row and the part that needs it."""
-    own = particles.where("NOT is_halo").select("pid", F.col("part").alias("source"))
-    rows = particles.where("is_halo").select("pid", F.col("part").alias("target")).join(own, "pid")
+    """The plan of a domain's particles (pid, part, is_halo, and owner, which spares a join): for each halo the part that owns its row and the part that needs it."""
+    halos = particles.where("is_halo").withColumnRenamed("part", "target")
+    if "owner" in particles.columns:
+        rows = halos.withColumnRenamed("owner", "source")
+    else:
+        rows = halos.join(particles.where("NOT is_halo").select("pid", F.col("part").alias("source")), "pid")
     return Plan(_kept(rows.select("pid", "source", "target"), "halo_plan", buckets), buckets)
 
 

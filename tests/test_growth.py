@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from lattica.functions.box import Box
 from lattica.functions.sfc import BITS, node_box
-from lattica.operators import essential, mesh, moving, octree, sync
+from lattica.operators import essential, exchange, mesh, moving, octree, sync
 from lattica.sources.particles import clustered, particles
 
 SMALL = "/root/testdata/sf0.001"
@@ -183,3 +183,13 @@ def test_parts_are_looked_up_by_leaf(spark, monkeypatch):
 
 def test_periodic_boxes_read_no_rows():
     assert Box().around(None) == Box()
+
+
+def test_plans_of_owned_rows_need_no_join(spark, monkeypatch):
+    rows = spark.createDataFrame([(1, 0, False, 0), (1, 2, True, 0), (2, 1, False, 1), (2, 0, True, 1), (2, 3, True, 1)], "pid long, part int, is_halo boolean, owner int")
+    kept = []
+    monkeypatch.setattr(exchange, "_kept", lambda df, *_: kept.append(df) or "plan")
+    exchange.plan_halos(rows)
+    exchange.plan_halos(rows.drop("owner"))
+    assert "Join" not in plan_of(kept[0])
+    assert {tuple(r) for r in kept[0].collect()} == {tuple(r) for r in kept[1].collect()} == {(1, 0, 2), (2, 1, 0), (2, 1, 3)}
