@@ -193,3 +193,15 @@ def test_plans_of_owned_rows_need_no_join(spark, monkeypatch):
     exchange.plan_halos(rows.drop("owner"))
     assert "Join" not in plan_of(kept[0])
     assert {tuple(r) for r in kept[0].collect()} == {tuple(r) for r in kept[1].collect()} == {(1, 0, 2), (2, 1, 0), (2, 1, 3)}
+
+
+def test_gravity_keeps_its_particles_once(spark, monkeypatch):
+    df, kept, asked = particles(spark, SMALL).withColumn("m", F.col("h") * 1024), [], []
+    held, lookup = sync.held, octree.leaf_lookup
+    monkeypatch.setattr(sync, "held", lambda table: kept.append({"key", "m", "x"} <= set(table.columns) and "h" in table.columns) or held(table))
+    monkeypatch.setattr(octree, "leaf_lookup", lambda leaves, keys, *more: asked.append(keys.count()) or lookup(leaves, keys, *more))
+    out = sync.sync_grav(df, 4, 64, 0.8, Box())
+    assert sum(kept) == 1
+    assert asked[0] <= df.count() / 4 and asked[1] <= df.count() / 4  # cells, for search boxes and for mass centres
+    keyed = out.particles.where("NOT is_halo").select("key", "x", "y", "z", "m")
+    assert {tuple(r) for r in out.centers.collect()} == {tuple(r) for r in octree.node_mass_centers(keyed, out.leaves.drop("count")).collect()}
