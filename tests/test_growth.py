@@ -205,3 +205,11 @@ def test_gravity_keeps_its_particles_once(spark, monkeypatch):
     assert asked[0] <= df.count() / 4 and asked[1] <= df.count() / 4  # cells, for search boxes and for mass centres
     keyed = out.particles.where("NOT is_halo").select("key", "x", "y", "z", "m")
     assert {tuple(r) for r in out.centers.collect()} == {tuple(r) for r in octree.node_mass_centers(keyed, out.leaves.drop("count")).collect()}
+
+
+def test_tolerance_grows_where_there_are_particles(spark, monkeypatch):
+    df, asked = clustered(particles(spark, SMALL)).where("pid % 8 = 1").withColumn("m", F.lit(1.0)), []
+    assert not df.isEmpty()  # line numbers begin at 1, so no pid is a multiple of 8
+    monkeypatch.setattr(sync, "layout_faults", lambda layout, *_: asked.append(1) or (layout if len(asked) < 3 else layout.limit(0)))
+    out = sync.sync_grav(df, 4, 64, 0.8, Box(periodic=(False,) * 3), step=0.25)
+    assert out.tolerance == 1.5 and len(asked) == 3
