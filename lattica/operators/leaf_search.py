@@ -6,10 +6,15 @@ cluster. Nodes have the boxes that their particles fill, which are what lists an
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lattica.functions.box import AXES, Box
 from lattica.functions.sfc import enclosing_box
@@ -18,6 +23,8 @@ from lattica.plans.held import held
 
 #: Particles of a leaf, and of a block of a leaf that can't be divided further.
 BUCKET = 64
+#: Points that go to the particles; rows that are looked at together, and of one of their cells.
+FEW_POINTS, SCAN_ROWS, CELL_ROWS = 1 << 12, 1 << 17, 256
 #: By how much boxes are widened for what rounding may have taken off them.
 _SLACK = 1e-12
 
@@ -149,11 +156,73 @@ def near_leaves(tree: SearchTree, points: DataFrame) -> DataFrame:
 def nearest_point(df: DataFrame, points: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """points (point, px, py, pz; point tells them apart) with the particle of df nearest to each: point, pid, d2.
 
-    The smallest pid of equals; no rows without particles. Only particles of near_leaves() are measured.
+    The smallest pid of equals; no rows without particles. Up to FEW_POINTS points go to the particles, which are read once and neither shuffled nor
+    kept. Of more, only particles of near_leaves() are measured.
     """
+    asked = [tuple(r) for r in points.select("point", "px", "py", "pz").limit(FEW_POINTS + 1).collect()]
+    if len(asked) <= FEW_POINTS:
+        schema = T.StructType().add("n", T.IntegerType()).add("d2", T.DoubleType()).add("pid", df.schema["pid"].dataType)
+        found = _finite(df).select("pid", *(F.col(c).cast("double").alias(c) for c in AXES)).mapInArrow(_nearest_rows(asked), schema)
+        nearest = found.groupBy("n").agg(F.min(F.struct("d2", "pid")).alias("m")).select("n", "m.pid", "m.d2")
+        names = df.sparkSession.createDataFrame([(n, p) for n, (p, *_) in enumerate(asked)], T.StructType().add("n", T.IntegerType()).add(points.schema["point"]))
+        return nearest.join(F.broadcast(names), "n").select("point", "pid", "d2")
     tree = search_tree(df, Box(periodic=(False,) * 3).around(_finite(df)), bucket)
     near = near_leaves(tree, points).select("point", *(f"p{c}" for c in AXES), "level", F.col("key").alias("leaf"))
     met = near.join(tree.placed.select("pid", *AXES, "level", "leaf"), ["level", "leaf"])
     d = [F.col(c) - F.col(f"p{c}") for c in AXES]
     nearest = met.groupBy("point").agg(F.min(F.struct((d[0] * d[0] + d[1] * d[1] + d[2] * d[2]).alias("d2"), "pid")).alias("m"))
     return nearest.select("point", "m.pid", "m.d2")
+
+
+def _nearest_rows(points: list[tuple]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A task's nearest row (n, d2, pid) of particles (pid, x, y, z) to the n-th of points (point, px, py, pz)."""
+    at = np.array([[np.nan if v is None else v for v in p[1:]] for p in points], np.float64).reshape(-1, 3)
+    known = np.flatnonzero(np.isfinite(at).all(1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best, pids, seen = np.full(len(at), np.inf), [None] * len(at), np.zeros(len(at), bool)
+
+        def look(rows: pa.Table) -> None:
+            x = np.stack([rows.column(c).to_numpy() for c in AXES])
+            pid = rows.column("pid").combine_chunks()
+            # cells of about CELL_ROWS rows, the rows of each one after the other, and the boxes that they fill
+            low, n = x.min(1)[:, None], max(1, round((x.shape[1] / CELL_ROWS) ** (1 / 3)))
+            wide = np.maximum(x.max(1)[:, None] - low, np.finfo(float).tiny)
+            cell = np.minimum((n * ((x - low) / wide)).astype(np.int64), n - 1)
+            cell = (cell[0] * n + cell[1]) * n + cell[2]
+            order = np.argsort(cell, kind="stable")
+            x, starts = x[:, order], np.append(np.flatnonzero(np.diff(cell[order], prepend=-1)), len(order))
+            lows, highs = np.minimum.reduceat(x, starts[:-1], 1), np.maximum.reduceat(x, starts[:-1], 1)
+            for k in known:
+                p = at[k][:, None]
+                gap = np.maximum(np.maximum(lows - p, p - highs), 0.0)
+                gap = (gap * gap).sum(0) * (1 - _SLACK)
+                some = np.flatnonzero(gap <= best[k])
+                for c in some[np.argsort(gap[some])]:
+                    if gap[c] > best[k]:
+                        break
+                    d = x[:, starts[c] : starts[c + 1]] - p
+                    d2 = d[0] * d[0] + d[1] * d[1] + d[2] * d[2]
+                    least = d2.min()
+                    if least > best[k]:
+                        continue
+                    mine = pid.take(pa.array(order[starts[c] + np.flatnonzero(d2 == least)]))
+                    one = None if mine.null_count else pc.min(mine).as_py()  # as Spark orders them
+                    if not seen[k] or least < best[k] or (pids[k] is not None and (one is None or one < pids[k])):
+                        best[k], pids[k], seen[k] = least, one, True
+
+        kept, n, kind = [], 0, None
+        for batch in batches:
+            kept.append(batch)
+            kind = batch.schema.field("pid").type
+            n += batch.num_rows
+            if n >= SCAN_ROWS:
+                look(pa.Table.from_batches(kept))
+                kept, n = [], 0
+        if n:
+            look(pa.Table.from_batches(kept))
+        found = np.flatnonzero(seen)
+        if len(found):
+            yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(best[found]), pa.array([pids[k] for k in found], kind)], names=["n", "d2", "pid"])
+
+    return run
